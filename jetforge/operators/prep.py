@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import cut_right_closed, label_names
-from ..schema import CLASS_CODES, COUNT_COLUMNS, DROP_LISTS, LABEL_NAMES, LEAKY
+from ..schema import CLASS_CODES, COUNT_COLUMNS, DROP_LISTS, JET_COLUMNS, LABEL_NAMES, LEAKY
 
 
 def type_jets(df: DataFrame, float32: bool = False) -> DataFrame:
-    """Cast every column of a string jet table: counts to bigint, the rest to double (optionally
-    rounded through float32). Malformed values become NULL."""
+    """Cast the jet columns of a string table: counts to bigint, the rest to double (optionally
+    rounded through float32). Malformed values become NULL; other columns pass through."""
     def cast(name: str) -> Column:
+        if name not in JET_COLUMNS:
+            return F.col(name)
         if name in COUNT_COLUMNS:
             return F.col(name).try_cast("double").cast("bigint").alias(name)
         c = F.col(name).try_cast("float").cast("double") if float32 else F.col(name).try_cast("double")

@@ -34,6 +34,24 @@ def params_report(params: DataFrame, grid: Sequence[str] = ("r_idx", "pt_hard_mi
                          F.coalesce(F.try_element_at(names, F.col("name")), F.col("name")).alias("parameter"), "value")
 
 
+def saved_params(params: DataFrame, grid: Sequence[str] = ("r_idx", "pt_hard_min")) -> DataFrame:
+    """Long parameter table as written after a search: fixed run settings are added per grid point."""
+    extra = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"))
+                      for n, v in (("oob_score", "True"), ("random_state", "42"), ("n_jobs", "-1"))])
+    fixed = params.select(*grid).distinct().select(*grid, F.explode(extra).alias("e")).select(*grid, "e.*")
+    return params.select(*grid, "name", "value").unionByName(fixed)
+
+
+def loaded_params(params: DataFrame, low_pt: bool = False) -> DataFrame:
+    """Long parameter table as used for a run: automatic feature count; the class weight is dropped,
+    or replaced for the low-pT model."""
+    rows = params if low_pt else params.where(F.col("name") != "class_weight")
+    value = F.when(F.col("name") == "max_features", "auto")
+    if low_pt:
+        value = value.when(F.col("name") == "class_weight", "{1:1,2:1,3:4}")
+    return rows.withColumn("value", value.otherwise(F.col("value")))
+
+
 def share_report(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Percentage of the group total. Groups hold one row per feature or class."""
     total = F.sum(value).over(Window.partitionBy(*groups))

@@ -27,6 +27,7 @@ SNAKE = {
     "Y_gluon": "y_gluon", "Y_beam": "y_beam", "Y_bkgd": "y_bkgd", "z_subjet": "z_subjet",
 }
 
+JET_COLUMNS = set(SNAKE.values())
 COUNT_COLUMNS = {"n_trk"}
 
 # Feature lists dropped before training. "lean" keeps no jet pT, "with_pt" keeps

@@ -67,19 +67,8 @@ def merge_shards(spark: SparkSession, glob: str, columns: Sequence[str] = CSV_CO
     raw = drop_repeated_headers(read_raw(spark, glob, columns)).withColumn("_file", F.input_file_name())
     r = F.regexp_extract("_file", r"(?:Rparam-|R=)(\d+\.\d+)", 1)
     p = F.regexp_extract("_file", r"(?:pThardmin-|pt_hard_min=)(\d+)", 1)
-    tagged = rename_columns(raw.withColumn("R", r.try_cast("double")).withColumn("pt_hard_min", p.try_cast("int")).drop("_file"))
-    typed = type_jets(tagged.drop("R", "pt_hard_min"))
-    return tagged.select(*[c for c in _typed_columns(tagged, typed)])
-
-
-def _typed_columns(tagged: DataFrame, typed: DataFrame):
-    kinds = dict(typed.dtypes)
-    for c in tagged.columns:
-        if c in kinds:
-            base = F.col(c).try_cast("double")
-            yield (base.cast("bigint") if kinds[c] == "bigint" else base).alias(c)
-        else:
-            yield F.col(c)
+    tagged = raw.withColumn("R", r.try_cast("double")).withColumn("pt_hard_min", p.try_cast("int")).drop("_file")
+    return type_jets(rename_columns(tagged))
 
 
 def write_grid(df: DataFrame, path: str, by: Sequence[str] = ("R", "pt_hard_min")) -> None:
