@@ -1,8 +1 @@
-from .binning import cut_right_closed, density_bin, fixed_bin, hexbin_centres, label_names, pt_label
-from .kinematics import delta_eta, delta_phi, delta_r, kinematics, plane_class
-from .hashing import hash60
-
-__all__ = [
-    "cut_right_closed", "delta_eta", "delta_phi", "delta_r", "density_bin", "fixed_bin", "hash60",
-    "hexbin_centres", "kinematics", "label_names", "plane_class", "pt_label",
-]
+"""Column expressions and ordered-data helpers; import the modules directly."""

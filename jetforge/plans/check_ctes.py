@@ -108,7 +108,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
-    """Prefix a statement with the named views and everything they need."""
+    """Prefix a statement with the named views and everything they need. A body that starts with a
+    comma continues the list of views."""
     done: list[str] = []
 
     def need(name: str) -> None:

@@ -7,20 +7,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NUDGE = "3.1415926535"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round double columns. A nudge far below the last digit makes exact halves round the same way
-    whatever the summation order."""
-    nudge = 10.0 ** -(digits + 3)
+    """Round double columns. A nudge far below the last digit, off any decimal grid, makes exact
+    halves round the same way whatever the summation order."""
+    nudge = float(f"{NUDGE}e-{digits + 3}")
     return df.select(*[(F.round(F.col(c) + nudge, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def check_sql(body: str, doubles: Sequence[str] = (), digits: int = 6) -> str:
     """The same rounding around a SQL statement."""
-    nudge = f"1e-{digits + 3}"
+    nudge = f"{NUDGE}e-{digits + 3}"
     if not doubles:
         return body
     repl = ", ".join(f"round(CAST({c} AS DOUBLE) + {nudge}, {digits}) + 0 AS {c}" for c in doubles)
