@@ -67,7 +67,7 @@ def density_histogram(df: DataFrame, cols: Sequence[str], n_bins: int, label: st
     filled = grid.join(counts, ["feature", "grp", "bin"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy("feature", "grp"))
     width = (F.col("hi") - F.col("lo")) / n_bins
-    return filled.select("feature", "grp", "bin", (F.col("lo") + width * F.col("bin")).alias("left"), "n",
+    return filled.select("feature", "grp", "bin", (F.col("lo") + width * F.col("bin")).alias("left_edge"), "n",
                          F.try_divide(F.col("n"), F.nullif(total * width, F.lit(0.0))).alias("density"))
 
 
@@ -89,8 +89,8 @@ def normalize_histogram(hist: DataFrame, width: float, groups: Sequence[str] = (
 def histogram_2d(df: DataFrame, x: Column, xs: tuple[float, float, int], y: Column, ys: tuple[float, float, int],
                  groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     w = F.lit(1.0) if weight is None else weight
-    binned = df.select(*groups, fixed_bin(x, *xs).alias("bx"), fixed_bin(y, *ys).alias("by"), w.alias("_w"))
-    return binned.where(F.col("bx").isNotNull() & F.col("by").isNotNull()).groupBy(*groups, "bx", "by").agg(
+    binned = df.select(*groups, fixed_bin(x, *xs).alias("bin_x"), fixed_bin(y, *ys).alias("bin_y"), w.alias("_w"))
+    return binned.where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull()).groupBy(*groups, "bin_x", "bin_y").agg(
         F.count("*").alias("n"), F.sum("_w").alias("sumw"), F.sum(F.col("_w") * F.col("_w")).alias("sumw2"))
 
 
@@ -98,8 +98,8 @@ def auto_histogram_2d(df: DataFrame, x: str, y: str, n: int, groups: Sequence[st
     """2-D counts over the observed range of each group, n x n bins, last bins closed."""
     b = df.groupBy(*groups).agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh"))
     j = df.select(*groups, x, y).join(b, list(groups)) if groups else _with_row(df.select(x, y), b)
-    return j.select(*groups, density_bin(F.col(x), F.col("xl"), F.col("xh"), n).alias("bx"),
-                    density_bin(F.col(y), F.col("yl"), F.col("yh"), n).alias("by")).groupBy(*groups, "bx", "by").agg(F.count("*").alias("n"))
+    return j.select(*groups, density_bin(F.col(x), F.col("xl"), F.col("xh"), n).alias("bin_x"),
+                    density_bin(F.col(y), F.col("yl"), F.col("yh"), n).alias("bin_y")).groupBy(*groups, "bin_x", "bin_y").agg(F.count("*").alias("n"))
 
 
 def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ def pair_histograms(df: DataFrame, cols: Sequence[str], n: int, label: str = "la
     row = b.first()
     binned = df.select(label, *[density_bin(F.col(c), F.lit(row[f"lo_{c}"]), F.lit(row[f"hi_{c}"]), n).alias(c) for c in cols])
     pairs = pairs or [(p, q) for i, p in enumerate(cols) for q in cols[i + 1:]]
-    cells = F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.col(p).alias("bx"), F.col(q).alias("by")) for p, q in pairs])
-    return binned.select(label, F.explode(cells).alias("c")).groupBy(label, "c.a", "c.b", "c.bx", "c.by").agg(
+    cells = F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.col(p).alias("bin_x"), F.col(q).alias("bin_y")) for p, q in pairs])
+    return binned.select(label, F.explode(cells).alias("c")).groupBy(label, "c.a", "c.b", "c.bin_x", "c.bin_y").agg(
         F.count("*").alias("n"))
 
 
@@ -183,7 +183,7 @@ def interval_stats(df: DataFrame, ts: str, key: str, groups: Sequence[str] = (),
                    rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """Differences of successive time stamps (seconds): per-group totals, and a histogram of the
     differences on [mean - 1, mean + 1)."""
-    secs = df.select(*groups, key, F.unix_micros(ts).alias("us"))
+    secs = df.select(*groups, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     gaps = lagged(secs, groups, "us", key, name="prev", rows_per_task=rows_per_task).where(F.col("prev").isNotNull()).select(
         *groups, ((F.col("us") - F.col("prev")) / 1e6).alias("gap"))
     stats = gaps.groupBy(*groups).agg(F.count("*").alias("n"), F.sum("gap").alias("total"), F.avg("gap").alias("mean"))

@@ -204,7 +204,7 @@ def p0(spark, sf):
     return features(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.avg("p_t_corr").alias("mean_p_t_corr"))
 
 
-@query("D8_hist_2d_weighted", with_ctes(f"""SELECT {fixed_bin('dphi', -1, 1, 200)} AS bx, {fixed_bin('deta', -1, 1, 200)} AS by, count(*) AS n,
+@query("D8_hist_2d_weighted", with_ctes(f"""SELECT {fixed_bin('dphi', -1, 1, 200)} AS bin_x, {fixed_bin('deta', -1, 1, 200)} AS bin_y, count(*) AS n,
        sum(pt) AS sumw, sum(pt * pt) AS sumw2 FROM (SELECT {dphi('phi', 'axis_phi')} AS dphi, axis_eta - eta AS deta, pt FROM near)
        GROUP BY 1, 2""", "near"), ["sumw", "sumw2"], 3)
 def d8(spark, sf):

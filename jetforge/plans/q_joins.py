@@ -99,19 +99,19 @@ def j8(spark, sf):
 
 
 @query("J9_hist_ratio", with_ctes(f"""
-    , b AS (SELECT user_index > 0 AS sig, {density_bin('eta', '(-0.9)::DOUBLE', '0.9::DOUBLE', 20)} AS bx, {density_bin('pt', '0', '120', 20)} AS "by" FROM live)
-    SELECT coalesce(a.bx, c.bx) AS bx, coalesce(a."by", c."by") AS "by", coalesce(a.n, 0) AS num, coalesce(c.n, 0) AS den,
-           coalesce(a.n / nullif(c.n, 0), 0) AS ratio FROM (SELECT bx, "by", count(*) AS n FROM b WHERE sig GROUP BY 1, 2) a
-    FULL JOIN (SELECT bx, "by", count(*) AS n FROM b WHERE NOT sig GROUP BY 1, 2) c ON a.bx = c.bx AND a."by" = c."by"""", "live"), ["ratio"])
+    , b AS (SELECT user_index > 0 AS sig, {density_bin('eta', '(-0.9)::DOUBLE', '0.9::DOUBLE', 20)} AS bin_x, {density_bin('pt', '0', '120', 20)} AS "bin_y" FROM live)
+    SELECT coalesce(a.bin_x, c.bin_x) AS bin_x, coalesce(a.bin_y, c.bin_y) AS bin_y, coalesce(a.n, 0) AS num, coalesce(c.n, 0) AS den,
+           coalesce(a.n / nullif(c.n, 0), 0) AS ratio FROM (SELECT bin_x, bin_y, count(*) AS n FROM b WHERE sig GROUP BY 1, 2) a
+    FULL JOIN (SELECT bin_x, bin_y, count(*) AS n FROM b WHERE NOT sig GROUP BY 1, 2) c ON a.bin_x = c.bin_x AND a.bin_y = c.bin_y""", "live"), ["ratio"])
 def j9(spark, sf):
     from ..functions.binning import density_bin as dbin
 
     live = C(spark, sf).where(J.not_ghost())
-    b = live.select((F.col("user_index") > 0).alias("sig"), dbin(F.col("eta"), F.lit(-0.9), F.lit(0.9), 20).alias("bx"),
-                    dbin(F.col("pt"), F.lit(0.0), F.lit(120.0), 20).alias("by"))
-    counts = b.groupBy("bx", "by").agg(F.count_if("sig").alias("s"), F.count_if(~F.col("sig")).alias("b"))
-    return joins.hist_ratio(counts.where("s > 0").select("bx", "by", F.col("s").alias("n")),
-                            counts.where("b > 0").select("bx", "by", F.col("b").alias("n")), ["bx", "by"])
+    b = live.select((F.col("user_index") > 0).alias("sig"), dbin(F.col("eta"), F.lit(-0.9), F.lit(0.9), 20).alias("bin_x"),
+                    dbin(F.col("pt"), F.lit(0.0), F.lit(120.0), 20).alias("bin_y"))
+    counts = b.groupBy("bin_x", "bin_y").agg(F.count_if("sig").alias("s"), F.count_if(~F.col("sig")).alias("b"))
+    return joins.hist_ratio(counts.where("s > 0").select("bin_x", "bin_y", F.col("s").alias("n")),
+                            counts.where("b > 0").select("bin_x", "bin_y", F.col("b").alias("n")), ["bin_x", "bin_y"])
 
 
 NODES_SQL = """

@@ -50,7 +50,7 @@ _HIST = """, grp AS (SELECT feature, 0 AS grp, value FROM long UNION ALL SELECT
     rng AS (SELECT feature, grp, min(value) AS lo, max(value) AS hi FROM grp GROUP BY 1, 2),
     cnt AS (SELECT g.feature, g.grp, {bin} AS bin, count(*) AS n FROM grp g JOIN rng r ON g.feature = r.feature AND g.grp = r.grp GROUP BY 1, 2, 3),
     full_grid AS (SELECT feature, grp, lo, hi, CAST(u.bin AS INT) AS bin FROM rng, (SELECT unnest(range(0, {n})) AS bin) u)
-    SELECT f.feature, CAST(f.grp AS INT) AS grp, f.bin, f.lo + (f.hi - f.lo) / {n} * f.bin AS left, coalesce(c.n, 0) AS n,
+    SELECT f.feature, CAST(f.grp AS INT) AS grp, f.bin, f.lo + (f.hi - f.lo) / {n} * f.bin AS left_edge, coalesce(c.n, 0) AS n,
            coalesce(c.n, 0) / (sum(coalesce(c.n, 0)) OVER (PARTITION BY f.feature, f.grp) * ((f.hi - f.lo) / {n})) AS density
     FROM full_grid f LEFT JOIN cnt c ON f.feature = c.feature AND f.grp = c.grp AND f.bin = c.bin"""
 
@@ -60,7 +60,7 @@ def _hist_sql(n):
 
 
 for _n in (10, 25, 30):
-    query(f"D4_hist_density_{_n}", _hist_sql(_n), ["left", "density"])(
+    query(f"D4_hist_density_{_n}", _hist_sql(_n), ["left_edge", "density"])(
         lambda spark, sf, n=_n: S.density_histogram(training_rows(spark, sf), FEATURES, n))
 
 # Name, column, and (low, high, bins) of the particle and jet histograms.
@@ -93,15 +93,15 @@ COMPARE_PAIRS = [("angularity", (0, 0.5, 50), "angularity_nw", (0, 0.5, 50)), ("
 
 
 @query("D7_hist_2d", with_ctes(" UNION ALL ".join(
-    f"SELECT '{a}:{b}' AS pair, {fixed_bin(a, *ra)} AS bx, {fixed_bin(b, *rb)} AS \"by\", count(*) AS n FROM train WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 2, 3"
+    f"SELECT '{a}:{b}' AS pair, {fixed_bin(a, *ra)} AS bin_x, {fixed_bin(b, *rb)} AS bin_y, count(*) AS n FROM train WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 2, 3"
     for a, ra, b, rb in COMPARE_PAIRS), "train"))
 def d7(spark, sf):
     from ..functions.binning import fixed_bin as fb
 
-    cells = F.array(*[F.struct(F.lit(f"{a}:{b}").alias("pair"), fb(F.col(a), *ra).alias("bx"), fb(F.col(b), *rb).alias("by"))
+    cells = F.array(*[F.struct(F.lit(f"{a}:{b}").alias("pair"), fb(F.col(a), *ra).alias("bin_x"), fb(F.col(b), *rb).alias("bin_y"))
                       for a, ra, b, rb in COMPARE_PAIRS])
     long = training_rows(spark, sf).select(F.explode(cells).alias("c")).select("c.*")
-    return long.where(F.col("bx").isNotNull() & F.col("by").isNotNull()).groupBy("pair", "bx", "by").agg(F.count("*").alias("n"))
+    return long.where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull()).groupBy("pair", "bin_x", "bin_y").agg(F.count("*").alias("n"))
 
 
 @query("D9_hexbin_log", with_ctes("""
@@ -118,8 +118,8 @@ def d9(spark, sf):
 def _pairs_sql(pairs, n):
     cols = sorted({c for p in pairs for c in p})
     binned = ", ".join(density_bin(c, f"(min({c}) OVER ())", f"(max({c}) OVER ())", n) + f" AS {c}" for c in cols)
-    parts = " UNION ALL ".join(f"SELECT label, '{a}' AS a, '{b}' AS b, {a} AS bx, {b} AS \"by\" FROM binned" for a, b in pairs)
-    return with_ctes(f", binned AS (SELECT label, {binned} FROM train) SELECT label, a, b, bx, \"by\", count(*) AS n FROM ({parts}) GROUP BY ALL", "train")
+    parts = " UNION ALL ".join(f"SELECT label, '{a}' AS a, '{b}' AS b, {a} AS bin_x, {b} AS bin_y FROM binned" for a, b in pairs)
+    return with_ctes(f", binned AS (SELECT label, {binned} FROM train) SELECT label, a, b, bin_x, bin_y, count(*) AS n FROM ({parts}) GROUP BY ALL", "train")
 
 
 @query("D10_scatter_matrix", _pairs_sql([(p, q) for i, p in enumerate(FEATURES) for q in FEATURES[i:]], 30))
@@ -381,7 +381,7 @@ def f13(spark, sf):
 
 @query("F13_silhouette_hist", with_ctes(_F13 + f""", j AS (SELECT sc.r_idx, sc.pt_hard_min, sc.label, raw.p_t_1, sc.silhouette FROM sc JOIN raw ON sc.id = raw.id),
     r AS (SELECT r_idx, pt_hard_min, label, min(p_t_1) AS xl, max(p_t_1) AS xh, min(silhouette) AS yl, max(silhouette) AS yh FROM j GROUP BY 1, 2, 3)
-    SELECT j.r_idx, j.pt_hard_min, j.label, {density_bin('j.p_t_1', 'r.xl', 'r.xh', 20)} AS bx, {density_bin('j.silhouette', 'r.yl', 'r.yh', 20)} AS "by", count(*) AS n
+    SELECT j.r_idx, j.pt_hard_min, j.label, {density_bin('j.p_t_1', 'r.xl', 'r.xh', 20)} AS bin_x, {density_bin('j.silhouette', 'r.yl', 'r.yh', 20)} AS bin_y, count(*) AS n
     FROM j JOIN r ON j.r_idx = r.r_idx AND j.pt_hard_min = r.pt_hard_min AND j.label = r.label GROUP BY ALL""", "train"))
 def f13h(spark, sf):
     rows, scores = _f13_rows(spark, sf)
