@@ -112,7 +112,7 @@ def s1(spark, sf):
 @query("S2_stream_hist", f"SELECT event_type, {fixed_bin('value', 0, 100, 50)} AS bin, count(*) AS n FROM events GROUP BY 1, 2")
 def s2(spark, sf):
     schema = V.table(spark, sf, "events").schema
-    stream = jobs.file_stream(spark, f"{sf}/events.parquet", schema)
+    stream = jobs.file_stream(spark, f"{sf}/events.parquet*", schema)
     return jobs.run_complete(jobs.stream_histogram(stream, F.col("value"), 0, 100, 50, ["event_type"]), "stream-hist")
 
 
