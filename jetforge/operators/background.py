@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ROWS_PER_TASK, grouped_quantiles, ranked, top_k
+from ..functions.ordering import ROWS_PER_TASK, grouped_quantiles, hot_groups, ranked, top_k
 from ..schema import GHOST_PT, KEYS
 
 
@@ -13,24 +15,34 @@ def epsilon(jets: DataFrame) -> DataFrame:
     return jets.withColumn("epsilon", F.try_divide("p_t", "area"))
 
 
-def _median(densities: DataFrame, events: DataFrame, name: str, rows_per_task: int, sizes: DataFrame | None) -> DataFrame:
-    """Median density per event; events whose list is empty get 0."""
-    med = grouped_quantiles(densities, ["event_id"], "epsilon", {name: 0.5}, rows_per_task=rows_per_task, sizes=sizes)
-    return events.join(med, "event_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+# Which jets of an event enter each density median.
+_MEDIANS = {
+    "rho_all": ("all", "live"), "rho_all_ghosts": ("all", "any"),
+    "rho_drop2": ("rest", "live"), "rho_drop2_ghosts": ("rest", "any"),
+}
+
+
+def _with_rank(jets: DataFrame) -> DataFrame:
+    """Jets with density, "not among the dropped leaders" and "not a ghost" flags, by windows over
+    the event. Leaders are the min(2, n-1) jets of largest pT, ghosts included."""
+    order = Window.partitionBy("event_id").orderBy(F.col("p_t").desc(), F.col("jet_id"))
+    whole = Window.partitionBy("event_id")
+    return (epsilon(jets).withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count("*").over(whole))
+            .withColumn("_rest", F.col("_rn") > F.least(F.lit(2), F.col("_n") - 1))
+            .withColumn("_live", F.col("p_t") > GHOST_PT))
 
 
-def rho_median(jets: DataFrame, *, ghosts: bool = True, name: str = "rho", rows_per_task: int = ROWS_PER_TASK,
-               sizes: DataFrame | None = None) -> DataFrame:
-    """Median pT density per event over all jets, or over non-ghost jets only."""
-    dens = epsilon(jets if ghosts else jets.where(F.col("p_t") > GHOST_PT))
-    return _median(dens, jets.select("event_id").distinct(), name, rows_per_task, sizes)
+def _in(name: str) -> Column:
+    span, ghosts = _MEDIANS[name]
+    cond = F.col("_rest") if span == "rest" else F.lit(True)
+    return cond & F.col("_live") if ghosts == "live" else cond
 
 
 def drop_leading(jets: DataFrame, k: int = 2) -> DataFrame:
-    """Jets without the leading min(k, n-1) of their event by pT.
+    """Jets without the leading min(k, n-1) of their event by pT, without holding an event in a task.
 
-    Only the k leaders of an event and its jet count are computed; they are removed with an anti
-    join on the full jet key, so no task ever holds a whole event.
+    Only the k leaders of an event (limited per task ahead of the shuffle) and its jet count are
+    computed; leaders are removed with an anti join on the full jet key.
     """
     lead = top_k(jets.select(*KEYS, "p_t"), ["event_id"], [F.col("p_t").desc(), F.col("jet_id")], k)
     count = jets.groupBy("event_id").agg(F.count("*").alias("_n"))
@@ -38,14 +50,54 @@ def drop_leading(jets: DataFrame, k: int = 2) -> DataFrame:
     return jets.join(gone, KEYS, "left_anti")
 
 
-def rho_median_drop2(jets: DataFrame, *, ghosts: bool = True, name: str = "rho", rows_per_task: int = ROWS_PER_TASK,
-                     sizes: DataFrame | None = None) -> DataFrame:
-    """As rho_median after removing the leading two jets; leaders are chosen over all jets, ghosts
-    are filtered afterwards."""
-    rest = drop_leading(jets)
-    if not ghosts:
-        rest = rest.where(F.col("p_t") > GHOST_PT)
-    return _median(epsilon(rest), jets.select("event_id").distinct(), name, rows_per_task, sizes)
+def _hot_medians(jets: DataFrame, names: Sequence[str], rows_per_task: int) -> DataFrame:
+    """The medians for events too large for one task."""
+    out = jets.select("event_id").distinct()
+    for name in names:
+        span, ghosts = _MEDIANS[name]
+        rows = drop_leading(jets) if span == "rest" else jets
+        rows = epsilon(rows.where(F.col("p_t") > GHOST_PT) if ghosts == "live" else rows)
+        med = grouped_quantiles(rows, ["event_id"], "epsilon", {name: 0.5}, rows_per_task=rows_per_task)
+        out = out.join(med, "event_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
+def density_medians(jets: DataFrame, names: Sequence[str] = tuple(_MEDIANS), *, rows_per_task: int = ROWS_PER_TASK,
+                    sizes: DataFrame | None = None) -> DataFrame:
+    """Median pT density per event over all jets or without two leaders, with ghost jets in or out;
+    0 where no jet is left. All medians share one pass over the jets. Events above ``rows_per_task``
+    jets take the distributed path."""
+    hot = hot_groups(jets, ["event_id"], rows_per_task, sizes)
+    ordinary = jets if not hot.count else jets.join(hot.frame, "event_id", "left_anti")
+    med = _with_rank(ordinary).groupBy("event_id").agg(*[
+        F.coalesce(F.percentile(F.when(_in(n), F.col("epsilon")), F.lit(0.5)), F.lit(0.0)).alias(n) for n in names])
+    if not hot.count:
+        return med
+    return med.unionByName(_hot_medians(jets.join(hot.frame, "event_id", "left_semi"), names, rows_per_task))
+
+
+def rho_median(jets: DataFrame, *, ghosts: bool = True, name: str = "rho", **kw) -> DataFrame:
+    pick = "rho_all_ghosts" if ghosts else "rho_all"
+    return density_medians(jets, [pick], **kw).withColumnRenamed(pick, name)
+
+
+def rho_median_drop2(jets: DataFrame, *, ghosts: bool = True, name: str = "rho", **kw) -> DataFrame:
+    pick = "rho_drop2_ghosts" if ghosts else "rho_drop2"
+    return density_medians(jets, [pick], **kw).withColumnRenamed(pick, name)
+
+
+def with_rho_drop2(jets: DataFrame, *, rows_per_task: int = ROWS_PER_TASK, sizes: DataFrame | None = None) -> DataFrame:
+    """Jets with the drop-2 median of their event. One shuffle by event serves rank, count, median
+    and attachment; only events above ``rows_per_task`` jets go through a median table and a join."""
+    hot = hot_groups(jets, ["event_id"], rows_per_task, sizes)
+    ordinary = jets if not hot.count else jets.join(hot.frame, "event_id", "left_anti")
+    med = F.percentile(F.when(F.col("_rest"), F.col("epsilon")), F.lit(0.5)).over(Window.partitionBy("event_id"))
+    out = _with_rank(ordinary).withColumn("rho", F.coalesce(med, F.lit(0.0))).select(*jets.columns, "rho")
+    if not hot.count:
+        return out
+    big = jets.join(hot.frame, "event_id", "left_semi")
+    rho = _hot_medians(big, ["rho_drop2_ghosts"], rows_per_task).withColumnRenamed("rho_drop2_ghosts", "rho")
+    return out.unionByName(attach_rho(big, rho))
 
 
 def attach_rho(jets: DataFrame, rho: DataFrame) -> DataFrame:
@@ -56,19 +108,12 @@ def pt_corr(jets: DataFrame, rho: str = "rho") -> DataFrame:
     return jets.withColumn("p_t_corr", F.col("p_t") - F.col(rho) * F.col("area"))
 
 
-def ghost_stats(constits: DataFrame, jets: DataFrame, *, rows_per_task: int = ROWS_PER_TASK,
-                sizes: DataFrame | None = None) -> DataFrame:
-    """Share of all-ghost jets per event, and the four density medians (ghost jets in or out, two
-    leaders in or out)."""
-    per_jet = constits.groupBy(*KEYS).agg(F.bool_and(F.col("pt") < GHOST_PT).alias("ghost"))
-    share = per_jet.groupBy("event_id").agg(
-        F.count("*").alias("n_jets"), F.count_if("ghost").alias("n_ghost"),
-        F.avg(F.col("ghost").cast("double")).alias("ghost_share"))
-    opts = dict(rows_per_task=rows_per_task, sizes=sizes)
-    return (share.join(rho_median(jets, ghosts=False, name="rho_all", **opts), "event_id")
-            .join(rho_median(jets, name="rho_all_ghosts", **opts), "event_id")
-            .join(rho_median_drop2(jets, ghosts=False, name="rho_drop2", **opts), "event_id")
-            .join(rho_median_drop2(jets, name="rho_drop2_ghosts", **opts), "event_id"))
+def ghost_stats(jets: DataFrame, **kw) -> DataFrame:
+    """Share of all-ghost jets per event, and the four density medians."""
+    share = jets.groupBy("event_id").agg(
+        F.count("*").alias("n_jets"), F.count_if(F.col("n_trk") == 0).alias("n_ghost"),
+        F.avg((F.col("n_trk") == 0).cast("double")).alias("ghost_share"))
+    return share.join(density_medians(jets, **kw), "event_id")
 
 
 def jet_rank(jets: DataFrame, *, rows_per_task: int = ROWS_PER_TASK, sizes: DataFrame | None = None) -> DataFrame:

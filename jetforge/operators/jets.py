@@ -33,10 +33,22 @@ def leading(constits: DataFrame, k: int = 5, keys: Sequence[str] = KEYS,
         *[pick("pt", i).alias(f"p_t_{i}") for i in range(1, k + 1)])
 
 
-def jet_axis(constits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def jet_core(constits: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = CONSTIT_ORDER) -> DataFrame:
+    """pT sum, winner-take-all axis, signal pT and first signal index in one aggregate (partial per
+    task, so a hot jet is combined before the shuffle)."""
+    live, sig = not_ghost(), F.col("user_index") > 0
+    head = F.max(F.when(live, F.struct("pt", *[(-F.col(c)).alias(f"_{c}") for c in order], "eta", "phi")))
+    first = F.min(F.when(live & sig, F.struct(*order, "user_index")))
+    agg = constits.groupBy(*keys).agg(
+        F.sum("pt").alias("p_t"), head.alias("_h"), first.alias("_f"),
+        F.sum(F.when(live & (F.col("user_index") != 0), F.col("pt")).otherwise(0.0)).alias("tru_sum"))
+    return agg.select(*keys, "p_t", F.col("_h.eta").alias("eta"), F.col("_h.phi").alias("phi"), "tru_sum",
+                      F.coalesce("_f.user_index", F.lit(0)).alias("first_signal"))
+
+
+def jet_axis(constits: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = CONSTIT_ORDER) -> DataFrame:
     """Winner-take-all recombination: summed pT, direction of the hardest constituent."""
-    sums = constits.groupBy(*keys).agg(F.sum("pt").alias("p_t"))
-    return sums.join(leading(constits, 1, keys).select(*keys, "eta", "phi"), list(keys), "left")
+    return jet_core(constits, keys, order).select(*keys, "p_t", "eta", "phi")
 
 
 def track_counts(constits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -69,7 +81,7 @@ def with_axis(constits: DataFrame, axis: DataFrame, keys: Sequence[str] = KEYS)
 
 def angularity(constits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Momentum-weighted and plain mean distance to the axis."""
-    near = with_axis(constits.where(not_ghost()), leading(constits, 1, keys), keys)
+    near = with_axis(constits.where(not_ghost()), jet_axis(constits, keys), keys)
     return near.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pt") * F.col("dr")), F.sum("pt")).alias("angularity"),
         F.avg("dr").alias("angularity_nw"))

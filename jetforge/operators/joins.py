@@ -32,18 +32,16 @@ def truth_match(constits: DataFrame) -> DataFrame:
     that index. The hardest holder is found per (event, index) before the join, so each jet meets
     one row instead of all truth jets of its event.
     """
-    live = constits.where(J.not_ghost())
-    truth_parts = live.where(F.col("user_index") > 0)
-    truth = truth_parts.groupBy(*KEYS).agg(F.sum("pt").alias("truth_pt")).join(
-        J.leading(truth_parts, 1).select(*KEYS, F.col("eta").alias("truth_eta"), F.col("phi").alias("truth_phi")), KEYS)
+    truth_parts = constits.where(J.not_ghost() & (F.col("user_index") > 0))
+    truth = J.jet_core(truth_parts).select(
+        *KEYS, F.col("p_t").alias("truth_pt"), F.col("eta").alias("truth_eta"), F.col("phi").alias("truth_phi"))
     holders = truth_parts.select(*KEYS, "user_index").distinct().join(truth, KEYS)
     # Descending pT, then ascending id.
     best = holders.groupBy("event_id", "user_index").agg(
         F.max(F.struct("truth_pt", (-F.col("jet_id")).alias("neg_id"), "truth_eta", "truth_phi")).alias("t"))
     best = best.select("event_id", F.col("user_index").alias("first_signal"), (-F.col("t.neg_id")).alias("truth_jet"),
                        "t.truth_pt", "t.truth_eta", "t.truth_phi")
-    jets = (J.jet_axis(constits).join(J.first_signal(constits), KEYS)
-            .join(J.signal_sums(constits).select(*KEYS, "tru_sum"), KEYS, "left"))
+    jets = J.jet_core(constits)
     out = jets.join(best, ["event_id", "first_signal"], "left")
     dist = delta_r(F.col("eta"), F.col("phi"), F.col("truth_eta"), F.col("truth_phi"))
     return out.select(

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binning import pt_label
 from ..operators import background as bg
 from ..operators import jets as J
+from ..schema import FEATURES, KEYS
+from ..session import stored
 from ..sources import views
 
 
 def feature_table(constits: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     jets = J.jet_features(constits).withColumn("area", (10 + F.col("jet_id") % 50).cast("double") / 100)
-    # The density median only needs pT and area, so it is fed by the cheap per-jet sums.
-    rho = bg.rho_median_drop2(views.basic_jets(constits), sizes=sizes)
-    full = bg.pt_corr(bg.epsilon(bg.attach_rho(jets, rho)))
+    full = bg.pt_corr(bg.epsilon(bg.with_rho_drop2(jets, sizes=sizes)))
     return full.withColumn("label", pt_label(F.col("tru_sum"), F.col("pt_hard_min"))).drop("rho")
 
 
@@ -26,3 +28,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled jets with at least one real track: every feature is defined."""
     return features(spark, sf_dir).where(F.col("n_trk") > 0)
+
+
+def stored_rows(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ()) -> DataFrame:
+    """Training rows for jobs that read them more than once: the needed columns are written to the
+    shared folder once, so later passes are column scans instead of repeated shuffles of the
+    constituents, and losing an executor loses nothing."""
+    cols = dict.fromkeys([*KEYS, "r_idx", "pt_hard_min", "label", *FEATURES, *columns])
+    return stored(training_rows(spark, sf_dir).select(*cols), "training-rows")

@@ -119,16 +119,14 @@ def e15(spark, sf):
        coalesce(quantile_cont(CASE WHEN rn > least(2, n_jets - 1) THEN epsilon END, 0.5), 0) AS rho_drop2_ghosts
        FROM ranked r GROUP BY 1""", "ranked"), ["ghost_share", "rho_all", "rho_all_ghosts", "rho_drop2", "rho_drop2_ghosts"])
 def e16(spark, sf):
-    c = C(spark, sf)
-    return bg.ghost_stats(c, V.basic_jets(c), sizes=V.event_sizes(spark, sf))
+    return bg.ghost_stats(basic(spark, sf), sizes=V.event_sizes(spark, sf))
 
 
 @query("E17_pt_corr", with_ctes("""SELECT j.event_id, j.jet_id, j.p_t, j.p_t - r.rho * j.area AS p_t_corr FROM jets j
        JOIN rho2 r ON j.event_id = r.event_id""", "jets", "rho2"), ["p_t", "p_t_corr"])
 def e17(spark, sf):
-    jets = basic(spark, sf)
-    rho = bg.rho_median_drop2(jets, sizes=V.event_sizes(spark, sf))
-    return bg.pt_corr(bg.attach_rho(jets, rho)).select(*KEYS, "p_t", "p_t_corr")
+    jets = bg.with_rho_drop2(basic(spark, sf), sizes=V.event_sizes(spark, sf))
+    return bg.pt_corr(jets).select(*KEYS, "p_t", "p_t_corr")
 
 
 @query("E18_subjet_share", with_ctes("""SELECT event_id, jet_id, coalesce(max(cell) / nullif(sum(cell), 0), -1) AS z_subjet FROM (
@@ -211,6 +209,6 @@ def d8(spark, sf):
     from ..functions.kinematics import delta_phi
 
     live = C(spark, sf).where(J.not_ghost())
-    near = J.with_axis(live, J.leading(live, 1))
+    near = J.with_axis(live, J.jet_axis(live))
     return S.histogram_2d(near, delta_phi(F.col("phi"), F.col("axis_phi")), (-1, 1, 200),
                           F.col("axis_eta") - F.col("eta"), (-1, 1, 200), weight=F.col("pt"))

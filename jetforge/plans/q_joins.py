@@ -14,7 +14,7 @@ from ..operators import trees
 from ..schema import KEYS
 from ..sources import views as V
 from .check_ctes import density_bin, dr, h60, with_ctes
-from .features import training_rows
+from .features import stored_rows
 from .registry import query
 
 C = V.constituents
@@ -94,7 +94,7 @@ def j7(spark, sf):
        FROM live c JOIN lead s ON c.event_id = s.event_id) WHERE rn = 1""", "live", "lead"), ["distance"])
 def j8(spark, sf):
     live = C(spark, sf).where(J.not_ghost())
-    seeds = J.leading(live, 1).select(*KEYS, "eta", "phi")
+    seeds = J.jet_axis(live).select(*KEYS, "eta", "phi")
     return joins.cone_assign(live, seeds, 0.4, particle_keys=CK)
 
 
@@ -145,12 +145,12 @@ def mean_split_nodes(rows):
 
 @query("F15_tree_rules", with_ctes(NODES_SQL + " SELECT b.leaf, t.prediction, b.feature, b.lo, b.hi FROM boxes b JOIN tops t ON b.leaf = t.leaf", "train"), ["lo", "hi"])
 def f15(spark, sf):
-    return trees.tree_rules(mean_split_nodes(training_rows(spark, sf)))
+    return trees.tree_rules(mean_split_nodes(stored_rows(spark, sf)))
 
 
 @query("J10_box_lookup", with_ctes(NODES_SQL + """ SELECT p.event_id, p.jet_id, CAST(p.leaf AS INT) AS leaf FROM placed p""", "train"))
 def j10(spark, sf):
-    rows = training_rows(spark, sf)
+    rows = stored_rows(spark, sf)
     return trees.box_lookup(rows, trees.tree_rules(mean_split_nodes(rows))).select(*KEYS, "leaf")
 
 

@@ -12,7 +12,7 @@ from ..operators import stats as S
 from ..schema import ABLATIONS, DEFAULT_EDGES, FEATURES, KEYS, TWO_CLASS_EDGES
 from ..sources import views as V
 from .check_ctes import dphi, fixed_bin, with_ctes
-from .features import features, training_rows
+from .features import features, stored_rows, training_rows
 from .registry import query
 
 C = V.constituents
@@ -106,7 +106,7 @@ def b9(spark, sf):
 @query("B10_minmax_scale", with_ctes("SELECT event_id, jet_id, " + ", ".join(
     f"coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0) AS {c}" for c in FEATURES) + " FROM train", "train"), FEATURES)
 def b10(spark, sf):
-    return P.minmax_scale(training_rows(spark, sf).select(*KEYS, *FEATURES), FEATURES)
+    return P.minmax_scale(stored_rows(spark, sf).select(*KEYS, *FEATURES), FEATURES)
 
 
 @query("B11_purity_class", with_ctes("""SELECT event_id, jet_id, CAST(CASE WHEN x < 0.1::DOUBLE THEN 0 WHEN x < 0.5 THEN 1 WHEN x < 0.9::DOUBLE THEN 2
@@ -171,7 +171,7 @@ def b17(spark, sf):
     from ..operators import jets as J
 
     live = C(spark, sf).where(J.not_ghost())
-    near = J.with_axis(live, J.leading(live, 1))
+    near = J.with_axis(live, J.jet_axis(live))
     return near.select(*CK, K.delta_phi(F.col("phi"), F.col("axis_phi")).alias("dphi"), K.delta_eta(F.col("eta"), F.col("axis_eta")).alias("deta"), "dr")
 
 

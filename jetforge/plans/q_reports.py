@@ -10,7 +10,7 @@ from ..session import shared_path
 from ..sources import views as V
 from ..streaming import jobs
 from .check_ctes import fixed_bin, h60, with_ctes
-from .features import training_rows
+from .features import stored_rows, training_rows
 from .q_stats import GRID, IMP_SQL, METRIC_SQL, NAMES, _cut_tail, _stump_sql, grid_importance, metrics_long
 from .registry import query
 
@@ -78,7 +78,7 @@ def g5(spark, sf):
 def g5r(spark, sf):
     from ..operators import votes
 
-    rows = training_rows(spark, sf)
+    rows = stored_rows(spark, sf)
     best = votes.best_stump(votes.stump_counts(rows, FEATURES, 16, groups=GRID), 16, groups=GRID)
     return votes.cut_report(best, NAMES, GRID)
 

@@ -122,7 +122,7 @@ def a9(spark, sf):
     bkgd = V.basic_jets(c.where(F.col("user_index") == 0))
     total = V.basic_jets(c)
     rb = bg.pt_corr(bg.attach_rho(bkgd, bg.rho_median(bkgd, sizes=sizes)))
-    rt = bg.pt_corr(bg.attach_rho(total, bg.rho_median_drop2(total, sizes=sizes)))
+    rt = bg.pt_corr(bg.with_rho_drop2(total, sizes=sizes))
     matched = rt.join(J.first_signal(c).where(F.col("first_signal") > 0), KEYS, "left_semi")
     tables = [pick(sig, "signal", F.col("p_t")), pick(bkgd, "bkgd_kt", F.lit(0.0)), pick(rb, "bkgd_antikt", F.col("p_t_corr")),
               pick(rt, "total", F.col("p_t_corr")), pick(matched, "total_matched", F.col("p_t_corr"))]

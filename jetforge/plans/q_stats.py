@@ -14,7 +14,7 @@ from ..operators.jets import not_ghost
 from ..schema import FEATURES, KEYS, LABEL_NAMES
 from ..sources import views as V
 from .check_ctes import density_bin, fixed_bin, h60, with_ctes
-from .features import training_rows
+from .features import stored_rows, training_rows
 from .registry import query
 
 C = V.constituents
@@ -37,7 +37,7 @@ def d1(spark, sf):
        quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM long GROUP BY 1""", "long"),
        ["mean", "std", "min", "max", "q25", "q50", "q75"])
 def d2(spark, sf):
-    return S.describe(training_rows(spark, sf), FEATURES)
+    return S.describe(stored_rows(spark, sf), FEATURES)
 
 
 @query("D3_corr_matrix", with_ctes(" UNION ALL ".join(
@@ -61,7 +61,7 @@ def _hist_sql(n):
 
 for _n in (10, 25, 30):
     query(f"D4_hist_density_{_n}", _hist_sql(_n), ["left_edge", "density"])(
-        lambda spark, sf, n=_n: S.density_histogram(training_rows(spark, sf), FEATURES, n))
+        lambda spark, sf, n=_n: S.density_histogram(stored_rows(spark, sf), FEATURES, n))
 
 # Name, column, and (low, high, bins) of the particle and jet histograms.
 FIXED_HISTOGRAMS = [
@@ -112,7 +112,7 @@ def d7(spark, sf):
     SELECT CAST(CASE WHEN first THEN 0 ELSE 1 END AS INT) AS lattice, CAST(CASE WHEN first THEN floor(u + 0.5) ELSE floor(u) END AS BIGINT) AS ix,
            CAST(CASE WHEN first THEN floor(v + 0.5) ELSE floor(v) END AS BIGINT) AS iy, count(*) AS n, log10(count(*) + 1) AS color FROM d GROUP BY 1, 2, 3""", "train"), ["color"])
 def d9(spark, sf):
-    return S.hexbin(P.class_filter(training_rows(spark, sf), drop=[2]), "p_t_corr", "area", 20)
+    return S.hexbin(P.class_filter(stored_rows(spark, sf), drop=[2]), "p_t_corr", "area", 20)
 
 
 def _pairs_sql(pairs, n):
@@ -125,7 +125,7 @@ def _pairs_sql(pairs, n):
 @query("D10_scatter_matrix", _pairs_sql([(p, q) for i, p in enumerate(FEATURES) for q in FEATURES[i:]], 30))
 def d10(spark, sf):
     pairs = [(p, q) for i, p in enumerate(FEATURES) for q in FEATURES[i:]]
-    return S.pair_histograms(training_rows(spark, sf), FEATURES, 30, pairs=pairs)
+    return S.pair_histograms(stored_rows(spark, sf), FEATURES, 30, pairs=pairs)
 
 
 _VS = ["area", "angularity", "mean_p_t", "p_t_1"]
@@ -133,13 +133,13 @@ _VS = ["area", "angularity", "mean_p_t", "p_t_1"]
 
 @query("D11_feature_vs_pt", _pairs_sql([("p_t", c) for c in _VS], 30))
 def d11(spark, sf):
-    return S.pair_histograms(training_rows(spark, sf), ["p_t", *_VS], 30, pairs=[("p_t", c) for c in _VS])
+    return S.pair_histograms(stored_rows(spark, sf, ["p_t"]), ["p_t", *_VS], 30, pairs=[("p_t", c) for c in _VS])
 
 
 @query("D12_profile_by_bin", with_ctes(f"""SELECT {density_bin('p_t', 'lo', 'hi', 20)} AS bin, count(*) AS n, avg(angularity) AS mean,
        quantile_cont(angularity, 0.5) AS median FROM train, (SELECT min(p_t) AS lo, max(p_t) AS hi FROM train) GROUP BY 1""", "train"), ["mean", "median"])
 def d12(spark, sf):
-    return S.profile(training_rows(spark, sf), "p_t", "angularity", 20)
+    return S.profile(stored_rows(spark, sf, ["p_t"]), "p_t", "angularity", 20)
 
 
 @query("D12_profile_strict", with_ctes("""SELECT CAST(floor((p_t - lo) / ((hi - lo) / 19)) AS INT) AS bin, count(*) AS n, avg(angularity) AS mean,
@@ -147,7 +147,7 @@ def d12(spark, sf):
        WHERE p_t > lo + (hi - lo) / 19 * floor((p_t - lo) / ((hi - lo) / 19)) AND p_t < lo + (hi - lo) / 19 * floor((p_t - lo) / ((hi - lo) / 19)) + (hi - lo) / 20
        GROUP BY 1""", "train"), ["mean", "median"])
 def d12s(spark, sf):
-    return S.profile(training_rows(spark, sf), "p_t", "angularity", 20, strict_edges=True)
+    return S.profile(stored_rows(spark, sf, ["p_t"]), "p_t", "angularity", 20, strict_edges=True)
 
 
 @query("D15_accuracy", with_ctes("SELECT split, avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM scored GROUP BY 1", "scored"), ["accuracy"])
@@ -284,7 +284,7 @@ def _cut_tail(groups):
 
 @query("F9_top_cut", _stump_sql(32, [], _cut_tail([])), ["threshold", "gain", "pct_below", "pct_above"])
 def f9(spark, sf):
-    best = votes.best_stump(votes.stump_counts(training_rows(spark, sf), FEATURES, 32), 32)
+    best = votes.best_stump(votes.stump_counts(stored_rows(spark, sf), FEATURES, 32), 32)
     return votes.cut_report(best, NAMES)
 
 
@@ -295,7 +295,7 @@ GRID = ["r_idx", "pt_hard_min"]
     f"CAST(l{k} AS BIGINT) AS l{k}, CAST(t{k} AS BIGINT) AS t{k}" for k in (1, 2, 3)) + " FROM bs"), ["threshold", "gain"])
 def g1(spark, sf):
     """The single best cut at every grid point, as one job over all of them."""
-    rows = training_rows(spark, sf)
+    rows = stored_rows(spark, sf)
     return votes.best_stump(votes.stump_counts(rows, FEATURES, 16, groups=GRID), 16, groups=GRID)
 
 
@@ -318,13 +318,13 @@ _SIL1 = """
 
 @query("F12_silhouette_1d", with_ctes(_SIL1 + " SELECT feature, sum(n * s) / sum(n) AS silhouette, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1", "long"), ["silhouette"])
 def f12(spark, sf):
-    return sil.silhouette_1d_mean(training_rows(spark, sf), FEATURES)
+    return sil.silhouette_1d_mean(stored_rows(spark, sf), FEATURES)
 
 
 @query("F12_silhouette_1d_hist", with_ctes(_SIL1 + f""" SELECT s.feature, {density_bin('s.s', 'r.lo', 'r.hi', 10)} AS bin, CAST(sum(n) AS BIGINT) AS n FROM s
        JOIN (SELECT feature, min(s) AS lo, max(s) AS hi FROM s GROUP BY 1) r ON s.feature = r.feature GROUP BY 1, 2""", "long"))
 def f12h(spark, sf):
-    s = sil.silhouette_1d(training_rows(spark, sf), FEATURES)
+    s = sil.silhouette_1d(stored_rows(spark, sf), FEATURES)
     r = s.groupBy("feature").agg(F.min("silhouette").alias("lo"), F.max("silhouette").alias("hi"))
     return s.join(F.broadcast(r), "feature").groupBy("feature", dbin(F.col("silhouette"), F.col("lo"), F.col("hi"), 10).alias("bin")).agg(
         F.sum("n").alias("n"))
@@ -354,13 +354,13 @@ _SQ = " + ".join(f"{c} * {c}" for c in FEATURES)
     ab AS (SELECT event_id, jet_id, label, max(CASE WHEN label = other THEN d / (n - 1) END) AS a, min(CASE WHEN label <> other THEN d / n END) AS b FROM d GROUP BY 1, 2, 3)
     SELECT label, avg((b - a) / greatest(a, b)) AS silhouette FROM ab GROUP BY 1""", "train"), ["silhouette"])
 def f11q(spark, sf):
-    s = sil.silhouette_squared(training_rows(spark, sf), FEATURES)
+    s = sil.silhouette_squared(stored_rows(spark, sf), FEATURES)
     return s.groupBy("label").agg(F.avg("silhouette").alias("silhouette"))
 
 
 def _f13_rows(spark, sf):
     """Silhouettes of fakes against reals on min-max scaled features, inside each grid point."""
-    rows = P.class_filter(training_rows(spark, sf), drop=[2]).select("jet_id", *GRID, "label", *FEATURES)
+    rows = P.class_filter(stored_rows(spark, sf), drop=[2]).select("jet_id", *GRID, "label", *FEATURES)
     unit = P.minmax_scale(rows, FEATURES, GRID).select("jet_id", *GRID, "label", F.array(*FEATURES).alias("vec"))
     return rows, sil.silhouette_rows(unit, "jet_id", "vec", groups=GRID)
 

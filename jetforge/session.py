@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings: re-plan at run time and split skewed join partitions even where the
 # split costs one more exchange (a third of all rows may share a key).
@@ -66,3 +66,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back: cuts the lineage and turns later
+    passes into column-pruned scans."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
