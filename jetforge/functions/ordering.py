@@ -26,7 +26,7 @@ ROWS_PER_TASK = 500_000
 MAX_EDGES = 1024
 # Largest number of hot groups whose edges are broadcast (edges: MAX_EDGES doubles each at most).
 MAX_BROADCAST_GROUPS = 1_000
-HASH_BUCKET_BITS = 10
+HASH_BUCKET_BITS = 12
 
 _B = "_bucket"
 
@@ -144,11 +144,10 @@ def hash_ranked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], *, se
     """
     hashed = df.withColumn("_h", hash60(*keys, seed=seed)).withColumn(
         _B, F.shiftright(F.col("_h"), HASH_BITS - bucket_bits))
-    offsets = _offsets(hashed, groups, {"n": F.lit(1)})
     totals = hashed.groupBy(*groups, _B).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*groups)
-    sized = totals.select(*groups, _B, F.sum("_n").over(whole).alias(size))
-    side = offsets.join(sized, [*groups, _B])
+    before = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    side = totals.select(*groups, _B, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
+                         F.sum("_n").over(Window.partitionBy(*groups)).alias(size))
     inside = hashed.withColumn("_i", F.row_number().over(Window.partitionBy(*groups, _B).orderBy("_h", *keys)))
     return inside.join(side, [*groups, _B]).select(
         *df.columns, (F.col("_i") + F.col("_o_n")).cast("bigint").alias(name), F.col(size).cast("bigint").alias(size))

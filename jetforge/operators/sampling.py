@@ -23,7 +23,7 @@ def balance_classes(df: DataFrame, keys: Sequence[str], *, label: str = "label",
     with a handful of rows does not put all its copies into one task. Adds ``copy`` (0 for anchor
     rows, 1.. for draws), which makes (keys, copy) unique.
     """
-    rows = hash_ranked(df.where(F.col(label).isin(anchor, *others)), [label], keys, seed=seed, name="_ord", size="_n")
+    rows = hash_ranked(df.where(F.col(label).isin(*others)), [label], keys, seed=seed, name="_ord", size="_n")
     n_anchor = df.where(F.col(label) == anchor).count()
     if n_anchor == 0:
         raise ValueError(f"no rows of anchor class {anchor}: nothing to balance against")
@@ -35,7 +35,7 @@ def balance_classes(df: DataFrame, keys: Sequence[str], *, label: str = "label",
              .withColumn("_ord", F.pmod(hash60(F.col(label), F.col("id"), seed=seed), F.col("_nc")) + 1)
              .groupBy(label, "_ord").agg(F.count("*").alias("_m")))
     blocks = draws.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_m - 1) div {COPIES_PER_ROW}"))))
-    picked = rows.where(F.col(label) != anchor).join(blocks, [label, "_ord"]).repartition(F.col("_ord"), F.col("_blk"))
+    picked = rows.join(blocks, [label, "_ord"]).repartition(F.col("_ord"), F.col("_blk"))
     first = F.col("_blk") * COPIES_PER_ROW + 1
     last = F.least(F.col("_m"), (F.col("_blk") + 1) * COPIES_PER_ROW)
     drawn = picked.select(*df.columns, F.explode(F.sequence(first, last)).alias("copy"))

@@ -30,21 +30,32 @@ def describe(df: DataFrame, cols: Sequence[str], rows_per_task: int = ROWS_PER_T
     return basic.join(quart, "feature")
 
 
+# Widest single aggregate: beyond it generated code gets too large and pairs go through a long form.
+MAX_WIDE_PAIRS = 24
+
+
+def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]], fn, name: str) -> DataFrame:
+    """(a, b, fn(a, b)) for column pairs in one pass over the rows."""
+    if len(pairs) <= MAX_WIDE_PAIRS:
+        agg = df.agg(*[fn(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias(name))
+                          for i, (a, b) in enumerate(pairs)])
+        return agg.select(F.explode(cells).alias("c")).select("c.*")
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                      for a, b in pairs])
+    return df.select(F.explode(cells).alias("c")).groupBy("c.a", "c.b").agg(fn("c.x", "c.y").alias(name))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all column pairs, long form, in one pass over the rows."""
-    pairs = [(a, b) for a in cols for b in cols]
-    agg = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
-                      for i, (a, b) in enumerate(pairs)])
-    return agg.select(F.explode(cells).alias("c")).select("c.*")
+    """Pearson correlation of all column pairs, long form. Only one triangle is computed."""
+    half = _pair_aggregate(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], F.corr, "corr")
+    mirror = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select("corr", F.explode(mirror).alias("p")).select("p.a", "p.b", "corr")
 
 
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.agg(*[F.covar_samp(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("cov"))
-                      for i, (a, b) in enumerate(pairs)])
-    return agg.select(F.explode(cells).alias("c")).select("c.*")
+    return _pair_aggregate(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], F.covar_samp, "cov")
 
 
 def density_histogram(df: DataFrame, cols: Sequence[str], n_bins: int, label: str = "label",

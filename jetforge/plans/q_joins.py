@@ -12,6 +12,7 @@ from ..operators import sampling
 from ..operators import stats as S
 from ..operators import trees
 from ..schema import KEYS
+from ..session import stored
 from ..sources import views as V
 from .check_ctes import density_bin, dr, h60, with_ctes
 from .features import stored_rows
@@ -170,7 +171,7 @@ def labelled(spark, sf):
     FROM o JOIN dd ON o.label = dd.label AND o.ord = dd.ord
     UNION ALL SELECT event_id, jet_id, p_t, label, 0 FROM feat WHERE label = 3""", "feat"), ["p_t"])
 def c1(spark, sf):
-    return sampling.balance_classes(labelled(spark, sf).select(*KEYS, "p_t", "label"), KEYS)
+    return sampling.balance_classes(stored(labelled(spark, sf).select(*KEYS, "p_t", "label"), "labelled"), KEYS)
 
 
 @query("C2_train_test_split", with_ctes(f"""SELECT event_id, jet_id, CASE WHEN rn <= ceil(n / 5) THEN 'test' ELSE 'train' END AS split FROM (
@@ -192,4 +193,4 @@ def c3(spark, sf):
 
 @query("C1_approx_balance")
 def c1a(spark, sf):
-    return S.class_counts(sampling.approx_balance(labelled(spark, sf)))
+    return S.class_counts(sampling.approx_balance(stored(labelled(spark, sf), "labelled")))

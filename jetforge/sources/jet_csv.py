@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60
-from ..functions.ordering import ROWS_PER_TASK, hash_ranked, ranked, running
+from ..functions.ordering import ROWS_PER_TASK, ranked, running
 from ..operators.prep import type_jets
 from ..schema import CSV_COLUMNS, SNAKE, csv_schema
 
@@ -52,7 +52,10 @@ def _csv_frame(df: DataFrame) -> DataFrame:
 
 def append_jets(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append rows as CSV; every written file starts with the header."""
-    w = _csv_frame(df).write.mode("append").option("header", True)
+    rows = _csv_frame(df)
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    w = rows.write.mode("append").option("header", True)
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)
 
 
@@ -72,9 +75,9 @@ def merge_shards(spark: SparkSession, glob: str, columns: Sequence[str] = CSV_CO
 
 
 def write_grid(df: DataFrame, path: str, by: Sequence[str] = ("R", "pt_hard_min")) -> None:
-    """The jet dataset, one directory per grid point. Rows are spread over tasks by a hash inside the
-    grid point, so a grid point holding most rows is written by many tasks."""
-    df.repartition(*by, F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(16))).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """The jet dataset, one directory per grid point. The rebalance hint sizes the write tasks at run
+    time: small grid points share a task, a grid point holding most rows is split over many."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def read_grid(spark: SparkSession, path: str, points: Sequence[tuple[float, int]] | None = None,
@@ -94,7 +97,7 @@ def read_grid(spark: SparkSession, path: str, points: Sequence[tuple[float, int]
 
 def write_tables(df: DataFrame, path: str) -> None:
     """The five jet tables as one dataset partitioned by ``source``."""
-    df.write.mode("overwrite").partitionBy("source").parquet(path)
+    df.hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(path)
 
 
 def catalog_scan(catalog: DataFrame, *, suffix: str = "", name: str = "file", **wanted) -> DataFrame:
@@ -112,7 +115,7 @@ def scan_files(rows: DataFrame, catalog: DataFrame, name: str = "file") -> DataF
 def shuffled_read(df: DataFrame, file: str, event: str, seed: int = 42) -> DataFrame:
     """Position of every event in a reproducible random order: files first, events inside a file
     next."""
-    inside = hash_ranked(df, [file], [event], seed=f"{seed}:event", name="_in", size="_n")
+    inside = ranked(df.withColumn("_h", hash60(event, seed=f"{seed}:event")), [file], "_h", event, name="_in")
     files = df.groupBy(file).agg(F.count("*").alias("_fn")).withColumn("_fh", hash60(file, seed=f"{seed}:file"))
     start = running(files, [], "_fh", {"_end": F.col("_fn")}, key=file).select(file, (F.col("_end") - F.col("_fn")).alias("_start"))
     return inside.join(start, file).select(*df.columns, (F.col("_start") + F.col("_in")).alias("position"))
