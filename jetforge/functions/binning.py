@@ -48,8 +48,8 @@ def fixed_bin(x: Column, lo: float, hi: float, n: int) -> Column:
 def density_bin(x: Column, lo: Column, hi: Column, n: int) -> Column:
     """0-based equal-width bin of a data-driven range; the last bin is closed, a zero-width
     range puts everything in bin 0."""
-    scaled = F.floor(F.try_divide((x - lo) * F.lit(float(n)), F.nullif(hi - lo, F.lit(0.0))))
-    return F.coalesce(F.least(scaled, F.lit(n - 1)), F.when(x.isNotNull(), F.lit(0))).cast("int")
+    scaled = F.floor(F.try_divide((x - lo) * F.lit(float(n)), hi - lo))
+    return F.when(x.isNotNull() & (hi > lo), F.least(scaled, F.lit(n - 1))).when(x.isNotNull(), 0).cast("int")
 
 
 def hexbin_centres(x: Column, y: Column, x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column,
