@@ -30,6 +30,14 @@ def model_nodes(model, features: Sequence[str]) -> DataFrame:
         F.col("prediction").cast("int").alias("prediction"), "impurity", "gain")
 
 
+def root_cut(model, features: Sequence[str]) -> tuple[str, float] | None:
+    """Feature and threshold of the root of a fitted tree; None for a single leaf."""
+    if model.depth == 0:
+        return None
+    split = model._call_java("rootNode").split()
+    return features[split.featureIndex()], float(split.threshold())
+
+
 def tree_rules(nodes: DataFrame) -> DataFrame:
     """(leaf, feature, lo, hi]: the box of every leaf, one row per constrained feature; open ends
     are NULL. Node tables are bounded by the tree size, so a recursive walk is enough."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import density_bin as dbin
@@ -13,7 +14,7 @@ from ..operators import votes
 from ..operators.jets import not_ghost
 from ..schema import FEATURES, KEYS, LABEL_NAMES
 from ..sources import views as V
-from .check_ctes import density_bin, fixed_bin, h60, with_ctes
+from .check_ctes import density_bin, dphi, dr, fixed_bin, h60, with_ctes
 from .features import stored_rows, training_rows
 from .registry import query
 
@@ -87,6 +88,89 @@ def d6(spark, sf):
     return S.normalize_histogram(h, 0.02, ["label"])
 
 
+@query("D5_jet_histograms", with_ctes(f"""SELECT name, bin, count(*) AS n FROM (
+    SELECT 'z' AS name, {fixed_bin('round(l.pt / j.p_t, 9)', 0, 1, 100)} AS bin FROM live l JOIN jets j ON l.event_id = j.event_id AND l.jet_id = j.jet_id
+    UNION ALL SELECT 'lesub', {fixed_bin('(p_t_1 - p_t_2)', 0, 100, 200)} FROM feat WHERE p_t_2 IS NOT NULL
+    UNION ALL SELECT 'lesub_low', {fixed_bin('(p_t_1 - p_t_2)', 0, 10, 100)} FROM feat WHERE p_t_2 IS NOT NULL
+    UNION ALL SELECT 'x_tru', {fixed_bin('round(tru_sum / p_t, 9)', 0, 1, 100)} FROM feat WHERE p_t > 0
+    UNION ALL SELECT 'x_fake', {fixed_bin('round(y_bkgd, 9)', 0, 1, 100)} FROM feat WHERE p_t > 0
+    UNION ALL SELECT 'origin', {fixed_bin('(CASE WHEN y_beam > 0 AND y_quark + y_gluon > 0 THEN 2 WHEN y_beam > 0 THEN 1 ELSE 3 END)', 0.5, 3.5, 3)} FROM feat WHERE y_beam + y_quark + y_gluon > 0
+    UNION ALL SELECT 'rho_low', {fixed_bin('rho', 0, 80, 200)} FROM rho2 UNION ALL SELECT 'rho', {fixed_bin('rho', 0, 600, 600)} FROM rho2) GROUP BY 1, 2""",
+    "live", "jets", "feat", "rho2"))
+def d5j(spark, sf):
+    """The fixed histograms filled per constituent, per jet and per event. Shares are rounded first:
+    a share of exactly one must not depend on the order of its sums."""
+    from ..functions.binning import fixed_bin as fb
+    from ..operators import background as bg
+    from ..operators import jets as J
+
+    c = C(spark, sf)
+    cell = lambda name, x, lo, hi, n: F.struct(F.lit(name).alias("name"), fb(x, lo, hi, n).alias("bin"))
+    feats = stored_rows(spark, sf, ["p_t_2", "p_t", "tru_sum", "y_bkgd", "y_beam", "y_quark", "y_gluon"])
+    gap, parton = F.col("p_t_1") - F.col("p_t_2"), F.col("y_quark") + F.col("y_gluon")
+    origin = F.when((F.col("y_beam") > 0) & (parton > 0), 2.0).when(F.col("y_beam") > 0, 1.0).when(parton > 0, 3.0)
+    per_jet = feats.select(F.explode(F.array(
+        cell("lesub", gap, 0, 100, 200), cell("lesub_low", gap, 0, 10, 100), cell("x_tru", F.round(F.try_divide("tru_sum", "p_t"), 9), 0, 1, 100),
+        cell("x_fake", F.round("y_bkgd", 9), 0, 1, 100), cell("origin", origin, 0.5, 3.5, 3))).alias("h"))
+    per_row = J.fragmentation(c).select(cell("z", F.round("z", 9), 0, 1, 100).alias("h"))
+    rho = bg.rho_median_drop2(V.basic_jets(c), sizes=V.event_sizes(spark, sf))
+    per_event = rho.select(F.explode(F.array(cell("rho_low", F.col("rho"), 0, 80, 200), cell("rho", F.col("rho"), 0, 600, 600))).alias("h"))
+    return per_jet.unionByName(per_row).unionByName(per_event).select("h.*").where(F.col("bin").isNotNull()).groupBy("name", "bin").agg(
+        F.count("*").alias("n"))
+
+
+@query("D7_purity_vs_pt", with_ctes(f"""SELECT {fixed_bin('round(tru_sum / p_t, 9)', 0, 1, 100)} AS bin_x, {fixed_bin('p_t', 0, 100, 100)} AS bin_y, count(*) AS n
+    FROM jets WHERE p_t > 0 GROUP BY 1, 2""", "jets"))
+def d7x(spark, sf):
+    jets = V.basic_jets(C(spark, sf))
+    return S.histogram_2d(jets, F.round(F.try_divide("tru_sum", "p_t"), 9), (0, 1, 100), F.col("p_t"), (0, 100, 100)).select("bin_x", "bin_y", "n")
+
+
+@query("D8_cone_z_weighted", with_ctes(f"""SELECT {fixed_bin('dphi', -1, 1, 200)} AS bin_x, {fixed_bin('deta', -1, 1, 200)} AS bin_y, count(*) AS n, sum(z) AS sumw, sum(z * z) AS sumw2
+    FROM (SELECT {dphi('n.phi', 'n.axis_phi')} AS dphi, n.axis_eta - n.eta AS deta, n.pt / j.p_t AS z FROM near n JOIN jets j ON n.event_id = j.event_id AND n.jet_id = j.jet_id)
+    GROUP BY 1, 2""", "near", "jets"), ["sumw", "sumw2"])
+def d8z(spark, sf):
+    from ..functions.kinematics import delta_phi
+    from ..operators import jets as J
+
+    live = C(spark, sf).where(not_ghost())
+    core = J.jet_core(live).select(*KEYS, "p_t", F.col("eta").alias("axis_eta"), F.col("phi").alias("axis_phi"))
+    near = live.join(core, KEYS)
+    return S.histogram_2d(near, delta_phi(F.col("phi"), F.col("axis_phi")), (-1, 1, 200), F.col("axis_eta") - F.col("eta"), (-1, 1, 200),
+                          weight=F.try_divide("pt", "p_t"))
+
+
+# Variables compared between sources, with (low, high) of their 50 bins.
+COMPARE_VARS = [("angularity", 0, 1), ("angularity_nw", 0, 1), ("mean_p_t", 0, 2), ("p_t_1", 0, 20), ("p_t_2", 0, 20)]
+_SRC_FEATS = """
+    , sc AS (SELECT 'total' AS source, * FROM live UNION ALL SELECT CASE WHEN user_index > 0 THEN 'signal' ELSE 'background' END, * FROM live),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY source, event_id, jet_id ORDER BY pt DESC, k1, k2, k3) AS rn FROM sc),
+    ax AS (SELECT source, event_id, jet_id, max(CASE WHEN rn = 1 THEN eta END) AS ae, max(CASE WHEN rn = 1 THEN phi END) AS ap,
+           max(CASE WHEN rn = 1 THEN pt END) AS p_t_1, max(CASE WHEN rn = 2 THEN pt END) AS p_t_2 FROM rk GROUP BY 1, 2, 3),
+    sf AS (SELECT s.source, s.event_id, s.jet_id, sum(s.pt * {dr}) / sum(s.pt) AS angularity, avg({dr}) AS angularity_nw, avg(s.pt) AS mean_p_t,
+           max(a.p_t_1) AS p_t_1, max(a.p_t_2) AS p_t_2 FROM sc s JOIN ax a ON s.source = a.source AND s.event_id = a.event_id AND s.jet_id = a.jet_id GROUP BY 1, 2, 3)
+"""
+
+
+@query("D6_variable_compare", with_ctes(_SRC_FEATS.format(dr=dr("s.eta", "s.phi", "a.ae", "a.ap")) + " SELECT name, source, bin, n, n / sum(n) OVER (PARTITION BY name, source) / width AS density FROM ("
+       + " UNION ALL ".join(f"SELECT '{v}' AS name, source, {fixed_bin(v, lo, hi, 50)} AS bin, {(hi - lo) / 50}::DOUBLE AS width, count(*) AS n FROM sf WHERE {v} IS NOT NULL GROUP BY 2, 3"
+                            for v, lo, hi in COMPARE_VARS) + ")", "live"), ["density"])
+def d6v(spark, sf):
+    """Normalised spectra of jet variables for signal, background and total jets, with the source as
+    an extra jet key: one feature job covers the three tables."""
+    from ..functions.binning import fixed_bin as fb
+    from ..operators import jets as J
+
+    live = C(spark, sf).where(not_ghost())
+    src = F.explode(F.array(F.lit("total"), F.when(F.col("user_index") > 0, "signal").otherwise("background")))
+    feats = J.jet_features(live.withColumn("source", src), carry=(), keys=["source", *KEYS])
+    cells = F.array(*[F.struct(F.lit(v).alias("name"), fb(F.col(v), lo, hi, 50).alias("bin"), F.lit((hi - lo) / 50).alias("width")) for v, lo, hi in COMPARE_VARS])
+    h = feats.select("source", F.explode(cells).alias("h")).select("source", "h.*").where(F.col("bin").isNotNull()).groupBy("name", "source", "bin", "width").agg(
+        F.count("*").alias("n"))
+    entries = F.sum("n").over(Window.partitionBy("name", "source"))
+    return h.select("name", "source", "bin", "n", (F.col("n") / entries / F.col("width")).alias("density"))
+
+
 # Ranges of the compared jet variables.
 COMPARE_PAIRS = [("angularity", (0, 0.5, 50), "angularity_nw", (0, 0.5, 50)), ("area", (0, 1, 50), "mean_p_t", (0, 2, 50)),
                  ("area", (0, 1, 50), "p_t", (0, 30, 50)), ("p_t_1", (0, 10, 50), "p_t_2", (0, 10, 50))]
