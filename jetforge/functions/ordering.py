@@ -27,6 +27,8 @@ MAX_EDGES = 1024
 # Largest number of hot groups whose edges are broadcast (edges: MAX_EDGES doubles each at most).
 MAX_BROADCAST_GROUPS = 1_000
 HASH_BUCKET_BITS = 12
+# Hash buckets of the first look for hot groups.
+SCREEN_BUCKETS = 1 << 16
 
 _B = "_bucket"
 
@@ -41,17 +43,67 @@ class HotGroups:
 
 def hot_groups(df: DataFrame, groups: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
                sizes: DataFrame | None = None) -> HotGroups:
-    """Find groups above the limit. ``sizes`` may give (groups..., n) from a cheaper source; any
-    upper bound on the true sizes will do. Only two numbers reach the driver."""
+    """Find groups too large for one task: more than ``rows_per_task`` rows, or than a few times the
+    average load where the table is huge. Only a few numbers reach the driver.
+
+    ``sizes`` may give (groups..., n) from a cheaper source; any upper bound on the true sizes will
+    do. Otherwise rows are first counted by a hash of the group: the partial counts are small even
+    for billions of groups, and where no hash bucket is over the limit no group can be. Exact counts
+    are taken only inside the buckets that are. At most SCREEN_BUCKETS / 4 groups can be hot.
+    """
     if not groups:
         n = (sizes.agg(F.sum("n").alias("n")) if sizes is not None else df.agg(F.count("*").alias("n"))).first()["n"] or 0
         return HotGroups(int(n > rows_per_task), int(n), None)
-    table = sizes if sizes is not None else df.groupBy(*groups).agg(F.count("*").alias("n"))
-    hot = table.where(F.col("n") > rows_per_task)
+    if sizes is None:
+        keyed = df.select(*groups, F.pmod(F.xxhash64(*groups), F.lit(SCREEN_BUCKETS)).alias("_s"))
+        buckets = keyed.groupBy("_s").agg(F.count("*").alias("n"))
+        row = buckets.agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
+        limit = max(rows_per_task, 4 * (row["t"] or 0) // SCREEN_BUCKETS)
+        if (row["m"] or 0) <= limit:
+            return HotGroups(0, row["m"] or 0, None)
+        full = buckets.where(F.col("n") > limit).select("_s")
+        table = keyed.join(F.broadcast(full), "_s", "left_semi").groupBy(*groups).agg(F.count("*").alias("n"))
+    else:
+        total = sizes.agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
+        limit = max(rows_per_task, 4 * (total["t"] or 0) // SCREEN_BUCKETS)
+        if (total["m"] or 0) <= limit:
+            return HotGroups(0, total["m"] or 0, None)
+        table = sizes
+    hot = table.where(F.col("n") > limit)
     row = hot.agg(F.count("*").alias("c"), F.max("n").alias("m")).first()
     return HotGroups(row["c"], row["m"] or 0, hot.select(*groups))
 
 
+def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *, rows_per_task: int = ROWS_PER_TASK,
+           probe: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Left join of a one-row-per-group table back to the rows of the groups.
+
+    A co-partitioned join would put a hot group into one task, and the adaptive skew join does not
+    apply when a side is an aggregate. Rows of hot groups therefore meet their group row by
+    broadcast, in place (at most SCREEN_BUCKETS / 4 groups, see ``hot_groups``); all others join on
+    the key. ``probe`` is a cheaper table to look for hot groups in; it may carry only those key
+    columns that identify a group by themselves.
+    """
+    by = list(keys) if probe is None else [k for k in keys if k in probe.columns]
+    hot = hot_groups(rows if probe is None else probe, by, rows_per_task, sizes)
+    if not hot.count:
+        return rows.join(per_group, list(keys), "left")
+    hot_keys = F.broadcast(hot.frame)
+    hot_side = F.broadcast(per_group.join(hot_keys, by, "left_semi"))
+    inside = rows.join(hot_keys, by, "left_semi").join(hot_side, list(keys), "left")
+    return inside.unionByName(rows.join(hot_keys, by, "left_anti").join(per_group, list(keys), "left"))
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on keys where NULL meets NULL, keeping the left key columns: rows of a NULL group
+    must not get lost."""
+    side = right.select(*[F.col(k).alias(f"_m_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+    return left.join(side, cond, how).drop(*[f"_m_{k}" for k in keys])
+
+
 def _small(frame: DataFrame, hot: HotGroups) -> DataFrame:
     return F.broadcast(frame) if hot.count <= MAX_BROADCAST_GROUPS else frame
 
@@ -68,19 +120,22 @@ def _add_buckets(df: DataFrame, groups: Sequence[str], value: str, key: str | No
     if not by:
         by = ["_all"]
         df = df.withColumn("_all", F.lit(0))
-    hot_rows = df if hot.frame is None else df.join(_small(hot.frame, hot), by, "left_semi")
+    hot_rows = df if hot.frame is None else match(df, _small(hot.frame, hot), by, "left_semi")
     aggs = [_edge_array(value, n_edges).alias("_ve")]
     if key is not None:
         aggs.append(_edge_array(key, n_edges).alias("_ke"))
     edges = hot_rows.groupBy(*by).agg(*aggs)
-    out = df.join(_small(edges, hot), by, "left")
+    out = match(df, _small(edges, hot), by, "left")
     below = F.expr(f"size(filter(_ve, e -> e < `{value}`))")
-    single = F.array_contains("_ve", F.col(value))
-    bucket = below * 2 + single.cast("int")
+    missing = F.col(value).isNull()
+    single = missing | F.array_contains("_ve", F.col(value))
+    # NULL sorts first and is a tie like any other.
+    bucket = F.when(missing, -1).otherwise(below * 2 + single.cast("int"))
     if key is not None:
         spread = F.expr(f"size(filter(_ke, e -> e < `{key}`))")
         bucket = bucket * (MAX_EDGES + 2) + F.when(single, spread).otherwise(0)
-    out = out.withColumn(_B, F.coalesce(bucket, F.lit(0)).cast("bigint")).drop("_ve", "_ke")
+    bucket = F.when(F.col("_ve").isNull(), 0).otherwise(bucket)
+    out = out.withColumn(_B, bucket.cast("bigint")).drop("_ve", "_ke")
     return out if groups else out.drop("_all")
 
 
@@ -105,7 +160,7 @@ def running(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str, Co
     cut = _add_buckets(df, groups, value, key, hot, rows_per_task)
     w = Window.partitionBy(*groups, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.select("*", *[F.sum(c).over(w).alias(f"_i_{n}") for n, c in sums.items()])
-    joined = inside.join(_offsets(cut, groups, sums), [*groups, _B])
+    joined = match(inside, _offsets(cut, groups, sums), [*groups, _B])
     return joined.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
@@ -130,7 +185,7 @@ def lagged(df: DataFrame, groups: Sequence[str], value: str, key: str, *, name:
     last = cut.groupBy(*groups, _B).agg(F.max(value).alias("_last"))
     carry = last.select(*groups, _B, F.lag("_last").over(Window.partitionBy(*groups).orderBy(_B)).alias("_carry"))
     inside = cut.withColumn("_in", F.lag(value).over(Window.partitionBy(*groups, _B).orderBy(value, key)))
-    return inside.join(carry, [*groups, _B]).select(
+    return match(inside, carry, [*groups, _B]).select(
         *df.columns, F.coalesce("_in", "_carry").alias(name))
 
 
@@ -149,7 +204,7 @@ def hash_ranked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], *, se
     side = totals.select(*groups, _B, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
                          F.sum("_n").over(Window.partitionBy(*groups)).alias(size))
     inside = hashed.withColumn("_i", F.row_number().over(Window.partitionBy(*groups, _B).orderBy("_h", *keys)))
-    return inside.join(side, [*groups, _B]).select(
+    return match(inside, side, [*groups, _B]).select(
         *df.columns, (F.col("_i") + F.col("_o_n")).cast("bigint").alias(name), F.col(size).cast("bigint").alias(size))
 
 
@@ -165,13 +220,13 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: d
         hot_rows, cold = df, None
     else:
         side = _small(hot.frame, hot)
-        hot_rows, cold = df.join(side, list(groups), "left_semi"), df.join(side, list(groups), "left_anti")
+        hot_rows, cold = match(df, side, groups, "left_semi"), match(df, side, groups, "left_anti")
     # Duplicates collapse before the shuffle; the rest is a running count over distinct values.
     distinct = hot_rows.groupBy(*groups, value).agg(F.count("*").alias("_n"))
     cum = running(distinct, groups, value, {"_c": F.col("_n")}, rows_per_task=rows_per_task)
     n_tot = hot_rows.groupBy(*groups).agg(F.count("*").alias("_tot"))
     if groups:
-        cum = cum.join(_small(n_tot, hot), list(groups))
+        cum = match(cum, _small(n_tot, hot), groups)
     else:
         cum = cum.withColumn("_tot", F.lit(hot_rows.count()))
     picks, out = [], []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinematics import delta_r
-from ..functions.ordering import top_k
+from ..functions.ordering import ROWS_PER_TASK, attach, top_k
 from ..schema import CONSTIT_ORDER, GHOST_PT, KEYS
 
 
@@ -65,23 +65,23 @@ def leading_minus_subleading(constits: DataFrame, keys: Sequence[str] = KEYS) ->
     return lead.where(F.col("p_t_2").isNotNull()).select(*keys, (F.col("p_t_1") - F.col("p_t_2")).alias("lesub"))
 
 
-def fragmentation(constits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Momentum share of every non-ghost constituent (aggregate and join back, so that the jet sum
-    is combined map-side and a hot jet is split by the adaptive skew join)."""
+def fragmentation(constits: DataFrame, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
+    """Momentum share of every non-ghost constituent: the jet sum is combined map-side and attached
+    back to the rows."""
     sums = constits.groupBy(*keys).agg(F.sum("pt").alias("p_t"))
-    return constits.where(not_ghost()).join(sums, list(keys)).withColumn("z", F.try_divide("pt", "p_t"))
+    return attach(constits.where(not_ghost()), sums, keys, **kw).withColumn("z", F.try_divide("pt", "p_t"))
 
 
-def with_axis(constits: DataFrame, axis: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def with_axis(constits: DataFrame, axis: DataFrame, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
     """Constituents with their jet axis and distance to it."""
     named = axis.select(*keys, F.col("eta").alias("axis_eta"), F.col("phi").alias("axis_phi"))
-    return constits.join(named, list(keys), "left").withColumn(
+    return attach(constits, named, keys, **kw).withColumn(
         "dr", delta_r(F.col("eta"), F.col("phi"), F.col("axis_eta"), F.col("axis_phi")))
 
 
-def angularity(constits: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def angularity(constits: DataFrame, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
     """Momentum-weighted and plain mean distance to the axis."""
-    near = with_axis(constits.where(not_ghost()), jet_axis(constits, keys), keys)
+    near = with_axis(constits.where(not_ghost()), jet_axis(constits, keys), keys, **kw)
     return near.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pt") * F.col("dr")), F.sum("pt")).alias("angularity"),
         F.avg("dr").alias("angularity_nw"))
@@ -146,12 +146,13 @@ def subjet_share(constits: DataFrame, pitch: float = 0.1, keys: Sequence[str] =
 
 
 def jet_features(constits: DataFrame, carry: Sequence[str] = ("pt_hard_min", "r_idx"),
-                 keys: Sequence[str] = KEYS) -> DataFrame:
+                 keys: Sequence[str] = KEYS, *, rows_per_task: int = ROWS_PER_TASK, probe: DataFrame | None = None) -> DataFrame:
     """The whole per-jet block in two shuffles of the constituents.
 
     The first carries only the five hardest rows per jet and task (group limit ahead of the
     exchange) and yields axis and leading pT. The second joins the axis back on the jet key and
-    aggregates everything else in the same stage.
+    aggregates everything else in the same stage. Hot jets are joined by broadcast and aggregated
+    where their rows lie, so only partial sums move.
     """
     lead = leading(constits, 5, keys).select(
         *keys, F.col("eta").alias("axis_eta"), F.col("phi").alias("axis_phi"), *[f"p_t_{i}" for i in range(1, 6)])
@@ -160,7 +161,8 @@ def jet_features(constits: DataFrame, carry: Sequence[str] = ("pt_hard_min", "r_
     dr = delta_r(F.col("eta"), F.col("phi"), F.col("axis_eta"), F.col("axis_phi"))
     sig = F.col("user_index") != 0
     parts = origin_columns()
-    agg = constits.join(lead, list(keys), "left").groupBy(*keys).agg(
+    near = attach(constits, lead, keys, rows_per_task=rows_per_task, probe=probe)
+    agg = near.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in carry],
         F.sum("pt").alias("p_t"), F.count_if(live).alias("n_trk"),
         F.max("axis_eta").alias("eta"), F.max("axis_phi").alias("phi"),

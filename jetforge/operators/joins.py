@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinematics import delta_r
+from ..functions.ordering import ROWS_PER_TASK, attach, hot_groups
 from ..schema import KEYS
 from ..session import ensure_checkpoint_dir
 from . import jets as J
@@ -25,7 +26,7 @@ def species_mass(df: DataFrame, kf: str = "kf") -> DataFrame:
     return df.withColumn("mass", F.try_element_at(table, F.abs(F.col(kf)).cast("int")))
 
 
-def truth_match(constits: DataFrame) -> DataFrame:
+def truth_match(constits: DataFrame, *, rows_per_task: int = ROWS_PER_TASK, event_sizes: DataFrame | None = None) -> DataFrame:
     """Distance and momentum share of the truth jet matched to each jet.
 
     A jet is matched through its first signal index to the hardest truth jet of the event holding
@@ -42,7 +43,12 @@ def truth_match(constits: DataFrame) -> DataFrame:
     best = best.select("event_id", F.col("user_index").alias("first_signal"), (-F.col("t.neg_id")).alias("truth_jet"),
                        "t.truth_pt", "t.truth_eta", "t.truth_phi")
     jets = J.jet_core(constits)
-    out = jets.join(best, ["event_id", "first_signal"], "left")
+    # Any (event, index) group is at most its event.
+    hot_events = hot_groups(jets, ["event_id"], rows_per_task, event_sizes)
+    if hot_events.count:
+        out = attach(jets, best, ["event_id", "first_signal"], rows_per_task=rows_per_task)
+    else:
+        out = jets.join(best, ["event_id", "first_signal"], "left")
     dist = delta_r(F.col("eta"), F.col("phi"), F.col("truth_eta"), F.col("truth_phi"))
     return out.select(
         *KEYS, "first_signal", "truth_jet",

@@ -15,14 +15,14 @@ from ..session import stored
 from ..sources import views
 
 
-def feature_table(constits: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    jets = J.jet_features(constits).withColumn("area", (10 + F.col("jet_id") % 50).cast("double") / 100)
+def feature_table(constits: DataFrame, sizes: DataFrame | None = None, probe: DataFrame | None = None) -> DataFrame:
+    jets = J.jet_features(constits, probe=probe).withColumn("area", (10 + F.col("jet_id") % 50).cast("double") / 100)
     full = bg.pt_corr(bg.epsilon(bg.with_rho_drop2(jets, sizes=sizes)))
     return full.withColumn("label", pt_label(F.col("tru_sum"), F.col("pt_hard_min"))).drop("rho")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_table(views.constituents(spark, sf_dir), views.event_sizes(spark, sf_dir))
+    return feature_table(views.constituents(spark, sf_dir), views.event_sizes(spark, sf_dir), views.jet_sizes(spark, sf_dir))
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

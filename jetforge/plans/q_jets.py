@@ -51,12 +51,12 @@ def e5(spark, sf):
 @query("E6_frag_z", with_ctes("""SELECT l.event_id, l.jet_id, l.k1, l.k2, l.k3, l.pt / j.p_t AS z FROM live l
        JOIN jets j ON l.event_id = j.event_id AND l.jet_id = j.jet_id""", "live", "jets"), ["z"])
 def e6(spark, sf):
-    return J.fragmentation(C(spark, sf)).select(*KEYS, "k1", "k2", "k3", "z")
+    return J.fragmentation(C(spark, sf), probe=V.jet_sizes(spark, sf)).select(*KEYS, "k1", "k2", "k3", "z")
 
 
 @query("E7_angularity", with_ctes("SELECT event_id, jet_id, angularity, angularity_nw FROM near_agg", "near_agg"), ["angularity", "angularity_nw"])
 def e7(spark, sf):
-    return J.angularity(C(spark, sf))
+    return J.angularity(C(spark, sf), probe=V.jet_sizes(spark, sf))
 
 
 @query("E8_signal_sums", with_ctes("""SELECT event_id, jet_id, tru_sum, fake_sum, tru_sum / n AS x_tru, fake_sum / n AS x_fake,
@@ -209,6 +209,6 @@ def d8(spark, sf):
     from ..functions.kinematics import delta_phi
 
     live = C(spark, sf).where(J.not_ghost())
-    near = J.with_axis(live, J.jet_axis(live))
+    near = J.with_axis(live, J.jet_axis(live), probe=V.jet_sizes(spark, sf))
     return S.histogram_2d(near, delta_phi(F.col("phi"), F.col("axis_phi")), (-1, 1, 200),
                           F.col("axis_eta") - F.col("eta"), (-1, 1, 200), weight=F.col("pt"))

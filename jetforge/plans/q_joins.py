@@ -35,14 +35,14 @@ CK = ["jet_id", "k1", "k2", "k3"]
     LEFT JOIN lead l ON j.event_id = l.event_id AND j.jet_id = l.jet_id
     LEFT JOIN best b ON j.event_id = b.event_id AND f.first_signal = b.user_index""", "live", "jets", "lead", "first_sig"), ["dist_match", "x_match"])
 def j1(spark, sf):
-    return joins.truth_match(C(spark, sf))
+    return joins.truth_match(C(spark, sf), event_sizes=V.event_sizes(spark, sf))
 
 
 @query("J2_event_median_join", with_ctes("""SELECT j.event_id, j.jet_id, j.p_t, m.rho FROM jets j JOIN
        (SELECT event_id, quantile_cont(p_t / area, 0.5) AS rho FROM jets GROUP BY 1) m ON j.event_id = m.event_id""", "jets"), ["p_t", "rho"])
 def j2(spark, sf):
     jets = V.basic_jets(C(spark, sf))
-    return bg.attach_rho(jets, bg.rho_median(jets, sizes=V.event_sizes(spark, sf))).select(*KEYS, "p_t", "rho")
+    return bg.attach_rho(jets, bg.rho_median(jets, sizes=V.event_sizes(spark, sf)), sizes=V.event_sizes(spark, sf)).select(*KEYS, "p_t", "rho")
 
 
 @query("J3_event_gate", with_ctes("""SELECT event_id, count(*) AS n, sum(pt) AS pt, event_id IN (SELECT event_id FROM jets WHERE tru_sum > 150) AS gated

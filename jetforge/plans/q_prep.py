@@ -171,7 +171,7 @@ def b17(spark, sf):
     from ..operators import jets as J
 
     live = C(spark, sf).where(J.not_ghost())
-    near = J.with_axis(live, J.jet_axis(live))
+    near = J.with_axis(live, J.jet_axis(live), probe=V.jet_sizes(spark, sf))
     return near.select(*CK, K.delta_phi(F.col("phi"), F.col("axis_phi")).alias("dphi"), K.delta_eta(F.col("eta"), F.col("axis_eta")).alias("deta"), "dr")
 
 

@@ -24,7 +24,7 @@ _DBL = [SNAKE[c] for c in CSV_COLUMNS if SNAKE[c] not in ("n_trk", "dist_match",
 def csv_rows(spark, sf):
     """The full 24-column jet table."""
     c = C(spark, sf)
-    match = joins.truth_match(c).select(*KEYS, "dist_match", "x_match")
+    match = joins.truth_match(c, event_sizes=V.event_sizes(spark, sf)).select(*KEYS, "dist_match", "x_match")
     full = features(spark, sf).join(match, KEYS).join(J.subjet_share(c), KEYS)
     return full.select(*[SNAKE[c] for c in CSV_COLUMNS])
 
@@ -121,7 +121,7 @@ def a9(spark, sf):
     sig = V.basic_jets(c.where(F.col("user_index") != 0))
     bkgd = V.basic_jets(c.where(F.col("user_index") == 0))
     total = V.basic_jets(c)
-    rb = bg.pt_corr(bg.attach_rho(bkgd, bg.rho_median(bkgd, sizes=sizes)))
+    rb = bg.pt_corr(bg.attach_rho(bkgd, bg.rho_median(bkgd, sizes=sizes), sizes=sizes))
     rt = bg.pt_corr(bg.with_rho_drop2(total, sizes=sizes))
     matched = rt.join(J.first_signal(c).where(F.col("first_signal") > 0), KEYS, "left_semi")
     tables = [pick(sig, "signal", F.col("p_t")), pick(bkgd, "bkgd_kt", F.lit(0.0)), pick(rb, "bkgd_antikt", F.col("p_t_corr")),

@@ -112,7 +112,7 @@ def d5j(spark, sf):
     per_jet = feats.select(F.explode(F.array(
         cell("lesub", gap, 0, 100, 200), cell("lesub_low", gap, 0, 10, 100), cell("x_tru", F.round(F.try_divide("tru_sum", "p_t"), 9), 0, 1, 100),
         cell("x_fake", F.round("y_bkgd", 9), 0, 1, 100), cell("origin", origin, 0.5, 3.5, 3))).alias("h"))
-    per_row = J.fragmentation(c).select(cell("z", F.round("z", 9), 0, 1, 100).alias("h"))
+    per_row = J.fragmentation(c, probe=V.jet_sizes(spark, sf)).select(cell("z", F.round("z", 9), 0, 1, 100).alias("h"))
     rho = bg.rho_median_drop2(V.basic_jets(c), sizes=V.event_sizes(spark, sf))
     per_event = rho.select(F.explode(F.array(cell("rho_low", F.col("rho"), 0, 80, 200), cell("rho", F.col("rho"), 0, 600, 600))).alias("h"))
     return per_jet.unionByName(per_row).unionByName(per_event).select("h.*").where(F.col("bin").isNotNull()).groupBy("name", "bin").agg(
@@ -131,11 +131,12 @@ def d7x(spark, sf):
     GROUP BY 1, 2""", "near", "jets"), ["sumw", "sumw2"])
 def d8z(spark, sf):
     from ..functions.kinematics import delta_phi
+    from ..functions.ordering import attach
     from ..operators import jets as J
 
     live = C(spark, sf).where(not_ghost())
     core = J.jet_core(live).select(*KEYS, "p_t", F.col("eta").alias("axis_eta"), F.col("phi").alias("axis_phi"))
-    near = live.join(core, KEYS)
+    near = attach(live, core, KEYS, probe=V.jet_sizes(spark, sf))
     return S.histogram_2d(near, delta_phi(F.col("phi"), F.col("axis_phi")), (-1, 1, 200), F.col("axis_eta") - F.col("eta"), (-1, 1, 200),
                           weight=F.try_divide("pt", "p_t"))
 

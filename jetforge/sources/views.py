@@ -45,6 +45,11 @@ def basic_jets(constits: DataFrame) -> DataFrame:
     ).withColumn("area", (10 + F.col("jet_id") % 50).cast("double") / 100)
 
 
+def jet_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jet key of every constituent, from the constituent table alone: where hot jets show."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("jet_id"))
+
+
 def event_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper bound on jets per event, from the orders table alone."""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("event_id")).agg(F.count("*").alias("n"))

@@ -100,3 +100,28 @@ def test_event_gate_is_a_partition(spark):
     sel = spark.createDataFrame([(2,), (2,)], "event_id long")
     assert [r[0] for r in bg.event_gate(rows, sel).collect()] == [2]
     assert sorted(r[0] for r in bg.event_gate(rows, sel, keep=False).collect()) == [1, 3]
+
+
+def test_a_hot_jet_stays_where_its_rows_are(spark):
+    """A jet with a third of all constituents: its axis comes by broadcast, the result is the same."""
+    rng = random.Random(1)
+    rows = [(1, 0 if i % 3 == 0 else i % 400, i, 0, 0, rng.uniform(0.2, 9.0), rng.uniform(-0.9, 0.9), rng.uniform(0, 6.2), i % 2, 21)
+            for i in range(6_000)]
+    c = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    key = lambda df: {r["jet_id"]: (round(r["angularity"], 9), r["n_trk"], r["p_t_5"]) for r in df.collect()}
+    want = key(J.jet_features(c, carry=()))
+    for probe in (None, c.select("jet_id")):
+        df = J.jet_features(c, carry=(), rows_per_task=500, probe=probe)
+        assert key(df) == want and want[0][1] > 1_990
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    z = J.fragmentation(c, rows_per_task=500)
+    assert z.count() == 6_000 and z.groupBy("jet_id").agg(F.sum("z").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+
+
+def test_truth_match_with_a_hot_event(spark):
+    rng = random.Random(2)
+    rows = [(0 if i % 3 else i % 9, i % 700, i, 0, 0, rng.uniform(0.2, 9.0), rng.uniform(-0.9, 0.9), rng.uniform(0, 6.2), rng.randint(0, 4), 21)
+            for i in range(2_000)]
+    c = constit(spark, rows)
+    key = lambda df: {(r["event_id"], r["jet_id"]): (r["truth_jet"], round(r["dist_match"], 9), round(r["x_match"], 9)) for r in df.collect()}
+    assert key(joins.truth_match(c)) == key(joins.truth_match(c, rows_per_task=50))

@@ -93,3 +93,20 @@ def test_top_k_limits_before_the_shuffle(frame):
     top = O.top_k(frame, ["g"], [F.col("v").desc(), F.col("id")], 2)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("limit", [30, 10_000])
+def test_null_groups_and_values_are_kept(spark, limit):
+    rows = [(None if i % 2 else 1, i, None if i % 3 == 0 else float(i % 7)) for i in range(240)]
+    df = spark.createDataFrame(rows, "g int, id long, v double")
+    got = {r["id"]: r["rank"] for r in O.ranked(df, ["g"], "v", "id", rows_per_task=limit).collect()}
+    assert len(got) == 240
+    for g in (None, 1):
+        mine = sorted(((v is not None, v or 0.0, i) for gg, i, v in rows if gg == g))
+        for k, (_, _, i) in enumerate(mine, 1):
+            assert got[i] == k
+    assert O.hash_ranked(df, ["g"], ["id"]).count() == 240
+    q = {r["g"]: r["m"] for r in O.grouped_quantiles(df, ["g"], "v", {"m": 0.5}, rows_per_task=limit).collect()}
+    assert set(q) == {None, 1}
+    lag = O.lagged(df.where("v is not null"), ["g"], "v", "id", rows_per_task=limit)
+    assert lag.count() == 160 and lag.where("previous is null").count() == 2
