@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.kinematics import delta_r
 from ..functions.ordering import ROWS_PER_TASK, attach, hot_groups
 from ..schema import KEYS
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from . import jets as J
 
 NO_MATCH_DISTANCE = 1e6
@@ -116,7 +116,8 @@ def cone_assign(particles: DataFrame, seeds: DataFrame, radius: float, *, partic
     particles not settled there move on to cells twice as large, up to the radius itself: few
     candidates per particle without capping them. Coincident seeds collapse to the smallest key.
     """
-    seeds = seeds.groupBy("event_id", "eta", "phi").agg(F.min(seed_key).alias("seed"))
+    # Read for the density check and again at every level.
+    seeds = stored(seeds.groupBy("event_id", "eta", "phi").agg(F.min(seed_key).alias("seed")), "seeds")
     cell = lambda h: (F.floor(F.col("eta") / h).alias("ce"), F.floor(F.col("phi") / h).alias("cp"))
     densest = seeds.groupBy("event_id", *cell(radius)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     levels = max(0, math.ceil(math.log(max(densest / seeds_per_cell, 1), 4)))
