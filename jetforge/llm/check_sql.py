@@ -59,3 +59,22 @@ SELECT doc_id, source, size, total AS source_size, target, w1 + w2 AS taken,
                                              ELSE {_progress('share', (0.5, 1.0, 1.5))} END, 9) END AS position
 FROM cut
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id, words, least(len(words), 10) AS width FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+w AS (SELECT DISTINCT item_id, width, array_to_string(words[p:p + width - 1], ' ') AS part
+      FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS p FROM b)),
+cut AS (SELECT n, p, width, array_to_string(words[p:p + width - 1], ' ') AS part
+        FROM (SELECT n, words, width, unnest(range(1, len(words) - width + 2)) AS p FROM d, (SELECT DISTINCT width FROM w))),
+found AS (SELECT n, p, cut.width, item_id FROM cut JOIN w ON cut.part = w.part AND cut.width = w.width),
+hit AS (SELECT n, count(DISTINCT spot) AS n_hit FROM (SELECT n, unnest(range(p, p + width)) AS spot FROM found) GROUP BY n),
+listed AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (n) LEFT JOIN listed USING (n)
+"""

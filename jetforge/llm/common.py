@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetforge.session import configure, shared_path, stored
+from jetforge import session
+from jetforge.session import shared_path, stored
 
 __all__ = ["WORD_SEPARATORS", "ascii_lower", "configure", "ids_of", "renamed", "shared_path", "stored", "table", "words_of"]
 
@@ -16,6 +17,14 @@ WORD_SEPARATORS = r"[ \t-\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_ROWS = 2000  # rows handed to Python at once: texts can be long
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return session.configure(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

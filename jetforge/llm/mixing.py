@@ -109,7 +109,8 @@ def mix(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str =
     """
     digest = F.md5(F.coalesce(quoted(key_col).cast("string"), F.lit("")))
     thin = stored(
-        docs.select(*ids_of(docs, id_cols), source_key(quoted(source_col)).alias("_source"), F.size(words_of(quoted(text_col))).cast("long").alias("_size"), digest.alias("_digest")),
+        docs.select(*ids_of(docs, id_cols), source_key(quoted(source_col)).alias("_source"), F.size(words_of(quoted(text_col))).cast("long").alias("_size"), digest.alias("_digest"))
+        .withColumn("_tie", F.xxhash64(*[f"_id{i}" for i in range(len(id_cols))])),
         "mix-sizes",
     )
     return _placed(thin, weights, share, most).select(
@@ -127,7 +128,7 @@ def _placed(thin: DataFrame, weights: tuple[int, ...], share: float, most: float
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
     # Sources meet their target on bucket rows, of which a source has a bounded number.
     buckets = stored(buckets.join(targets.drop("_weight"), "_source"), "mix-buckets")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", "_size", *[c for c in thin.columns if c.startswith("_id")])
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", "_size", "_tie")
     start = F.coalesce(F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     summed = thin.withColumn("_inside", start)
     placed = summed.join(buckets, ["_source", "_bucket"])
