@@ -78,3 +78,18 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (n) LEFT JOIN listed USING (n)
 """
+
+CHAT = """
+WITH t AS (SELECT conv_id, role, replace(coalesce(text, ''), '<|', '< |') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+p AS (SELECT t.conv_id, s.speaker, t.place, CAST(floor(t.place / 64) AS BIGINT) AS segment, coalesce(t.role = s.speaker, false) AS own,
+             '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system'
+                                    ELSE coalesce('user name=' || replace(t.role, '<|', '< |'), 'user') END || chr(10) AS head,
+             t.text || '<|im_end|>' || chr(10) AS body
+      FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY place) AS BIGINT) AS stop FROM p)
+SELECT conv_id, speaker, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_assistant, string_agg(head || body, '' ORDER BY place) AS text,
+       coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY place) FILTER (own), '') AS mask
+FROM q GROUP BY conv_id, speaker, segment
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import check_sql, decontaminate, mixing, quality, sharding, simhash, url_rules
+from . import chat, check_sql, decontaminate, extract, mixing, quality, secrets, sharding, simhash, url_rules, warc
 from .common import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op3_warc_archives")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return rows.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op1_chat_perspectives", check_sql.CHAT)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
