@@ -21,7 +21,7 @@ from .common import quoted
 
 SAMPLE_PAGES = 5_000  # about so many labelled pages are counted for the weights
 MIN_SEEN = 20  # tokens of a kind from which its own weight holds
-WORD_DEFAULT, TAG_DEFAULT = 1.0, -2.0  # of kinds not seen
+WORD_DEFAULT, TAG_DEFAULT, INLINE_DEFAULT = 1.0, -1.0, -0.25  # of kinds not seen
 WORD_MOST, TAG_COST, TAG_MOST = 3.0, -0.5, -4.0
 
 # HTML elements by role, and name parts by which sites mark what is no article.
@@ -70,12 +70,13 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
             if name in _RAW_END and not m["close"]:
                 end = _RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
-                out.append(("tag", name, "", False, False))
+                out.append(("tag", name, "", True, False))
                 continue
             named = _CLASS.search(attrs)
             kind = f"{name}.{named[1].lower()}" if named else name
             inside = any(o.article for o in stack)
-            out.append(("tag", kind if not m["close"] else f"/{name}", "", False, inside))
+            aside = any(o.aside for o in stack) or (not m["close"] and name not in ("html", "body", "main") and _aside(name, attrs))
+            out.append(("tag", kind if not m["close"] else f"/{name}", "", aside, inside))
             if name not in INLINE:
                 out.append(("break", "", "", False, inside))
             if m["close"]:
@@ -86,7 +87,7 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
                 if name not in INLINE:
                     while stack and (stack[-1].name in ("p", name) if name in ("p", "li") else stack[-1].name == "p"):
                         stack.pop()
-                aside = _aside(name, attrs) and not (name in ("body", "html", "main"))
+                aside = name not in ("html", "body", "main") and _aside(name, attrs)
                 article = name in ("article", "main") and not aside
                 if article and stack and stack[-1].name in ("nav", "header"):
                     stack.pop()  # left open by mistake
@@ -136,20 +137,24 @@ def weights_of(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str]
 
 
 def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
-    """Text of the best region: one linear scan for the greatest sum, then the blocks inside it."""
+    """Text of the best region: one linear scan for the greatest sum, then the blocks inside it.
+    What the markup itself sets aside (navigation, forms, adverts, comments) scores nothing and is
+    left out."""
     found = tokens(page)
     scores = []
     for token, kind, text, aside, _ in found:
-        if token == "text":
-            scores.append(0.0 if aside else weights.get(("word", kind), WORD_DEFAULT) * _words(text))
+        if aside or token == "break":
+            scores.append(0.0)
+        elif token == "text":
+            scores.append(weights.get(("word", kind), WORD_DEFAULT) * _words(text))
         else:
-            scores.append(weights.get(("tag", kind), TAG_DEFAULT) if token == "tag" else 0.0)
+            scores.append(weights.get(("tag", kind), INLINE_DEFAULT if kind.lstrip("/").split(".")[0] in INLINE else TAG_DEFAULT))
     best, start, stop, total, begin = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
         total += s
-        if total > best:
+        if total > best or total == best and s > 0:
             best, start, stop = total, begin, i + 1
     blocks, now = [], []
     for (token, kind, text, aside, _), s in zip(found[start:stop], scores[start:stop]):
