@@ -61,7 +61,8 @@ def hexbin_centres(x: Column, y: Column, x_lo: Column, x_hi: Column, y_lo: Colum
     """
     ny = int(grid / 3 ** 0.5)
     sx, sy = (x_hi - x_lo) / F.lit(float(grid)), (y_hi - y_lo) / F.lit(float(ny))
-    u, v = (x - x_lo) / sx, (y - y_lo) / sy
+    # A flat column lies in the first row or column of hexagons.
+    u, v = (F.when(a.isNotNull(), F.coalesce(F.try_divide(a - lo, s), F.lit(0.0))) for a, lo, s in ((x, x_lo, sx), (y, y_lo, sy)))
     ix1, iy1 = F.floor(u + 0.5), F.floor(v + 0.5)
     ix2, iy2 = F.floor(u), F.floor(v)
     d1 = (u - ix1) * (u - ix1) + F.lit(3.0) * (v - iy1) * (v - iy1)

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .hashing import HASH_BITS, hash60
 
 ROWS_PER_TASK = 500_000
@@ -27,8 +28,12 @@ MAX_EDGES = 1024
 # Largest number of hot groups whose edges are broadcast (edges: MAX_EDGES doubles each at most).
 MAX_BROADCAST_GROUPS = 1_000
 HASH_BUCKET_BITS = 12
+# Offset rows (a few numbers each) that are broadcast at most.
+MAX_HASH_ROWS = 1 << 18
 # Hash buckets of the first look for hot groups.
 SCREEN_BUCKETS = 1 << 16
+# Groups up to this many meet their rows by broadcast.
+MAX_SMALL_GROUPS = 1 << 14
 
 _B = "_bucket"
 
@@ -88,12 +93,20 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *, rows_p
     hot = hot_groups(rows if probe is None else probe, by, rows_per_task, sizes)
     if not hot.count:
         return rows.join(per_group, list(keys), "left")
-    hot_keys = F.broadcast(hot.frame)
+    rows = stored(rows, "attached")  # both branches read it
+    hot_keys = F.broadcast(stored(hot.frame, "hot-keys"))
     hot_side = F.broadcast(per_group.join(hot_keys, by, "left_semi"))
     inside = rows.join(hot_keys, by, "left_semi").join(hot_side, list(keys), "left")
     return inside.unionByName(rows.join(hot_keys, by, "left_anti").join(per_group, list(keys), "left"))
 
 
+def join_small(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table of a few groups back to their rows. The groups are written and counted first:
+    up to MAX_SMALL_GROUPS they are sent to the rows, which stay where they are."""
+    side = stored(per_group, "groups")
+    return rows.join(F.broadcast(side) if side.count() <= MAX_SMALL_GROUPS else side, list(keys), how)
+
+
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on keys where NULL meets NULL, keeping the left key columns: rows of a NULL group
     must not get lost."""
@@ -139,6 +152,13 @@ def _add_buckets(df: DataFrame, groups: Sequence[str], value: str, key: str | No
     return out if groups else out.drop("_all")
 
 
+def _cut(df: DataFrame, groups: Sequence[str], value: str, key: str | None, hot: HotGroups, rows_per_task: int) -> DataFrame:
+    """Rows with their bucket, written once: edges, totals and windows all read them."""
+    if hot.frame is not None:
+        hot = HotGroups(hot.count, hot.largest, stored(hot.frame, "hot-keys"))
+    return stored(_add_buckets(stored(df, "ordered"), groups, value, key, hot, rows_per_task), "buckets")
+
+
 def _offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Totals of all earlier buckets of the group, per bucket."""
     totals = df.groupBy(*groups, _B).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
@@ -157,7 +177,7 @@ def running(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str, Co
     if not hot.count:
         w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    cut = _add_buckets(df, groups, value, key, hot, rows_per_task)
+    cut = _cut(df, groups, value, key, hot, rows_per_task)
     w = Window.partitionBy(*groups, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.select("*", *[F.sum(c).over(w).alias(f"_i_{n}") for n, c in sums.items()])
     joined = match(inside, _offsets(cut, groups, sums), [*groups, _B])
@@ -181,7 +201,7 @@ def lagged(df: DataFrame, groups: Sequence[str], value: str, key: str, *, name:
     hot = hot_groups(df, groups, rows_per_task, sizes)
     if not hot.count:
         return df.select("*", F.lag(value).over(Window.partitionBy(*groups).orderBy(value, key)).alias(name))
-    cut = _add_buckets(df, groups, value, key, hot, rows_per_task)
+    cut = _cut(df, groups, value, key, hot, rows_per_task)
     last = cut.groupBy(*groups, _B).agg(F.max(value).alias("_last"))
     carry = last.select(*groups, _B, F.lag("_last").over(Window.partitionBy(*groups).orderBy(_B)).alias("_carry"))
     inside = cut.withColumn("_in", F.lag(value).over(Window.partitionBy(*groups, _B).orderBy(value, key)))
@@ -197,12 +217,14 @@ def hash_ranked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], *, se
     balanced buckets whatever the data: no sampling pass, and a hot group is spread evenly. The
     offset table has 2**bucket_bits rows per group and groups must be few (classes, splits).
     """
-    hashed = df.withColumn("_h", hash60(*keys, seed=seed)).withColumn(
-        _B, F.shiftright(F.col("_h"), HASH_BITS - bucket_bits))
+    hashed = stored(df.withColumn("_h", hash60(*keys, seed=seed)).withColumn(
+        _B, F.shiftright(F.col("_h"), HASH_BITS - bucket_bits)), "hashed")
     totals = hashed.groupBy(*groups, _B).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    side = totals.select(*groups, _B, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
-                         F.sum("_n").over(Window.partitionBy(*groups)).alias(size))
+    side = stored(totals.select(*groups, _B, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
+                                F.sum("_n").over(Window.partitionBy(*groups)).alias(size)), "hash-buckets")
+    if side.count() <= MAX_HASH_ROWS:
+        side = F.broadcast(side)
     inside = hashed.withColumn("_i", F.row_number().over(Window.partitionBy(*groups, _B).orderBy("_h", *keys)))
     return match(inside, side, [*groups, _B]).select(
         *df.columns, (F.col("_i") + F.col("_o_n")).cast("bigint").alias(name), F.col(size).cast("bigint").alias(size))
@@ -216,9 +238,11 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: d
     plain = [F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()]
     if not hot.count:
         return df.groupBy(*groups).agg(*plain)
+    df = stored(df, "quantile-rows")
     if hot.frame is None:
         hot_rows, cold = df, None
     else:
+        hot = HotGroups(hot.count, hot.largest, stored(hot.frame, "hot-keys"))
         side = _small(hot.frame, hot)
         hot_rows, cold = match(df, side, groups, "left_semi"), match(df, side, groups, "left_anti")
     # Duplicates collapse before the shuffle; the rest is a running count over distinct values.

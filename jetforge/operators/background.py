@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ROWS_PER_TASK, attach, grouped_quantiles, hot_groups, match, ranked, top_k
+from ..functions.ordering import HotGroups, ROWS_PER_TASK, attach, grouped_quantiles, hot_groups, match, ranked, top_k
 from ..schema import GHOST_PT, KEYS
+from ..session import stored
 
 
 def epsilon(jets: DataFrame) -> DataFrame:
@@ -50,6 +51,15 @@ def drop_leading(jets: DataFrame, k: int = 2) -> DataFrame:
     return jets.join(gone, KEYS, "left_anti")
 
 
+def _parted(jets: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | None]:
+    """Jets of ordinary events, and those of hot events written once. The list of hot events is
+    bounded by the screen and goes to the jets."""
+    if not hot.count:
+        return jets, None
+    listed = F.broadcast(stored(hot.frame, "hot-events"))
+    return match(jets, listed, ["event_id"], "left_anti"), stored(match(jets, listed, ["event_id"], "left_semi"), "hot-jets")
+
+
 def _hot_medians(jets: DataFrame, names: Sequence[str], rows_per_task: int) -> DataFrame:
     """The medians for events too large for one task."""
     out = jets.select("event_id").distinct()
@@ -68,12 +78,12 @@ def density_medians(jets: DataFrame, names: Sequence[str] = tuple(_MEDIANS), *,
     0 where no jet is left. All medians share one pass over the jets. Events above ``rows_per_task``
     jets take the distributed path."""
     hot = hot_groups(jets, ["event_id"], rows_per_task, sizes)
-    ordinary = jets if not hot.count else match(jets, hot.frame, ["event_id"], "left_anti")
+    ordinary, big = _parted(jets, hot)
     med = _with_rank(ordinary).groupBy("event_id").agg(*[
         F.coalesce(F.percentile(F.when(_in(n), F.col("epsilon")), F.lit(0.5)), F.lit(0.0)).alias(n) for n in names])
     if not hot.count:
         return med
-    return med.unionByName(_hot_medians(match(jets, hot.frame, ["event_id"], "left_semi"), names, rows_per_task))
+    return med.unionByName(_hot_medians(big, names, rows_per_task))
 
 
 def rho_median(jets: DataFrame, *, ghosts: bool = True, name: str = "rho", **kw) -> DataFrame:
@@ -90,14 +100,14 @@ def with_rho_drop2(jets: DataFrame, *, rows_per_task: int = ROWS_PER_TASK, sizes
     """Jets with the drop-2 median of their event. One shuffle by event serves rank, count, median
     and attachment; only events above ``rows_per_task`` jets go through a median table and a join."""
     hot = hot_groups(jets, ["event_id"], rows_per_task, sizes)
-    ordinary = jets if not hot.count else match(jets, hot.frame, ["event_id"], "left_anti")
+    ordinary, big = _parted(jets, hot)
     med = F.percentile(F.when(F.col("_rest"), F.col("epsilon")), F.lit(0.5)).over(Window.partitionBy("event_id"))
     out = _with_rank(ordinary).withColumn("rho", F.coalesce(med, F.lit(0.0))).select(*jets.columns, "rho")
     if not hot.count:
         return out
-    big = match(jets, hot.frame, ["event_id"], "left_semi")
     rho = _hot_medians(big, ["rho_drop2_ghosts"], rows_per_task).withColumnRenamed("rho_drop2_ghosts", "rho")
-    return out.unionByName(attach_rho(big, rho, rows_per_task=rows_per_task))
+    # As many rows as there are hot events: bounded by the screen.
+    return out.unionByName(match(big, F.broadcast(rho), ["event_id"]))
 
 
 def attach_rho(jets: DataFrame, rho: DataFrame, **kw) -> DataFrame:

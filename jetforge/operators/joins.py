@@ -70,19 +70,20 @@ def concat_classes(slices: Sequence[DataFrame]) -> DataFrame:
 
 
 def lineage_root(nodes: DataFrame, *, node: str = "id", parent: str = "parent", groups: Sequence[str] = (),
-                 top: int = 8, max_rounds: int = 12) -> DataFrame:
+                 top: int = 8) -> DataFrame:
     """Follow parents until an index of at most ``top``.
 
     Pointer doubling: every round replaces a row's pointer by its pointer's pointer, so chains of
     length 2**rounds resolve. Each round is one equi join and ends in a checkpoint to keep the
-    lineage flat. Rows that end at 0, at a missing node or in a cycle get ``status`` 'error'.
+    lineage flat. No chain is longer than the table, so after enough rounds for that only cycles
+    are left. Rows that end at 0 or NULL, at a missing node or in a cycle get ``status`` 'error'.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     g = list(groups)
     done = F.col("ptr") <= top
-    cur = nodes.select(*g, node, F.col(parent).alias("ptr"), F.lit(1).alias("hops"),
-                       F.col(parent).between(1, top).alias("prompt")).checkpoint()
-    for _ in range(max_rounds):
+    up = F.coalesce(parent, F.lit(0))
+    cur = nodes.select(*g, node, up.alias("ptr"), F.lit(1).cast("long").alias("hops"), up.between(1, top).alias("prompt")).checkpoint()
+    for _ in range(cur.count().bit_length() + 1):
         step = cur.select(*g, F.col(node).alias("ptr"), F.col("ptr").alias("next_ptr"), F.col("hops").alias("next_hops"))
         live = cur.where(~done)
         if live.isEmpty():
@@ -92,7 +93,9 @@ def lineage_root(nodes: DataFrame, *, node: str = "id", parent: str = "parent",
             (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"), "prompt")
         cur = cur.where(done).unionByName(moved).checkpoint()
     ok = F.col("ptr").between(1, top)
-    return cur.select(*g, node, F.when(ok, F.col("ptr")).alias("root"), "hops",
+    # A row in a cycle has gone round many times; its hops stop at the largest integer.
+    hops = F.least("hops", F.lit(2**31 - 1)).cast("int").alias("hops")
+    return cur.select(*g, node, F.when(ok, F.col("ptr")).alias("root"), hops,
                       F.when(ok & F.col("prompt"), "prompt").when(ok, "resolved").otherwise("error").alias("status"))
 
 

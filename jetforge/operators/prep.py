@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import cut_right_closed, label_names
+from ..functions.ordering import join_small
 from ..schema import CLASS_CODES, COUNT_COLUMNS, DROP_LISTS, JET_COLUMNS, LABEL_NAMES, LEAKY
 
 
@@ -63,7 +64,7 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], groups: Sequence[str] = ())
     """(x - min) / (max - min) per column, over the table or per group; a constant column gives 0."""
     bounds = df.groupBy(*groups).agg(*[f(c).alias(f"_{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))])
     if groups:
-        out = df.join(bounds, list(groups))
+        out = join_small(df, bounds, groups)
     else:
         # A single row of bounds, read once and put into the plan as literals.
         row = bounds.first()

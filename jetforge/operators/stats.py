@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import density_bin, fixed_bin, hexbin_centres
-from ..functions.ordering import ROWS_PER_TASK, grouped_quantiles, lagged
+from ..functions.ordering import ROWS_PER_TASK, grouped_quantiles, join_small, lagged
 
 
 def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: str = "feature", val: str = "value") -> DataFrame:
@@ -61,7 +61,10 @@ def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def density_histogram(df: DataFrame, cols: Sequence[str], n_bins: int, label: str = "label",
                       classes: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Density histograms of every column, for all rows (class 0) and per class, each over its own
-    range. One pass for the ranges, one for the counts, for all columns and classes together."""
+    range. One pass for the ranges, one for the counts, for all columns and classes together. Rows
+    of any other class, or of none, are among all rows."""
+    if 0 in classes:
+        raise ValueError("class 0 stands for all rows here; give the classes other numbers")
     groups = [("0", F.lit(True))] + [(str(c), F.col(label) == c) for c in classes]
     bounds = df.groupBy().agg(*[
         f(F.when(cond, F.col(c))).cast("double").alias(f"{p}_{g}_{c}")
@@ -70,8 +73,9 @@ def density_histogram(df: DataFrame, cols: Sequence[str], n_bins: int, label: st
     ranges = bounds.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(int(g)).alias("grp"), F.col(f"lo_{g}_{c}").alias("lo"), F.col(f"hi_{g}_{c}").alias("hi"))
         for c in cols for g, _ in groups])).alias("r")).select("r.*")
-    long = melt(df.where(F.col(label).isin(*classes)), [label], cols).where(F.col("value").isNotNull())
-    long = long.withColumn("grp", F.explode(F.array(F.lit(0), F.col(label).cast("int"))))
+    long = melt(df, [label], cols).where(F.col("value").isNotNull())
+    own = F.when(F.col(label).isin(*classes), F.col(label).cast("int"))
+    long = long.withColumn("grp", F.explode(F.array_compact(F.array(F.lit(0), own))))
     counts = long.join(F.broadcast(ranges), ["feature", "grp"]).withColumn(
         "bin", density_bin(F.col("value"), F.col("lo"), F.col("hi"), n_bins)).groupBy("feature", "grp", "bin").agg(F.count("*").alias("n"))
     grid = ranges.where(F.col("lo").isNotNull()).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
@@ -108,7 +112,7 @@ def histogram_2d(df: DataFrame, x: Column, xs: tuple[float, float, int], y: Colu
 def auto_histogram_2d(df: DataFrame, x: str, y: str, n: int, groups: Sequence[str] = ()) -> DataFrame:
     """2-D counts over the observed range of each group, n x n bins, last bins closed."""
     b = df.groupBy(*groups).agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh"))
-    j = df.select(*groups, x, y).join(b, list(groups)) if groups else _with_row(df.select(x, y), b)
+    j = join_small(df.select(*groups, x, y), b, groups) if groups else _with_row(df.select(x, y), b)
     return j.select(*groups, density_bin(F.col(x), F.col("xl"), F.col("xh"), n).alias("bin_x"),
                     density_bin(F.col(y), F.col("yl"), F.col("yh"), n).alias("bin_y")).groupBy(*groups, "bin_x", "bin_y").agg(F.count("*").alias("n"))
 
@@ -152,7 +156,8 @@ def profile(df: DataFrame, a: str, b: str, n_bins: int = 20, *, strict_edges: bo
     width = (hi - lo) / n_bins
     if strict_edges:
         step = (hi - lo) / (n_bins - 1)
-        bin_ = F.floor((F.col(a) - lo) / step).cast("int")
+        # A flat column has one edge, which the open bins leave out.
+        bin_ = F.floor(F.try_divide(F.col(a) - lo, step)).cast("int")
         left = lo + step * bin_
         rows = df.select(a, b).withColumn("bin", bin_).where((F.col(a) > left) & (F.col(a) < left + width))
     else:

@@ -68,8 +68,12 @@ def clip_rules(rules: DataFrame, ranges: dict[str, tuple[float, float]]) -> Data
 
 def box_lookup(df: DataFrame, rules: DataFrame, name: str = "leaf") -> DataFrame:
     """Leaf of every row. The rules of a tree are metadata of bounded size (checked), so they become
-    one CASE expression evaluated inside the scan stage; no join at all."""
-    rows = rules.limit(MAX_LEAVES * 32 + 1).collect()
+    one CASE expression evaluated inside the scan stage; no join at all. A rule table has one row
+    per leaf and column at most; a larger one is an error, never cut."""
+    most = MAX_LEAVES * len(df.columns)
+    rows = rules.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules for {len(df.columns)} columns: this is not a rule table")
     boxes: dict[int, list] = {}
     for r in rows:
         boxes.setdefault(r["leaf"], []).append(r)

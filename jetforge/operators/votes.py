@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import grouped_quantiles
+from ..functions.ordering import grouped_quantiles, join_small
 
 
 def majority_vote(votes: DataFrame, row: Sequence[str], pred: str = "pred") -> DataFrame:
@@ -34,12 +34,14 @@ def importance_stats(trees: DataFrame, groups: Sequence[str] = (), value: str =
 def stump_counts(df: DataFrame, cols: Sequence[str], n_bins: int, label: str = "label",
                  groups: Sequence[str] = ()) -> DataFrame:
     """Row counts per (group, feature, bin, class); bins tile each feature's range inside the group
-    and candidate cuts are the upper bin edges. All features and groups share one pass."""
+    and candidate cuts are the upper bin edges. All features and groups share one pass. A row
+    without a value (NULL or NaN) of a feature is not counted for that feature."""
+    df = df.select(*groups, label, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     bounds = df.groupBy(*groups).agg(*[
         f(c).cast("double").alias(f"_{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))])
     rows = df.select(*groups, label, *cols)
     if groups:
-        rows = rows.join(bounds, list(groups))
+        rows = join_small(rows, bounds, groups)
     else:
         row = bounds.first()
         rows = rows.select("*", *[F.lit(row[c]).alias(c) for c in bounds.columns])
@@ -48,9 +50,9 @@ def stump_counts(df: DataFrame, cols: Sequence[str], n_bins: int, label: str = "
         x, lo, hi = F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         # Right-closed bins, so that "value <= upper edge" is exactly "bin <= b".
         b = F.when(x <= lo, 0).otherwise(F.greatest(F.ceil(F.try_divide((x - lo) * n_bins, hi - lo)) - 1, F.lit(0)))
-        cells.append(F.struct(F.lit(c).alias("feature"), F.least(b, F.lit(n_bins - 1)).cast("int").alias("bin"),
-                              lo.alias("lo"), hi.alias("hi")))
-    long = rows.select(*groups, label, F.explode(F.array(*cells)).alias("c"))
+        cells.append(F.when(x.isNotNull(), F.struct(F.lit(c).alias("feature"), F.least(b, F.lit(n_bins - 1)).cast("int").alias("bin"),
+                                                    lo.alias("lo"), hi.alias("hi"))))
+    long = rows.select(*groups, label, F.explode(F.array_compact(F.array(*cells))).alias("c"))
     return long.groupBy(*groups, "c.feature", "c.bin", "c.lo", "c.hi", label).agg(F.count("*").alias("n"))
 
 
@@ -89,5 +91,7 @@ def cut_report(best: DataFrame, names: dict[int, str], groups: Sequence[str] = (
                      for c, n in names.items()])
     out = best.select(*groups, "feature", "threshold", "gain", F.explode(rows).alias("r")).select(
         *groups, "feature", "threshold", "gain", "r.*")
-    one = lambda col, op: F.format_string(f"%s {op} %.3f keeps %.1f%% of our %s jets", F.col("feature"), F.col("threshold"), F.col(col), F.col("label_name"))
+    # A class without rows has no share and no sentence.
+    one = lambda col, op: F.when(F.col(col).isNotNull(), F.format_string(
+        f"%s {op} %.3f keeps %.1f%% of our %s jets", F.col("feature"), F.col("threshold"), F.col(col), F.col("label_name")))
     return out.withColumn("below_text", one("pct_below", "<=")).withColumn("above_text", one("pct_above", ">"))

@@ -79,13 +79,18 @@ def j6(spark, sf):
         F.count("*").alias("n"), F.avg("p_t").alias("p_t"))
 
 
-@query("J7_lineage_root", """WITH RECURSIVE walk AS (SELECT p_partkey AS id, p_partkey // 3 AS ptr, 1 AS hops, p_partkey // 3 BETWEEN 1 AND 8 AS prompt FROM part
-       UNION ALL SELECT id, ptr // 3, hops + 1, prompt FROM walk WHERE ptr > 8)
+@query("J7_lineage_root", """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_partkey // 3 END AS parent FROM part),
+       walk AS (SELECT id, parent AS ptr, 1 AS hops, parent BETWEEN 1 AND 8 AS prompt FROM n
+                UNION ALL SELECT w.id, n.parent, hops + 1, prompt FROM walk w JOIN n ON w.ptr = n.id WHERE w.ptr > 8)
        SELECT id, CASE WHEN ptr BETWEEN 1 AND 8 THEN ptr END AS root, hops, CASE WHEN ptr < 1 THEN 'error' WHEN prompt THEN 'prompt' ELSE 'resolved' END AS status
-       FROM walk WHERE ptr <= 8""")
+       FROM walk WHERE ptr <= 8
+       UNION ALL SELECT 1000000001 + p_partkey, 5, p_partkey + 1, CASE WHEN p_partkey = 0 THEN 'prompt' ELSE 'resolved' END FROM part""")
 def j7(spark, sf):
-    nodes = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("parent"))
-    return joins.lineage_root(nodes)
+    """A shallow forest in which some parents are missing, and one chain through all parts."""
+    part = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    shallow = part.withColumn("parent", F.expr("CASE WHEN id % 17 <> 0 THEN id div 3 END"))
+    chain = part.select((F.col("id") + 1_000_000_001).alias("id"), F.expr("CASE WHEN id = 0 THEN 5 ELSE id + 1000000000 END").alias("parent"))
+    return joins.lineage_root(shallow.unionByName(chain))
 
 
 @query("J8_cone_assign", with_ctes(f"""SELECT event_id, jet_id, k1, k2, k3, CASE WHEN rn = 1 AND d < 0.4::DOUBLE THEN seed END AS seed,

@@ -88,7 +88,7 @@ _SPLIT_COLS = ["event_id", "jet_id", "pt_hard_min", "r_idx", *[c for c in _KEPT[
 @query("B7_feature_label_split", with_ctes(f"SELECT {', '.join(_SPLIT_COLS)} FROM feat", "feat"),
        ["angularity", "mean_p_t", "var_p_t", "p_t_1", "area"])
 def b7(spark, sf):
-    return P.feature_label_split(P.signal_momentum(P.drop_features(features(spark, sf).withColumn("label_name", label_names(F.col("label"))), "lean").withColumn("n_trk", F.lit(1)))).drop("n_trk")
+    return P.feature_label_split(P.drop_features(P.signal_momentum(features(spark, sf)).withColumn("label_name", label_names(F.col("label"))), "lean"))
 
 
 @query("B8_low_pt_filter", with_ctes("""SELECT event_id, jet_id, p_t, p_t < 100 AS fixed_cut FROM jets

@@ -373,6 +373,18 @@ def f9(spark, sf):
     return votes.cut_report(best, NAMES)
 
 
+_SOME = [c for c in FEATURES if c != "p_t_1"] + ["p_t_2", "p_t_3"]
+
+
+@query("F9_top_cut_missing", _stump_sql(32, [], _cut_tail([])).replace("FROM long", "FROM picked").replace(
+    ", rng AS", ", picked AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, CAST({c} AS DOUBLE) AS value FROM train WHERE {c} IS NOT NULL" for c in _SOME) + "), rng AS", 1),
+    ["threshold", "gain", "pct_below", "pct_above"])
+def f9m(spark, sf):
+    """The best cut where some features are missing on small jets."""
+    best = votes.best_stump(votes.stump_counts(stored_rows(spark, sf, _SOME), _SOME, 32), 32)
+    return votes.cut_report(best, NAMES)
+
+
 GRID = ["r_idx", "pt_hard_min"]
 
 

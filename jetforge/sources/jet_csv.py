@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60
-from ..functions.ordering import ROWS_PER_TASK, ranked, running
+from ..functions.ordering import ROWS_PER_TASK, join_small, ranked, running
 from ..operators.prep import type_jets
 from ..schema import CSV_COLUMNS, SNAKE, csv_schema
 
@@ -32,15 +32,23 @@ def rename_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: SNAKE[c] for c in df.columns if c in SNAKE})
 
 
+def header_probe(columns: Sequence[str]) -> str:
+    """A column of the layout whose name gives a header line away."""
+    return "Eps" if "Eps" in columns else "p_T"
+
+
 def read_jets(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = CSV_COLUMNS,
               float32: bool = False) -> DataFrame:
     """Typed jet table from shards. ``columns`` states the layout; it is never guessed."""
-    probe = "Eps" if "Eps" in columns else "p_T"
-    return type_jets(rename_columns(drop_repeated_headers(read_raw(spark, paths, columns), probe)), float32)
+    return type_jets(rename_columns(drop_repeated_headers(read_raw(spark, paths, columns), header_probe(columns))), float32)
 
 
 def row_cap(df: DataFrame, key: str, n: int, tie: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The first n rows in key order, chosen by rank so that no task or driver holds them all."""
+    """The first n rows in key order. Every task keeps its own first n ahead of the exchange; beyond
+    ``rows_per_task`` rows the cap is taken by rank, so that no task holds them all."""
+    order = list(dict.fromkeys([key, tie or key]))
+    if n <= rows_per_task:
+        return df.orderBy(*order).limit(n)
     return ranked(df, [], key, tie or key, name="_r", rows_per_task=rows_per_task).where(F.col("_r") <= n).drop("_r")
 
 
@@ -67,7 +75,7 @@ def split_shards(df: DataFrame, path: str, rows: int = SHARD_ROWS) -> None:
 def merge_shards(spark: SparkSession, glob: str, columns: Sequence[str] = CSV_COLUMNS) -> DataFrame:
     """All shards of all grid points in one typed table; R and pt_hard_min come from the file path
     (``...Rparam-0.4...pThardmin-20...`` or ``R=0.4/pt_hard_min=20``)."""
-    raw = drop_repeated_headers(read_raw(spark, glob, columns)).withColumn("_file", F.input_file_name())
+    raw = drop_repeated_headers(read_raw(spark, glob, columns), header_probe(columns)).withColumn("_file", F.input_file_name())
     r = F.regexp_extract("_file", r"(?:Rparam-|R=)(\d+\.\d+)", 1)
     p = F.regexp_extract("_file", r"(?:pThardmin-|pt_hard_min=)(\d+)", 1)
     tagged = raw.withColumn("R", r.try_cast("double")).withColumn("pt_hard_min", p.try_cast("int")).drop("_file")
@@ -118,7 +126,7 @@ def shuffled_read(df: DataFrame, file: str, event: str, seed: int = 42) -> DataF
     inside = ranked(df.withColumn("_h", hash60(event, seed=f"{seed}:event")), [file], "_h", event, name="_in")
     files = df.groupBy(file).agg(F.count("*").alias("_fn")).withColumn("_fh", hash60(file, seed=f"{seed}:file"))
     start = running(files, [], "_fh", {"_end": F.col("_fn")}, key=file).select(file, (F.col("_end") - F.col("_fn")).alias("_start"))
-    return inside.join(start, file).select(*df.columns, (F.col("_start") + F.col("_in")).alias("position"))
+    return join_small(inside, start, [file]).select(*df.columns, (F.col("_start") + F.col("_in")).alias("position"))
 
 
 def filtered_draw(df: DataFrame, predicate: str, expression: str, name: str = "x") -> DataFrame:
