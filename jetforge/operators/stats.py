@@ -30,7 +30,8 @@ def describe(df: DataFrame, cols: Sequence[str], rows_per_task: int = ROWS_PER_T
     return basic.join(quart, "feature")
 
 
-# Widest single aggregate: beyond it generated code gets too large and pairs go through a long form.
+# Widest single aggregate: beyond it generated code gets too large and the first column of the pairs
+# becomes a grouping key.
 MAX_WIDE_PAIRS = 24
 
 
@@ -41,9 +42,19 @@ def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]], fn, name: s
         cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias(name))
                           for i, (a, b) in enumerate(pairs)])
         return agg.select(F.explode(cells).alias("c")).select("c.*")
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                      for a, b in pairs])
-    return df.select(F.explode(cells).alias("c")).groupBy("c.a", "c.b").agg(fn("c.x", "c.y").alias(name))
+    firsts, seconds = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("double").alias("x")) for a in firsts])
+    out = None
+    for i in range(0, len(seconds), MAX_WIDE_PAIRS):
+        some = seconds[i:i + MAX_WIDE_PAIRS]
+        # Positions, not names: a column may be called like the key.
+        wide = df.select(F.explode(cells).alias("_c"), *[F.col(b).cast("double").alias(f"_{k}") for k, b in enumerate(some)])
+        per = wide.groupBy(F.col("_c.a").alias("a")).agg(*[fn("_c.x", f"_{k}").alias(f"r{k}") for k in range(len(some))])
+        flat = F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"r{k}").alias(name)) for k, b in enumerate(some)])
+        part = per.select("a", F.explode(flat).alias("c")).select("a", "c.*")
+        out = part if out is None else out.unionByName(part)
+    wanted = F.array(*[F.concat_ws("\0", F.lit(a), F.lit(b)) for a, b in pairs])
+    return out.where(F.array_contains(wanted, F.concat_ws("\0", "a", "b")))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -94,6 +94,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, CASE WHEN p_t_corr > 20 THEN 3 WHEN p_t_corr > -20 THEN 2 ELSE 1 END AS pred,
                CASE WHEN {h60('event_id', 'jet_id')} % 10000 < 2000 THEN 'test' ELSE 'train' END AS split,
                CAST({h60('event_id', 'jet_id', seed='batch')} % 5 AS INT) AS batch_id FROM train"""),
+    "balanced": (("train",), f"""
+        WITH o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h60('event_id', 'jet_id')}, event_id, jet_id) AS ord,
+                          count(*) OVER (PARTITION BY label) AS nc FROM train),
+             d AS (SELECT c.label, c.nc, u.id FROM (SELECT DISTINCT label, nc FROM o WHERE label IN (1, 2)) c,
+                          (SELECT unnest(range(1, (SELECT count(*) FROM train WHERE label = 3) + 1)) AS id) u),
+             drawn AS (SELECT label, {h60('label', 'id')} % nc + 1 AS ord FROM d)
+        SELECT b.*, CASE WHEN {h60('event_id', 'jet_id')} % 10000 < 2000 THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT o.* FROM o JOIN drawn ON o.label = drawn.label AND o.ord = drawn.ord UNION ALL SELECT * FROM o WHERE label = 3) b"""),
     "ev": ((), "SELECT event_id, ts, user_id, event_type, value FROM events"),
     "parts": (("constits",), """
         SELECT event_id, jet_id, k1, k2, k3, user_index, origin_kf, pt * cos(phi) AS px, pt * sin(phi) AS py,

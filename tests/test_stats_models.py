@@ -184,7 +184,7 @@ def test_forest_vote_surrogate_and_rules(spark, labelled):
     assert len(models) == 2
     v = M.ensemble_votes(models, labelled, ["id"], cols)
     assert v.count() == labelled.count() * 2
-    tree = M.surrogate_tree(models, labelled, ["id"], cols)
+    tree = M.surrogate_tree(models, labelled, cols)
     nodes = trees.model_nodes(tree, cols)
     rules = trees.tree_rules(nodes)
     pred = {r["id"]: r["prediction"] for r in nodes.where("left < 0").collect()}
