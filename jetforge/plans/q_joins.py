@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import pt_label
@@ -196,6 +197,9 @@ def c3(spark, sf):
     return sampling.k_fold(labelled(spark, sf).select(*KEYS, "label"), KEYS)
 
 
-@query("C1_approx_balance")
+@query("C1_approx_balance", with_ctes("SELECT label, true AS near_anchor FROM feat WHERE label IN (1, 2, 3) GROUP BY label", "feat"))
 def c1a(spark, sf):
-    return S.class_counts(sampling.approx_balance(stored(labelled(spark, sf), "labelled")))
+    """Sampled sizes scatter like Poisson counts around the anchor's: within five deviations."""
+    counts = S.class_counts(sampling.approx_balance(stored(labelled(spark, sf), "labelled")))
+    anchor = F.max(F.when(F.col("label") == 3, F.col("n"))).over(Window.partitionBy())  # one row per class
+    return counts.select("label", (F.abs(F.col("n") - anchor) <= 5 * F.sqrt(anchor)).alias("near_anchor"))

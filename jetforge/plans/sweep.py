@@ -1,85 +1,95 @@
-"""The whole study over the parameter grid: forests per batch, surrogate, scores, cut, components."""
+"""The whole study over the parameter grid: balance, forests per batch, surrogate, scores, importances, cut, components."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import forests as M
 from ..operators import sampling, trees
-from ..operators.reports import append_results
-from ..session import shared_path
+from ..session import shared_path, stored
 
 GRID = ["r_idx", "pt_hard_min"]
 RESULT = "model_no int, split string, label int, metric string, name string, value double"
+SURROGATE = -1  # model number of the surrogate; averages over the forests have none
+ANCHOR, REAL, FAKE = 3, 3, 1
 
 
-def _scores(rows: DataFrame, models: Sequence, surrogate, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Accuracy and class rates of every forest, and of the surrogate (model -1), from one confusion
-    table per grid point."""
-    votes = M.ensemble_votes([*models, surrogate], rows, keys, cols)
-    seen = votes.join(rows.select(*keys, "split", "label"), list(keys))
-    conf = seen.groupBy("model", "split", "label", "pred").agg(F.count("*").alias("n"))
-    hit = F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n")
-    model = F.when(F.col("model") == len(models), -1).otherwise(F.col("model")).alias("model_no")
-    none = lambda t: F.lit(None).cast(t)
-    acc = conf.groupBy(model, "split").agg(hit.alias("value")).select(
-        "model_no", "split", none("int").alias("label"), F.lit("accuracy").alias("metric"), none("string").alias("name"), "value")
-    rates = conf.groupBy(model, "split", "label").agg(hit.alias("value")).select(
-        "model_no", "split", F.col("label").cast("int").alias("label"), F.lit("class_rate").alias("metric"), none("string").alias("name"), "value")
-    return acc.unionByName(rates)
+def _confusion(rows: DataFrame, models: Sequence, cols: Sequence[str]) -> list[tuple]:
+    """(model, split, label, pred, n) of all models from one pass: models x splits x classes squared."""
+    seen = M.with_votes(models, rows, cols).select("split", "label", F.posexplode("votes").alias("model", "pred"))
+    return [tuple(r) for r in seen.groupBy("model", "split", "label", "pred").agg(F.count("*").alias("n")).collect()]
 
 
-def _cut(rows: DataFrame, surrogate, cols: Sequence[str]) -> DataFrame | None:
+def _scores(conf: list[tuple], n_forests: int) -> list[tuple]:
+    """Accuracy, class rates and fall rates of every forest and of the surrogate, and their averages
+    over the forests."""
+    out, per = [], {}
+
+    def rate(model: int, split: str, label, metric: str, hits: int, total: int) -> None:
+        if total:
+            out.append((SURROGATE if model == n_forests else model, split, label, metric, None, hits / total))
+            if model < n_forests:
+                per.setdefault((split, label, metric), []).append(hits / total)
+
+    for model, split in sorted({c[:2] for c in conf}):
+        cells = [c[2:] for c in conf if c[:2] == (model, split)]
+        rate(model, split, None, "accuracy", sum(n for y, p, n in cells if y == p), sum(n for *_, n in cells))
+        for label in sorted({y for y, _, _ in cells}):
+            rate(model, split, int(label), "class_rate", sum(n for y, p, n in cells if y == p == label), sum(n for y, _, n in cells if y == label))
+        for metric, true, called in (("fall_out", FAKE, REAL), ("fall_in", REAL, FAKE)):
+            rate(model, split, None, metric, sum(n for y, p, n in cells if (y, p) == (true, called)), sum(n for y, _, n in cells if y == true))
+    return out + [(None, split, label, f"{metric}_mean", None, sum(v) / len(v)) for (split, label, metric), v in per.items()]
+
+
+def _cut(rows: DataFrame, surrogate, cols: Sequence[str]) -> list[tuple]:
     """Root cut of the surrogate and the share of every class kept on either side."""
     root = trees.root_cut(surrogate, cols)
     if root is None:
-        return None
+        return []
     feature, threshold = root
     below = (F.col(feature) <= threshold).cast("double")
-    share = rows.where("split = 'train'").groupBy("label").agg((100 * F.avg(below)).alias("below"))
-    sides = F.array(F.struct(F.lit("pct_below").alias("metric"), F.col("below").alias("value")),
-                    F.struct(F.lit("pct_above").alias("metric"), (100 - F.col("below")).alias("value")),
-                    F.struct(F.lit("threshold").alias("metric"), F.lit(threshold).alias("value")))
-    return share.select("label", F.explode(sides).alias("s")).select(
-        F.lit(-1).alias("model_no"), F.lit("train").alias("split"), F.col("label").cast("int").alias("label"), "s.metric",
-        F.lit(feature).alias("name"), "s.value")
+    share = rows.where("split = 'train'").groupBy("label").agg((100 * F.avg(below)).alias("below")).collect()
+    sides = lambda x: (("pct_below", x), ("pct_above", 100 - x), ("threshold", threshold))
+    return [(SURROGATE, "train", int(r["label"]), metric, feature, float(v)) for r in share for metric, v in sides(r["below"])]
 
 
-def _importances(spark, models: Sequence, cols: Sequence[str]) -> DataFrame:
-    rows = [(i, None, None, "importance", c, float(v)) for i, m in enumerate(models) for c, v in zip(cols, m.featureImportances.toArray())]
-    return spark.createDataFrame(rows, RESULT)
+def _importances(models: Sequence, cols: Sequence[str]) -> list[tuple]:
+    """Importances of every forest, and their mean, population deviation and 75 % quantile."""
+    each = np.array([m.featureImportances.toArray() for m in models])
+    rows = [(i, None, None, "importance", c, float(v)) for i, values in enumerate(each) for c, v in zip(cols, values)]
+    stats = (("importance_mean", each.mean(0)), ("importance_std", each.std(0)), ("importance_q75", np.quantile(each, 0.75, axis=0)))
+    return rows + [(None, None, None, metric, c, float(v)) for metric, values in stats for c, v in zip(cols, values)]
 
 
-def grid_point(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], params: dict, n_batches: int) -> DataFrame:
-    """Long result rows of one grid point."""
-    data = sampling.batches(sampling.hash_split(rows, keys), keys, n_batches).persist()
-    try:
-        train = data.where("split = 'train'")
-        models = M.batch_forests(train, cols, params, n_batches)
-        surrogate = M.surrogate_tree(models, train, keys, cols)
-        pca = M.pca(train, cols).groupBy("component").agg(F.first("explained").alias("value")).select(
-            F.lit(None).cast("int").alias("model_no"), F.lit("train").alias("split"), F.lit(None).cast("int").alias("label"),
-            F.lit("explained_variance").alias("metric"), F.col("component").cast("string").alias("name"), "value")
-        parts = [_scores(data, models, surrogate, keys, cols), _importances(rows.sparkSession, models, cols), pca]
-        cut = _cut(data, surrogate, cols)
-        out = parts[0]
-        for p in parts[1:] + ([cut] if cut is not None else []):
-            out = out.unionByName(p)
-        # Written before the cached rows are released.
-        return _keep(out)
-    finally:
-        data.unpersist()
+def grid_point(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], params: dict, n_batches: int) -> list[tuple]:
+    """Result rows of one grid point: a few hundred numbers, whatever the table.
 
-
-def _keep(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "grid-point")
-    df.coalesce(1).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    Classes are balanced first and rows split by jet, so that copies of a jet stay together. Without
+    rows of the anchor class there is nothing to balance against and the rows are used as they are.
+    """
+    if rows.where(F.col("label") == ANCHOR).isEmpty():
+        rows = rows.withColumn("copy", F.lit(0).cast("bigint"))
+    else:
+        rows = sampling.balance_classes(rows, keys, anchor=ANCHOR)
+    data = stored(sampling.batches(sampling.hash_split(rows, keys), [*keys, "copy"], n_batches), "grid-point")
+    counts = data.groupBy("split", "label").agg(F.count("*").alias("n")).collect()
+    out = [(None, r["split"], r["label"], "rows", None, float(r["n"])) for r in counts]
+    train = data.where("split = 'train'")
+    models = M.batch_forests(train, cols, params, n_batches)
+    if not models:
+        return out
+    surrogate = M.surrogate_tree(models, train, cols)
+    out += _scores(_confusion(data, [*models, surrogate], cols), len(models)) + _importances(models, cols) + _cut(data, surrogate, cols)
+    if sum(r["n"] for r in counts if r["split"] == "train") > 1:
+        shares = M.pca(train, cols).select("component", "explained").distinct().collect()
+        out += [(None, "train", None, "explained_variance", str(c), float(v)) for c, v in shares]
+    return out
 
 
 def sweep(df: DataFrame, keys: Sequence[str], cols: Sequence[str], params: dict, *, n_batches: int = 10,
@@ -91,23 +101,21 @@ def sweep(df: DataFrame, keys: Sequence[str], cols: Sequence[str], params: dict,
     partition of the stored rows.
     """
     spark = df.sparkSession
-    path, out = shared_path(spark, "sweep-rows"), shared_path(spark, "sweep-results")
+    path = shared_path(spark, "sweep-rows")
     df.hint("rebalance", *grid).write.partitionBy(*grid).parquet(path)
     rows = spark.read.parquet(path)
     points = [tuple(r) for r in rows.select(*grid).distinct().collect()]
 
-    def one(point: tuple) -> DataFrame:
+    def one(point: tuple) -> list[tuple]:
         cond = F.lit(True)
         for name, value in zip(grid, point):
             cond = cond & (F.col(name) == value)
-        res = grid_point(rows.where(cond), keys, cols, params, n_batches)
-        return res.select(*[F.lit(v).alias(n) for n, v in zip(grid, point)], "*")
+        return [(*point, *r) for r in grid_point(rows.where(cond), keys, cols, params, n_batches)]
 
     pool = ThreadPool(parallelism)
     try:
         results = pool.map(inheritable_thread_target(spark)(one), points)
     finally:
         pool.close()
-    for r in results:
-        append_results(r, out)
-    return spark.read.parquet(out)
+    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in grid)
+    return stored(spark.createDataFrame([r for rs in results for r in rs], f"{kinds}, {RESULT}"), "sweep-results")

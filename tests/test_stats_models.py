@@ -266,7 +266,9 @@ def test_sweep_covers_the_grid(spark, points):
     rows = df.where("id < 400").withColumn("r_idx", (F.col("id") % 2).cast("int")).withColumn("pt_hard_min", F.lit(20))
     res = sweep(rows, ["id"], ["a", "b"], PARAMS, n_batches=2, parallelism=2).persist()
     assert {tuple(r) for r in res.select("r_idx", "pt_hard_min").distinct().collect()} == {(0, 20), (1, 20)}
-    assert {r[0] for r in res.select("metric").distinct().collect()} >= {"accuracy", "class_rate", "importance", "explained_variance"}
+    assert {r[0] for r in res.select("metric").distinct().collect()} >= {
+        "rows", "accuracy", "class_rate", "fall_out", "fall_in", "accuracy_mean", "fall_out_mean", "importance", "importance_mean", "importance_std",
+        "importance_q75", "explained_variance"}
     assert res.where("metric = 'accuracy'").count() == 2 * 2 * 3
     assert res.where("metric = 'accuracy' and (value < 0 or value > 1)").count() == 0
     both = res.where("metric in ('pct_below', 'pct_above')").groupBy("r_idx", "label").agg(F.sum("value").alias("s"))
