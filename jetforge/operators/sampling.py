@@ -75,6 +75,14 @@ def k_fold(df: DataFrame, keys: Sequence[str], *, k: int = 5, label: str = "labe
     return r.select(*df.columns, F.pmod(F.col("_ord") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
+CHUNK_ROWS = 1_000_000
+
+
+def chunks(df: DataFrame, keys: Sequence[str], rows: int = CHUNK_ROWS) -> DataFrame:
+    """Chunk number such that a chunk has about ``rows`` rows; a table of fewer is one chunk."""
+    return batches(df, keys, max(1, -(-df.count() // rows)))
+
+
 def batches(df: DataFrame, keys: Sequence[str], n_batches: int, seed: int | str = "batch") -> DataFrame:
     """Deterministic chunk number without a shuffle."""
     return df.withColumn("batch_id", F.pmod(hash60(*keys, seed=seed), F.lit(n_batches)).cast("int"))

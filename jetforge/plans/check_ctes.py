@@ -87,6 +87,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM jets j LEFT JOIN lead l ON j.event_id = l.event_id AND j.jet_id = l.jet_id
         LEFT JOIN near_agg a ON j.event_id = a.event_id AND j.jet_id = a.jet_id
         JOIN rho2 r ON j.event_id = r.event_id"""),
+    "matched": (("live", "jets", "lead", "first_sig"), f"""
+        WITH tp AS (SELECT * FROM live WHERE user_index > 0),
+             tl AS (SELECT event_id, jet_id, sum(pt) AS truth_pt, max(CASE WHEN rn = 1 THEN eta END) AS truth_eta, max(CASE WHEN rn = 1 THEN phi END) AS truth_phi
+                    FROM (SELECT *, row_number() OVER (PARTITION BY event_id, jet_id ORDER BY pt DESC, k1, k2, k3) AS rn FROM tp) GROUP BY 1, 2),
+             best AS (SELECT * FROM (SELECT h.event_id, h.user_index, h.jet_id AS truth_jet, t.truth_pt, t.truth_eta, t.truth_phi,
+                      row_number() OVER (PARTITION BY h.event_id, h.user_index ORDER BY t.truth_pt DESC, h.jet_id) AS rn
+                      FROM (SELECT DISTINCT event_id, jet_id, user_index FROM tp) h JOIN tl t ON h.event_id = t.event_id AND h.jet_id = t.jet_id) WHERE rn = 1)
+        SELECT j.event_id, j.jet_id, coalesce({dr('l.eta', 'l.phi', 'b.truth_eta', 'b.truth_phi')}, 1e6) AS dist_match, coalesce(j.tru_sum / b.truth_pt, 0) AS x_match
+        FROM jets j JOIN first_sig f ON j.event_id = f.event_id AND j.jet_id = f.jet_id
+        LEFT JOIN lead l ON j.event_id = l.event_id AND j.jet_id = l.jet_id LEFT JOIN best b ON j.event_id = b.event_id AND f.first_signal = b.user_index"""),
+    "full24": (("feat", "matched", "constits"), """
+        SELECT f.*, round(0.2::DOUBLE + 0.1::DOUBLE * f.r_idx, 1) AS radius, m.dist_match, m.x_match, s.z_subjet FROM feat f
+        JOIN matched m ON f.event_id = m.event_id AND f.jet_id = m.jet_id
+        JOIN (SELECT event_id, jet_id, coalesce(max(cell) / nullif(sum(cell), 0), -1) AS z_subjet FROM (
+                SELECT event_id, jet_id, sum(CASE WHEN pt > 1e-50 AND user_index <> 0 THEN pt ELSE 0 END) AS cell FROM constits
+                GROUP BY event_id, jet_id, floor(eta / 0.1::DOUBLE), floor(phi / 0.1::DOUBLE)) GROUP BY 1, 2) s ON f.event_id = s.event_id AND f.jet_id = s.jet_id"""),
     "train": (("feat",), "SELECT * FROM feat WHERE n_trk > 0"),
     "long": (("train",), " UNION ALL ".join(
         f"SELECT '{c}' AS feature, label, event_id, jet_id, r_idx, pt_hard_min, CAST({c} AS DOUBLE) AS value FROM train" for c in FEATURES)),

@@ -10,7 +10,7 @@ from ..operators import jets as J
 from ..operators import joins
 from ..operators import sampling
 from ..schema import CSV_COLUMNS, KEYS, SNAKE
-from ..session import shared_path
+from ..session import shared_path, stored
 from ..sources import jet_csv as io
 from ..sources import views as V
 from .check_ctes import h60, with_ctes
@@ -18,42 +18,47 @@ from .features import features
 from .registry import query
 
 C = V.constituents
-_DBL = [SNAKE[c] for c in CSV_COLUMNS if SNAKE[c] not in ("n_trk", "dist_match", "x_match", "z_subjet")]
+_ALL = [SNAKE[c] for c in CSV_COLUMNS]
+_DBL = [c for c in _ALL if c != "n_trk"]
 
 
-def csv_rows(spark, sf):
-    """The full 24-column jet table."""
+def csv_rows(spark, sf, *extra):
+    """The full 24-column jet table, written once because the sinks read it more than once."""
     c = C(spark, sf)
     match = joins.truth_match(c, event_sizes=V.event_sizes(spark, sf)).select(*KEYS, "dist_match", "x_match")
     full = features(spark, sf).join(match, KEYS).join(J.subjet_share(c), KEYS)
-    return full.select(*[SNAKE[c] for c in CSV_COLUMNS])
+    full = full.withColumn("radius", F.round(F.lit(0.2) + F.lit(0.1) * F.col("r_idx"), 1))
+    return stored(full.select(*extra, *_ALL), "jets-24")
 
 
-def small_rows(spark, sf):
-    """Cheap rows in the 24-column layout: one per order, the sums that need no axis filled in."""
-    jets = bg.epsilon(V.basic_jets(C(spark, sf))).withColumn("radius", F.round(F.lit(0.2) + F.lit(0.1) * F.col("r_idx"), 1))
-    known = {"p_t", "area", "epsilon", "n_trk"}
-    return jets.select("radius", "pt_hard_min", *[F.col(n) if n in known else F.lit(0.0).alias(n) for n in (SNAKE[c] for c in CSV_COLUMNS)])
+def means(df, *groups):
+    """Rows, and the mean of every column: a sum would only scale the rounding."""
+    by = df.groupBy(*groups) if groups else df
+    return by.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in _ALL])
 
 
-@query("A1_csv_scan", with_ctes("SELECT " + ", ".join(_DBL + ["n_trk"]) + " FROM feat", "feat"), _DBL, 5)
+_MEANS = "count(*) AS n, " + ", ".join(f"avg({c}) AS {c}" for c in _ALL)
+
+
+@query("A1_csv_scan", with_ctes("SELECT " + ", ".join(_ALL) + " FROM full24", "full24"), _DBL, 5)
 def a1(spark, sf):
     path = shared_path(spark, "jets-csv")
     io.append_jets(csv_rows(spark, sf), path)
-    return io.read_jets(spark, path).select(*_DBL, "n_trk")
+    return io.read_jets(spark, path).select(*_ALL)
 
 
-@query("A2_drop_repeated_headers", with_ctes("SELECT count(*) AS n, sum(p_t) AS p_t, sum(n_trk)::BIGINT AS n_trk FROM jets", "jets"), ["p_t"], 3)
+@query("A2_drop_repeated_headers", with_ctes(f"SELECT {_MEANS} FROM full24", "full24"), _ALL, 4)
 def a2(spark, sf):
     """Data lines and header lines mixed in one text file, blank after the comma."""
     path = shared_path(spark, "jets-text")
-    rows = small_rows(spark, sf)
-    names = [SNAKE[c] for c in CSV_COLUMNS]
-    data = rows.select(F.concat_ws(", ", *[F.col(n).cast("string") for n in names]).alias("value"), (F.pmod(F.xxhash64("p_t", "area"), F.lit(50)) == 0).alias("h"))
+    rows = csv_rows(spark, sf)
+    # An empty field keeps its place.
+    fields = F.array(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in _ALL])
+    data = rows.select(F.array_join(fields, ", ").alias("value"), (F.pmod(F.xxhash64("p_t", "area"), F.lit(50)) == 0).alias("h"))
     header = F.lit(", ".join(CSV_COLUMNS))
     lines = data.select(F.explode(F.when(F.col("h"), F.array(header, "value")).otherwise(F.array("value"))).alias("value"))
     lines.write.text(path)
-    return io.read_jets(spark, path).agg(F.count("*").alias("n"), F.sum("p_t").alias("p_t"), F.sum("n_trk").alias("n_trk"))
+    return means(io.read_jets(spark, path))
 
 
 @query("A3_rename_cols", "SELECT o_orderkey AS p_t, o_custkey AS epsilon, o_totalprice AS p_t_corr FROM orders", ["p_t_corr"])
@@ -62,46 +67,48 @@ def a3(spark, sf):
     return io.rename_columns(o.select(F.col("o_orderkey").alias("p_T"), F.col("o_custkey").alias("Eps"), F.col("o_totalprice").alias("p_T-corr")))
 
 
-@query("A4_chunked_scan", with_ctes(f"SELECT CAST({h60('event_id', 'jet_id', seed='batch')} % 8 AS INT) AS batch_id, count(*) AS n, avg(p_t) AS p_t FROM jets GROUP BY 1", "jets"), ["p_t"])
+@query("A4_chunked_scan", with_ctes(f"""SELECT CAST({h60('event_id', 'jet_id', seed='batch')} % (SELECT CAST(ceil(count(*) / 2000.0) AS BIGINT) FROM jets) AS INT) AS batch_id,
+       count(*) AS n, avg(p_t) AS p_t FROM jets GROUP BY 1""", "jets"), ["p_t"])
 def a4(spark, sf):
-    return sampling.batches(V.basic_jets(C(spark, sf)), KEYS, 8).groupBy("batch_id").agg(F.count("*").alias("n"), F.avg("p_t").alias("p_t"))
+    """Chunks of about 2,000 rows, as many as the table asks for."""
+    return sampling.chunks(stored(V.basic_jets(C(spark, sf)).select(*KEYS, "p_t"), "chunked"), KEYS, 2_000).groupBy("batch_id").agg(F.count("*").alias("n"), F.avg("p_t").alias("p_t"))
 
 
-@query("A5_grid_scan", with_ctes("""SELECT round(0.2::DOUBLE + 0.1::DOUBLE * r_idx, 1) AS radius, pt_hard_min, count(*) AS n, avg(p_t) AS p_t FROM jets
-       WHERE NOT (r_idx = 4 OR pt_hard_min IN (10, 30)) GROUP BY 1, 2""", "jets"), ["radius", "p_t"])
+@query("A5_grid_scan", with_ctes(f"""SELECT radius, pt_hard_min, {_MEANS} FROM full24
+       WHERE NOT (r_idx = 4 OR pt_hard_min IN (10, 30)) GROUP BY 1, 2""", "full24"), ["radius", *_ALL])
 def a5(spark, sf):
     path = shared_path(spark, "grid")
-    io.write_grid(small_rows(spark, sf).withColumnRenamed("radius", "R"), path)
+    io.write_grid(csv_rows(spark, sf, "radius", "pt_hard_min").withColumnRenamed("radius", "R"), path)
     skip = [(r, p) for r in (0.2, 0.3, 0.4, 0.5, 0.6) for p in (10, 20, 30, 40) if r == 0.6 or p in (10, 30)]
-    return io.read_grid(spark, path, skip=skip).groupBy(F.col("R").alias("radius"), "pt_hard_min").agg(F.count("*").alias("n"), F.avg("p_t").alias("p_t"))
+    return means(io.read_grid(spark, path, skip=skip), F.col("R").alias("radius"), "pt_hard_min")
 
 
-@query("A6_merge_shards", with_ctes("""SELECT round(0.2::DOUBLE + 0.1::DOUBLE * r_idx, 1) AS radius, pt_hard_min, count(*) AS n, sum(p_t) AS p_t, sum(n_trk)::BIGINT AS n_trk
-       FROM jets GROUP BY 1, 2""", "jets"), ["radius", "p_t"], 4)
+@query("A6_merge_shards", with_ctes(f"SELECT radius, pt_hard_min, {_MEANS} FROM full24 GROUP BY 1, 2", "full24"), ["radius", *_ALL], 4)
 def a6(spark, sf):
     path = shared_path(spark, "shards")
-    io.append_jets(small_rows(spark, sf).withColumnRenamed("radius", "R"), path, ["R", "pt_hard_min"])
-    return io.merge_shards(spark, f"{path}/*/*/*.csv").groupBy(F.col("R").alias("radius"), "pt_hard_min").agg(
-        F.count("*").alias("n"), F.sum("p_t").alias("p_t"), F.sum("n_trk").alias("n_trk"))
+    io.append_jets(csv_rows(spark, sf, "radius", "pt_hard_min").withColumnRenamed("radius", "R"), path, ["R", "pt_hard_min"])
+    return means(io.merge_shards(spark, f"{path}/*/*/*.csv"), F.col("R").alias("radius"), "pt_hard_min")
 
 
-@query("A7_split_shards", with_ctes("SELECT count(*) AS n_rows, 0::BIGINT AS oversize, 0::BIGINT AS headerless FROM jets", "jets"))
+@query("A7_split_shards", with_ctes(f"SELECT 0::BIGINT AS oversize, 0::BIGINT AS headerless, {_MEANS} FROM full24", "full24"), _ALL, 4)
 def a7(spark, sf):
     path = shared_path(spark, "split")
-    io.split_shards(small_rows(spark, sf).drop("radius", "pt_hard_min"), path, 1_000)
+    io.split_shards(csv_rows(spark, sf), path, 1_000)
     raw = io.read_raw(spark, path).withColumn("f", F.input_file_name())
     header = F.col("p_T") == "p_T"
     per_file = raw.groupBy("f").agg(F.count_if(~header).alias("n"), F.count_if(header).alias("h"))
-    return per_file.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1_000).alias("oversize"), F.count_if(F.col("h") != 1).alias("headerless"))
+    layout = per_file.agg(F.count_if(F.col("n") > 1_000).alias("oversize"), F.count_if(F.col("h") != 1).alias("headerless")).first()
+    rows = means(io.read_jets(spark, path))
+    return rows.select("*", *[F.lit(layout[c]).cast("bigint").alias(c) for c in ("oversize", "headerless")])
 
 
-@query("A8_csv_append_sink", with_ctes("SELECT 2 * count(*) AS n, 2 * sum(p_t) AS p_t FROM jets", "jets"), ["p_t"], 3)
+@query("A8_csv_append_sink", with_ctes(f"SELECT 2 * n AS n, {', '.join(_ALL)} FROM (SELECT {_MEANS} FROM full24)", "full24"), _ALL, 4)
 def a8(spark, sf):
     path = shared_path(spark, "append")
-    rows = small_rows(spark, sf).drop("radius", "pt_hard_min")
+    rows = csv_rows(spark, sf)
     for _ in range(2):
         io.append_jets(rows, path)
-    return io.read_jets(spark, path).agg(F.count("*").alias("n"), F.sum("p_t").alias("p_t"))
+    return means(io.read_jets(spark, path))
 
 
 _SRC = """SELECT source, count(*) AS n, sum(p_t) AS p_t, sum(p_t_corr) AS p_t_corr FROM (

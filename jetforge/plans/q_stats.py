@@ -72,13 +72,19 @@ FIXED_HISTOGRAMS = [
 
 
 @query("D5_hist_fixed", with_ctes(" UNION ALL ".join(
-    f"SELECT '{n}' AS name, {fixed_bin(c, lo, hi, b)} AS bin, count(*) AS n, sum(1.0::DOUBLE) AS sumw FROM live GROUP BY 2" for n, c, lo, hi, b in FIXED_HISTOGRAMS), "live"), ["sumw"])
+    f"""SELECT '{n}' AS name, source, {fixed_bin(c, lo, hi, b)} AS bin, count(*) AS n, sum(1.0::DOUBLE) AS sumw FROM (
+        SELECT 'total' AS source, * FROM live UNION ALL SELECT CASE WHEN user_index > 0 THEN 'signal' ELSE 'background' END, * FROM live) GROUP BY 2, 3"""
+    for n, c, lo, hi, b in FIXED_HISTOGRAMS), "live"), ["sumw"])
 def d5(spark, sf):
     from ..functions.binning import fixed_bin as fb
 
     live = C(spark, sf).where(not_ghost())
     cells = F.array(*[F.struct(F.lit(n).alias("name"), fb(F.col(c), lo, hi, b).alias("bin")) for n, c, lo, hi, b in FIXED_HISTOGRAMS])
-    return live.select(F.explode(cells).alias("h")).groupBy("h.name", "h.bin").agg(F.count("*").alias("n"), F.sum(F.lit(1.0)).alias("sumw"))
+    src = F.when(F.col("user_index") > 0, "signal").otherwise("background")
+    # Counted once by source; the total is the sum of the two.
+    per = live.select(src.alias("source"), F.explode(cells).alias("h")).groupBy("source", "h.name", "h.bin").agg(F.count("*").alias("n"))
+    both = per.withColumn("source", F.explode(F.array("source", F.lit("total"))))
+    return both.groupBy("name", "source", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double")).alias("sumw"))
 
 
 @query("D6_hist_normalize", with_ctes(f""", h AS (SELECT label, {fixed_bin('angularity', 0, 1, 50)} AS bin, count(*) AS n FROM train GROUP BY 1, 2)
@@ -142,14 +148,14 @@ def d8z(spark, sf):
 
 
 # Variables compared between sources, with (low, high) of their 50 bins.
-COMPARE_VARS = [("angularity", 0, 1), ("angularity_nw", 0, 1), ("mean_p_t", 0, 2), ("p_t_1", 0, 20), ("p_t_2", 0, 20)]
+COMPARE_VARS = [("area", 0, 1), ("angularity", 0, 1), ("angularity_nw", 0, 1), ("mean_p_t", 0, 2), ("p_t_1", 0, 20), ("p_t_2", 0, 20)]
 _SRC_FEATS = """
     , sc AS (SELECT 'total' AS source, * FROM live UNION ALL SELECT CASE WHEN user_index > 0 THEN 'signal' ELSE 'background' END, * FROM live),
     rk AS (SELECT *, row_number() OVER (PARTITION BY source, event_id, jet_id ORDER BY pt DESC, k1, k2, k3) AS rn FROM sc),
     ax AS (SELECT source, event_id, jet_id, max(CASE WHEN rn = 1 THEN eta END) AS ae, max(CASE WHEN rn = 1 THEN phi END) AS ap,
            max(CASE WHEN rn = 1 THEN pt END) AS p_t_1, max(CASE WHEN rn = 2 THEN pt END) AS p_t_2 FROM rk GROUP BY 1, 2, 3),
     sf AS (SELECT s.source, s.event_id, s.jet_id, sum(s.pt * {dr}) / sum(s.pt) AS angularity, avg({dr}) AS angularity_nw, avg(s.pt) AS mean_p_t,
-           max(a.p_t_1) AS p_t_1, max(a.p_t_2) AS p_t_2 FROM sc s JOIN ax a ON s.source = a.source AND s.event_id = a.event_id AND s.jet_id = a.jet_id GROUP BY 1, 2, 3)
+           max(a.p_t_1) AS p_t_1, max(a.p_t_2) AS p_t_2, max(CAST(10 + s.jet_id % 50 AS DOUBLE) / 100) AS area FROM sc s JOIN ax a ON s.source = a.source AND s.event_id = a.event_id AND s.jet_id = a.jet_id GROUP BY 1, 2, 3)
 """
 
 
@@ -165,6 +171,7 @@ def d6v(spark, sf):
     live = C(spark, sf).where(not_ghost())
     src = F.explode(F.array(F.lit("total"), F.when(F.col("user_index") > 0, "signal").otherwise("background")))
     feats = J.jet_features(live.withColumn("source", src), carry=(), keys=["source", *KEYS])
+    feats = feats.withColumn("area", (10 + F.col("jet_id") % 50).cast("double") / 100)
     cells = F.array(*[F.struct(F.lit(v).alias("name"), fb(F.col(v), lo, hi, 50).alias("bin"), F.lit((hi - lo) / 50).alias("width")) for v, lo, hi in COMPARE_VARS])
     h = feats.select("source", F.explode(cells).alias("h")).select("source", "h.*").where(F.col("bin").isNotNull()).groupBy("name", "source", "bin", "width").agg(
         F.count("*").alias("n"))

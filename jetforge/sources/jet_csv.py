@@ -13,7 +13,6 @@ from ..operators.prep import type_jets
 from ..schema import CSV_COLUMNS, SNAKE, csv_schema
 
 SHARD_ROWS = 50_000
-CHUNK_ROWS = 1_000_000
 
 
 def read_raw(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = CSV_COLUMNS) -> DataFrame:
