@@ -58,14 +58,18 @@ def share_report(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return df.withColumn("pct", F.try_divide(F.lit(100.0) * F.col(value), F.nullif(total, F.lit(0.0))))
 
 
-def log_lines(counts: DataFrame, grid: Sequence[str] = ("r_idx", "pt_hard_min")) -> DataFrame:
-    """Text log lines (block, line, text) of class counts per grid point."""
+def log_lines(counts: DataFrame, grid: Sequence[str] = ("r_idx", "pt_hard_min"), features: Sequence[str] = (),
+              scores: dict[str, str] | None = None) -> DataFrame:
+    """Text log lines (block, line, text) per grid point: class counts, the features of the run, and
+    a line for every further column of ``counts`` named in ``scores`` (column to title)."""
     r, p = F.lit(0.2) + F.lit(0.1) * F.col("r_idx"), F.col("pt_hard_min")
     lines = F.array(
         F.format_string("Analyzing jets with R=%.1f and p_T hardmin=%d", r, p),
         F.format_string("Number of Fake Jets: %d", F.col("n1")),
         F.format_string("Number of Squishy Jets: %d", F.col("n2")),
-        F.format_string("Number of Real Jets: %d", F.col("n3")))
+        F.format_string("Number of Real Jets: %d", F.col("n3")),
+        *([F.lit(f"Number of Features: {len(features)}"), F.lit(f"Features: {', '.join(features)}")] if features else []),
+        *[F.format_string(f"{title}: %.4f", F.col(c)) for c, title in (scores or {}).items()])
     return counts.select(*grid, F.posexplode(lines).alias("line", "text"))
 
 

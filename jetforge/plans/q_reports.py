@@ -11,7 +11,7 @@ from ..sources import views as V
 from ..streaming import jobs
 from .check_ctes import fixed_bin, h60, with_ctes
 from .features import stored_rows, training_rows
-from .q_stats import GRID, IMP_SQL, METRIC_SQL, NAMES, _cut_tail, _stump_sql, grid_importance, metrics_long
+from .q_stats import GRID, IMP_SQL, METRIC_SQL, NAMES, _cut_tail, _stump_sql, grid_importance, metrics_long, scored
 from .registry import query
 
 POINTS = [10, 20, 30, 40]
@@ -83,13 +83,20 @@ def g5r(spark, sf):
     return votes.cut_report(best, NAMES, GRID)
 
 
-@query("G6_run_log", with_ctes(""", g AS (SELECT r_idx, pt_hard_min, count(CASE WHEN label = 1 THEN 1 END) AS a, count(CASE WHEN label = 2 THEN 1 END) AS b,
+@query("G6_run_log", with_ctes(f""", g AS (SELECT r_idx, pt_hard_min, count(CASE WHEN label = 1 THEN 1 END) AS a, count(CASE WHEN label = 2 THEN 1 END) AS b,
     count(CASE WHEN label = 3 THEN 1 END) AS c FROM train GROUP BY 1, 2)
     SELECT r_idx, pt_hard_min, 'Number of Fake Jets' AS metric, a AS value FROM g UNION ALL SELECT r_idx, pt_hard_min, 'Number of Squishy Jets', b FROM g
-    UNION ALL SELECT r_idx, pt_hard_min, 'Number of Real Jets', c FROM g""", "train"), ["value"])
+    UNION ALL SELECT r_idx, pt_hard_min, 'Number of Real Jets', c FROM g
+    UNION ALL SELECT r_idx, pt_hard_min, 'Number of Features', {len(FEATURES)} FROM g
+    UNION ALL SELECT r_idx, pt_hard_min, 'Number of Batches', count(DISTINCT batch_id) FROM scored GROUP BY 1, 2
+    UNION ALL SELECT r_idx, pt_hard_min, 'Accuracy', CAST(printf('%.4f', avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0 END)) AS DOUBLE) FROM scored GROUP BY 1, 2""",
+    "train", "scored"), ["value"])
 def g6(spark, sf):
-    counts = training_rows(spark, sf).groupBy(*GRID).agg(*[F.count_if(F.col("label") == k).alias(f"n{k}") for k in (1, 2, 3)])
-    return R.parse_log(R.log_lines(counts))
+    """Class counts, features, batches and the accuracy of the rule-based prediction, through the text log."""
+    seen = scored(spark, sf).groupBy(*GRID).agg(*[F.count_if(F.col("label") == k).alias(f"n{k}") for k in (1, 2, 3)],
+                                                F.countDistinct("batch_id").cast("double").alias("batches"),
+                                                F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
+    return R.parse_log(R.log_lines(seen, features=FEATURES, scores={"batches": "Number of Batches", "accuracy": "Accuracy"}))
 
 
 @query("S1_micro_batch_stats", f"""SELECT CAST({h60('event_id', seed='batch')} % 4 AS INT) AS chunk, count(*) AS n, sum(value) AS total, min(event_id) AS first_id, max(event_id) AS last_id

@@ -58,9 +58,22 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_GIVEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table of this process. Results that still read one must be written first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _GIVEN:
+        path = jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -119,3 +119,19 @@ def test_ranked_by_ties_in_a_hot_group(spark):
     df = spark.range(500).selectExpr("1 g", "id % 3 v", "id k")
     got = {r.k: r["rank"] for r in ranked(df, ["g"], "v", "k", rows_per_task=20).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(range(500), key=lambda k: (k % 3, k)))}
+
+
+def test_release_removes_scratch_tables(spark):
+    import os
+
+    from jetforge import session
+
+    kept, session._GIVEN[:] = list(session._GIVEN), []
+    try:
+        table = session.stored(spark.range(5), "released")
+        (path,) = session._GIVEN
+        assert table.count() == 5 and os.path.isdir(path)
+        session.release(spark)
+        assert not os.path.exists(path) and session._GIVEN == []
+    finally:
+        session._GIVEN[:] = kept
