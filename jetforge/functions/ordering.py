@@ -95,7 +95,10 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *, rows_p
         return rows.join(per_group, list(keys), "left")
     rows = stored(rows, "attached")  # both branches read it
     hot_keys = F.broadcast(stored(hot.frame, "hot-keys"))
-    hot_side = F.broadcast(per_group.join(hot_keys, by, "left_semi"))
+    hot_side = stored(per_group.join(hot_keys, by, "left_semi"), "hot-groups")
+    # A probe that knows part of the key only can bring many groups: those are left to the join.
+    if hot_side.count() <= MAX_HASH_ROWS:
+        hot_side = F.broadcast(hot_side)
     inside = rows.join(hot_keys, by, "left_semi").join(hot_side, list(keys), "left")
     return inside.unionByName(rows.join(hot_keys, by, "left_anti").join(per_group, list(keys), "left"))
 

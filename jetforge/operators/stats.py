@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import density_bin, fixed_bin, hexbin_centres
 from ..functions.ordering import ROWS_PER_TASK, grouped_quantiles, join_small, lagged
+from ..session import stored
 
 
 def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: str = "feature", val: str = "value") -> DataFrame:
@@ -206,14 +207,19 @@ def metric_mean(df: DataFrame, groups: Sequence[str], value: str = "value", comp
     return df.groupBy(*groups).agg((F.sum(value) / n).alias("mean"), F.count(value).alias("n_models"))
 
 
-def interval_stats(df: DataFrame, ts: str, key: str, groups: Sequence[str] = (), n_bins: int = 8,
-                   rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
-    """Differences of successive time stamps (seconds): per-group totals, and a histogram of the
-    differences on [mean - 1, mean + 1)."""
+def interval_gaps(df: DataFrame, ts: str, key: str, groups: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Differences of successive time stamps of a group, in seconds."""
     secs = df.select(*groups, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    gaps = lagged(secs, groups, "us", key, name="prev", rows_per_task=rows_per_task).where(F.col("prev").isNotNull()).select(
-        *groups, ((F.col("us") - F.col("prev")) / 1e6).alias("gap"))
-    stats = gaps.groupBy(*groups).agg(F.count("*").alias("n"), F.sum("gap").alias("total"), F.avg("gap").alias("mean"))
+    seen = lagged(secs, groups, "us", key, name="prev", rows_per_task=rows_per_task).where(F.col("prev").isNotNull())
+    return seen.select(*groups, ((F.col("us") - F.col("prev")) / 1e6).alias("gap"))
+
+
+def interval_stats(gaps: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    return gaps.groupBy(*groups).agg(F.count("*").alias("n"), F.sum("gap").alias("total"), F.avg("gap").alias("mean"))
+
+
+def interval_histogram(gaps: DataFrame, n_bins: int = 8) -> DataFrame:
+    """Differences on [mean - 1, mean + 1). They are written once: for the mean and for the bins."""
+    gaps = stored(gaps.select("gap"), "gaps")
     mean = gaps.agg(F.avg("gap")).first()[0] or 0.0
-    hist = fixed_histogram(gaps, F.col("gap"), mean - 1, mean + 1, n_bins)
-    return stats, hist
+    return fixed_histogram(gaps, F.col("gap"), mean - 1, mean + 1, n_bins)

@@ -298,7 +298,7 @@ _GAPS = ", g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITI
 
 @query("W2_interval_stats", with_ctes(_GAPS + " SELECT user_id, count(gap) AS n, sum(gap) AS total, avg(gap) AS mean FROM g WHERE gap IS NOT NULL GROUP BY 1", "ev"), ["total", "mean"], 3)
 def w2(spark, sf):
-    return S.interval_stats(events(spark, sf), "ts", "event_id", ["user_id"])[0]
+    return S.interval_stats(S.interval_gaps(events(spark, sf), "ts", "event_id", ["user_id"]), ["user_id"])
 
 
 @query("W2_interval_hist", with_ctes(""", g AS (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id)) / 1e6 AS gap FROM ev),
@@ -306,7 +306,7 @@ def w2(spark, sf):
        SELECT CAST(CASE WHEN gap < mean - 1 THEN 0 WHEN gap >= mean + 1 THEN 9 ELSE 1 + floor(8 * (gap - (mean - 1)) / ((mean + 1) - (mean - 1))) END AS INT) AS bin, count(*) AS n
        FROM g, m WHERE gap IS NOT NULL GROUP BY 1""", "ev"))
 def w2h(spark, sf):
-    return S.interval_stats(events(spark, sf), "ts", "event_id")[1].select("bin", "n")
+    return S.interval_histogram(S.interval_gaps(events(spark, sf), "ts", "event_id")).select("bin", "n")
 
 
 IMP_SQL = ", imp AS (" + " UNION ALL ".join(

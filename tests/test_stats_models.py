@@ -163,7 +163,8 @@ def test_metric_mean_and_rates(spark):
 @pytest.mark.parametrize("limit", [20, 100_000])
 def test_intervals(spark, limit):
     df = spark.range(200).select("id", (F.col("id") % 2).alias("u"), F.timestamp_seconds(F.col("id") * F.col("id")).alias("ts"))
-    s, h = stats.interval_stats(df, "ts", "id", ["u"], rows_per_task=limit)
+    gaps = stats.interval_gaps(df, "ts", "id", ["u"], rows_per_task=limit)
+    s, h = stats.interval_stats(gaps, ["u"]), stats.interval_histogram(gaps)
     got = {r["u"]: (r["n"], r["total"]) for r in s.collect()}
     assert got == {0: (99, 198.0 ** 2), 1: (99, 199.0 ** 2 - 1)}
     assert h.agg(F.sum("n")).first()[0] == 198
