@@ -33,7 +33,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order: a row for each pass the mix makes over a document."""
-    placed = mixing.mix(whole(docs), id_cols=("doc",))
+    placed = mixing.mix(whole(docs), id_cols=("doc",), reread=True)
     return mixing.curriculum(placed.select("doc", "passes")).select("doc.*")
 
 

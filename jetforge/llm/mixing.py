@@ -91,7 +91,8 @@ def progress(share: Column, kind: Column, schedules: tuple[tuple[float, ...], ..
 
 
 def mix(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", source_col: str = "source",
-        key_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+        key_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
+        reread: bool = False) -> DataFrame:
     """One row per document: id columns, source, size, source_size, target, taken and ``passes``.
 
     A source's documents stand in the order of a digest of ``key_col``. Its token stream runs
@@ -102,27 +103,28 @@ def mix(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str =
 
     Running sums never gather a source: documents fall into buckets by the digest's leading bits,
     as many as the row count asks for, sums run inside buckets, and the buckets' sums are added.
+    With ``reread`` the input is read again for the rows instead of being written with its sizes:
+    for id columns that hold whole documents.
 
     A null text or one without words has size 0 and is taken 0 times. A null source is a source of
     its own, last. Rows with equal keys and sizes are alike and exchange freely; a null key has the
     digest of an empty one. An empty table gives none. Other columns are ignored.
     """
     digest = F.md5(F.coalesce(quoted(key_col).cast("string"), F.lit("")))
-    thin = stored(
+    rows = (
         docs.select(*ids_of(docs, id_cols), source_key(quoted(source_col)).alias("_source"), F.size(words_of(quoted(text_col))).cast("long").alias("_size"), digest.alias("_digest"))
-        .withColumn("_tie", F.xxhash64(*[f"_id{i}" for i in range(len(id_cols))])),
-        "mix-sizes",
+        .withColumn("_tie", F.xxhash64(*[f"_id{i}" for i in range(len(id_cols))]))
     )
-    return _placed(thin, weights, share, most).select(
+    thin = stored(rows.select("_source", "_size", "_digest") if reread else rows, "mix-sizes")
+    return _placed(rows if reread else thin, thin, weights, share, most).select(
         *renamed(id_cols), F.when(F.col("_source") != "1", F.substring("_source", 2, 1 << 30)).alias("source"), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
         F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_passes").alias("passes"))
 
 
-def _placed(thin: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+def _placed(rows: DataFrame, thin: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     targets = source_targets(thin, weights, share, most)
-    rows = thin.count()
-    digits = max(2, math.ceil(math.log(max(rows / ROWS_PER_BUCKET, 1), 16)))
-    thin = thin.withColumn("_bucket", F.substring("_digest", 1, digits))
+    digits = max(2, math.ceil(math.log(max(thin.count() / ROWS_PER_BUCKET, 1), 16)))
+    rows, thin = (x.withColumn("_bucket", F.substring("_digest", 1, digits)) for x in (rows, thin))
     buckets = thin.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
@@ -130,7 +132,7 @@ def _placed(thin: DataFrame, weights: tuple[int, ...], share: float, most: float
     buckets = stored(buckets.join(targets.drop("_weight"), "_source"), "mix-buckets")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_digest", "_size", "_tie")
     start = F.coalesce(F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = thin.withColumn("_inside", start)
+    summed = rows.withColumn("_inside", start)
     placed = summed.join(buckets, ["_source", "_bucket"])
     placed = placed.withColumn("_start", F.col("_before") + F.col("_inside"))
     passes = []

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_of, quoted, renamed, stored
@@ -149,11 +149,17 @@ def _rooted(prints: DataFrame, radius: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One document of each component of ``near_duplicates`` with all its columns: that with the
-    least key (null first), of repeated keys the first row."""
-    carried = docs.select(
-        F.struct(quoted(key_col).alias("key"), F.monotonically_increasing_id().alias("row")).alias("key"),
-        F.struct(*[quoted(c) for c in docs.columns]).alias("doc"), quoted(text_col).alias("text"))
-    prints = stored(fingerprints(carried, ("key", "doc"), "text"), "fingerprints")
+    least key (null first), of equal keys the one with the least digest, of repeated rows one.
+
+    Only keys, digests and fingerprints are written; the documents move once, to meet their verdict.
+    """
+    digest = F.coalesce(F.md5(quoted(text_col)), F.lit(""))
+    keyed = docs.select(F.struct(quoted(key_col).alias("key"), digest.alias("digest")).alias("key"), quoted(text_col).alias("text"))
+    prints = stored(fingerprints(keyed, ("key",), "text"), "fingerprints")
+    # A key without nulls, so that join and window share their exchange.
+    plain = lambda key: F.coalesce(F.concat(F.lit("0"), key.cast("string")), F.lit("1"))
     kept = _rooted(prints, radius).groupBy("_root").agg(F.min("_least").alias("least"))
-    kept = kept.select(F.col("least.row").alias("row"))
-    return prints.join(kept, prints["_id0.row"] == kept["row"], "left_semi").select("_id1.*")
+    kept = stored(kept.select(plain(F.col("least.key")).alias("_key"), F.col("least.digest").alias("_digest")).distinct(), "kept")
+    marked = docs.withColumn("_key", plain(quoted(key_col))).withColumn("_digest", digest)
+    first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_digest"))
+    return marked.join(kept, ["_key", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select(*[quoted(c) for c in docs.columns])
