@@ -93,3 +93,10 @@ SELECT conv_id, speaker, segment, count(*) AS n_turns, count(*) FILTER (own) AS
        coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY place) FILTER (own), '') AS mask
 FROM q GROUP BY conv_id, speaker, segment
 """
+
+ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+r AS (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to FROM p)
+SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""

@@ -29,7 +29,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     first = F.get("passes", F.lit(0))["position"]
     rows = mixed.select("doc_id", "source", "size", "source_size", "target", "taken", first.alias("position"))
-    return rows.repartitionByRange("position").sortWithinPartitions("position")
+    # The id spreads the documents that are not taken: they have no position.
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 @query("op8_sharding")
@@ -66,7 +67,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
-@query("op3_warc_archives")
+@query("op3_warc_archives", check_sql.ARCHIVES)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return rows.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
