@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,25 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     digest = F.xxhash64("a", "b")
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(digest), F.sum(F.shiftright(digest, 24))).first())
+
+
+def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Edges of a spanning forest of some pairs, inside a task: no more than nodes, however many
+    pairs there are. Loops are no edges."""
+    other = left != right
+    left, right = left[other], right[other]
+    if not left.size:
+        return np.empty((0, 2), left.dtype)
+    nodes, code = np.unique(np.stack([left, right]), return_inverse=True)
+    x, y = code.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:  # hang the greater root below the lesser, then shorten the paths
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    hung = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[hung], nodes[root[hung]]], 1)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_of, quoted, renamed, stored
-from .components import components
+from .components import components, forest
+from .overlap import band_keys, shingle_set, text_links
 
 RADIUS = 2
 SHINGLE = 3
@@ -77,21 +78,7 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
         pairs = np.stack([left[i + x], right[y]])
         found.append(pairs[:, pairs[0] != pairs[1]])
     pairs = np.concatenate(found, 1)
-    if not pairs.size:
-        return np.empty((0, 2), np.int64)
-    nodes, code = np.unique(pairs, return_inverse=True)
-    x, y = code.reshape(2, -1)
-    root = np.arange(len(nodes))
-    while True:  # hang the greater root below the lesser, then shorten the paths
-        rx, ry = root[x], root[y]
-        open_ = rx != ry
-        if not open_.any():
-            break
-        np.minimum.at(root, np.maximum(rx, ry)[open_], np.minimum(rx, ry)[open_])
-        while (root != root[root]).any():
-            root = root[root]
-    hung = np.flatnonzero(root != np.arange(len(nodes)))
-    return np.stack([nodes[hung], nodes[root[hung]]], 1).view(np.int64)
+    return forest(pairs[0], pairs[1]).view(np.int64)
 
 
 def _compare(radius: int):
@@ -139,27 +126,56 @@ def near_duplicates(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), tex
     return prints.join(named, "_fp").select(*renamed(id_cols), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """Distinct fingerprints with their component's root and the least id that has them."""
+def _rooted(prints: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """Distinct fingerprints with their component's root and the least id that has them; ``more``
+    are further edges between fingerprints."""
     distinct = stored(prints.groupBy("_fp").agg(F.min("_id0").alias("_least")), "distinct-fingerprints")
-    roots = components(links(distinct, radius))
+    found = links(distinct, radius)
+    roots = components(found if more is None else found.unionByName(more))
     met = distinct.join(roots, distinct["_fp"] == roots["node"], "left")
     return stored(met.select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")), "rooted")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """One document of each component of ``near_duplicates`` with all its columns: that with the
-    least key (null first), of equal keys the one with the least digest, of repeated rows one.
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task side: fingerprint, number of distinct shingles and band keys of a text, the last column."""
+    for batch in batches:
+        texts = [t.as_py() or b"" for t in batch.column(batch.num_columns - 1)]
+        prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+        sets = [shingle_set(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(prints), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))],
+            names=[*batch.schema.names[:-1], "_fp", "_n", "_bands"])
 
-    Only keys, digests and fingerprints are written; the documents move once, to meet their verdict.
+
+def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near-duplicates with all its columns: that with the least key
+    (null first), of equal keys the one with the least digest, of repeated rows one.
+
+    Documents are linked if their fingerprints are within ``radius`` bits, as in
+    ``near_duplicates``, or if their sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more (``overlap.text_links``); a group is what links connect. Texts without words are one
+    group. Only keys, digests, fingerprints and band keys are written for all documents; the
+    documents move once to meet their verdict and once to be compared with candidates.
     """
     digest = F.coalesce(F.md5(quoted(text_col)), F.lit(""))
-    keyed = docs.select(F.struct(quoted(key_col).alias("key"), digest.alias("digest")).alias("key"), quoted(text_col).alias("text"))
-    prints = stored(fingerprints(keyed, ("key",), "text"), "fingerprints")
     # A key without nulls, so that join and window share their exchange.
     plain = lambda key: F.coalesce(F.concat(F.lit("0"), key.cast("string")), F.lit("1"))
-    kept = _rooted(prints, radius).groupBy("_root").agg(F.min("_least").alias("least"))
-    kept = stored(kept.select(plain(F.col("least.key")).alias("_key"), F.col("least.digest").alias("_digest")).distinct(), "kept")
+    keyed = docs.select(F.struct(quoted(key_col).alias("key"), digest.alias("digest")).alias("_id0"),
+                        F.xxhash64(quoted(text_col)).alias("_tx"), quoted(text_col).cast("binary").alias("_text"))
+    key_type = keyed.schema["_id0"].dataType.simpleString()
+    prints = stored(keyed.mapInArrow(_signed, f"_id0 {key_type}, _tx long, _fp long, _n long, _bands array<long>"), "fingerprints")
+    texts = prints.groupBy("_tx").agg(F.min("_id0").alias("_id0"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands"))
+    texts = stored(texts, "texts")
     marked = docs.withColumn("_key", plain(quoted(key_col))).withColumn("_digest", digest)
+
+    def fetch(some: DataFrame) -> DataFrame:
+        some = some.withColumn("_key", plain(F.col("_id0.key"))).withColumn("_digest", F.col("_id0.digest"))
+        return some.join(marked.select("_key", "_digest", quoted(text_col).alias("text")), ["_key", "_digest"]).dropDuplicates(["_key", "_digest"])
+
+    pairs = text_links(texts.select("_tx", "_id0", "_n", "_bands"), fetch)
+    number = texts.select("_tx", "_fp")
+    pairs = pairs.join(number.select(F.col("_tx").alias("a"), F.col("_fp").alias("_a")), "a").join(number.select(F.col("_tx").alias("b"), F.col("_fp").alias("_b")), "b")
+    kept = _rooted(prints, radius, pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).groupBy("_root").agg(F.min("_least").alias("least"))
+    kept = stored(kept.select(plain(F.col("least.key")).alias("_key"), F.col("least.digest").alias("_digest")).distinct(), "kept")
     first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_digest"))
     return marked.join(kept, ["_key", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select(*[quoted(c) for c in docs.columns])

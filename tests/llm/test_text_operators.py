@@ -124,6 +124,64 @@ def test_simhash_odd_rows(odd, spark):
     assert kept.count() == len({brute_print(r[1]) for r in ODD})
 
 
+def five_word_sets(texts):
+    from jetforge.llm.overlap import SHINGLE
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    return [{tuple(w[i:i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set() for w in words]
+
+
+def test_keep_one_links_similar_texts_against_brute_force(spark, monkeypatch):
+    import random
+
+    from jetforge.llm import overlap
+
+    monkeypatch.setattr(overlap, "TILE", 4)
+    monkeypatch.setattr(overlap, "COLUMNS", 64)
+    rnd = random.Random(8)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = fresh(rnd.randrange(60, 200))
+        for _ in range(6):
+            words = list(base)
+            for at in rnd.sample(range(len(words)), rnd.randrange(0, 5)):
+                words[at] = fresh(1)[0]
+            texts.append(" ".join(words + fresh(rnd.randrange(0, 12))))
+    texts += [texts[0], None, "", " \t", "one two", "One two"]
+    rows = list(enumerate(texts))
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets, prints = five_word_sets([t or "" for t in texts]), [brute_print(t or "") for t in texts]
+    near = 0
+    for a, _ in rows:
+        for b in range(a):
+            similar = bool(sets[a] | sets[b]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+            near += similar and bin(prints[a] ^ prints[b]).count("1") > 2
+            if similar or bin(prints[a] ^ prints[b]).count("1") <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert near > 20
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i, _ in rows})
+
+
+def test_similar_counts_pairs_exactly():
+    import numpy as np
+
+    from jetforge.llm.overlap import similar
+
+    sets = [np.arange(a, b, dtype=np.int32) for a, b in ((0, 10), (0, 8), (0, 7), (2, 10), (50, 60), (0, 0))]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+            if len(set(a) | set(b)) and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))}
+    assert set(zip(*(x.tolist() for x in similar(sets, sets)))) == want
+
+
 # --- decontamination
 
 
