@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import re
 import urllib.parse
 import zlib
@@ -290,6 +291,33 @@ def test_secret_below_layers(wrap):
     assert kind == "access" and text.find(" ") < start < end <= text.rfind(" rest")
 
 
+def escaped(data):
+    return "".join(f"\\x{b:02x}" for b in data)
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda s: base64.b64encode(gzip.compress(gzip.compress(s))).decode(), lambda s: base64.b64encode(gzip.compress(zlib.compress(gzip.compress(s)))).decode(),
+    lambda s: base64.b64encode(gzip.compress(b"first") + gzip.compress(b"second") + gzip.compress(s)).decode(),
+    lambda s: base64.b64encode(gzip.compress(gzip.compress(b"first") + gzip.compress(s))).decode(),
+    lambda s: urllib.parse.quote(gzip.compress(s)), lambda s: urllib.parse.quote_plus(zlib.compress(b"a b c " + s)), lambda s: escaped(gzip.compress(s)),
+    lambda s: "".join(f"\\u{b:04X}" for b in zlib.compress(s)), lambda s: repr(gzip.compress(s)), lambda s: json.dumps(zlib.compress(s, 9).decode("latin-1")),
+    lambda s: "".join(f"&#{b};" for b in gzip.compress(zlib.compress(s))), lambda s: escaped(gzip.compress(b"first") + gzip.compress(s)),
+])
+def test_secret_below_compressed_layers(wrap):
+    text = f"ünder {wrap(('key ' + KEY + ' end').encode())} rest"
+    (kind, start, end), = secrets.find(text)[1]
+    assert kind == "access" and text.find(" ") < start < end <= text.rfind(" rest")
+
+
+def test_secret_behind_much_compressed_text(monkeypatch):
+    for n, step in ((80 << 20, None), (300_000, 1000)):
+        if step:
+            monkeypatch.setattr(secrets, "BLOCK", step)
+            monkeypatch.setattr(secrets, "SCAN_CHARS", 7 * step)
+        packed = gzip.compress(bytes(n) + b"<" + base64.b64encode(b"secret=" + b"k" * 30_000) + b">" + KEY.encode(), 1)
+        assert {s[0] for s in secrets.find(f"x {base64.b64encode(gzip.compress(packed)).decode()}")[1]} == {"assign", "access"}
+
+
 def test_secret_base64_span_is_exact_to_the_character():
     text = "x " + base64.b64encode(f"abc{KEY}abc".encode()).decode()
     (_, start, end), = secrets.find(text)[1]
