@@ -318,6 +318,37 @@ def test_secret_behind_much_compressed_text(monkeypatch):
         assert {s[0] for s in secrets.find(f"x {base64.b64encode(gzip.compress(packed)).decode()}")[1]} == {"assign", "access"}
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, lambda b: zlib.compress(b, 9)])
+@pytest.mark.parametrize("before", ["https://host.example/", "https://host.example/a/bc/", "cfg_", "blob-", "key_", "word", "a/b_c-"])
+def test_secret_in_base64_behind_other_characters(pack, before):
+    text = f"x {before}{base64.urlsafe_b64encode(pack(b'password=hunter2hunter2')).decode()} rest"
+    (kind, start, end), = secrets.find(text)[1]
+    assert kind == "assign" and (start, end) == (2 + len(before), text.index(" rest") - (text[-6] == "=") * (pack is bytes))
+
+
+@pytest.mark.parametrize("brk", ["\n", "\r\n", "\n    "])
+def test_secret_in_wrapped_base64(brk):
+    fill = "".join(hashlib.sha256(b"%d" % i).hexdigest()[:20] + " " for i in range(300))
+    wrapped = lambda data: brk.join(re.findall(".{1,76}", base64.b64encode(data).decode()))
+    for shift in range(0, 57, 8):
+        text = "Body:" + brk + wrapped(("." * shift + " " * 30 + f"password=hunter2hunter2 {KEY} " + "." * 80).encode()) + "\n\nrest"
+        assert {(k, e > s) for k, s, e in secrets.find(text)[1]} == {("assign", True), ("access", True)}
+        line = wrapped(f"{'.' * shift}{KEY}{'.' * 90}".encode())
+        (_, start, end), = secrets.find(line)[1]
+        flat = [i for i, c in enumerate(line) if not c.isspace()]
+        assert (start, end) == (flat[shift * 4 // 3], flat[(shift + 19) * 4 // 3 + 1] + 1)
+    packed = wrapped(gzip.compress((fill + KEY).encode()))
+    assert packed.count("\n") > 40 and secrets.find(f"Body: {packed}\n\nrest")[1] == [("access", 6, 6 + len(packed))]
+    assert secrets.find(f"Body: {packed}\nrest")[1] == [("access", 6, 6 + len(packed))]
+
+
+def test_secret_in_base64_of_text_and_other_bytes():
+    text = base64.b64encode(b"\xff\xfe\x00" + f"key {KEY} end".encode() + b"\x00\xc3").decode()
+    assert secrets.find(text)[1] == [("access", 7 * 4 // 3, (7 + 19) * 4 // 3 + 2)]
+    line = base64.b64encode(b"secret=abcdefgh").decode()
+    assert secrets.find(f"{line}\nThanks")[1] == [("assign", 0, len(line))]
+
+
 def test_secret_base64_span_is_exact_to_the_character():
     text = "x " + base64.b64encode(f"abc{KEY}abc".encode()).decode()
     (_, start, end), = secrets.find(text)[1]
