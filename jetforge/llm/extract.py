@@ -22,7 +22,7 @@ from .common import quoted
 SAMPLE_PAGES = 5_000  # about so many labelled pages are counted for the weights
 MIN_SEEN = 20  # tokens of a kind from which its own weight holds
 WORD_DEFAULT, TAG_DEFAULT, INLINE_DEFAULT = 1.0, -1.0, -0.25  # of kinds not seen
-WORD_MOST, TAG_COST, TAG_MOST = 3.0, -0.5, -4.0
+WORD_LEAST, WORD_MOST, TAG_COST, TAG_MOST = 0.25, 3.0, -0.5, -4.0
 
 # HTML elements by role, and name parts by which sites mark what is no article.
 UNSEEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "select", "textarea", "button")
@@ -109,11 +109,14 @@ def _words(text: str) -> int:
 
 
 def count_kinds(page: str) -> Counter:
-    """Tokens of each kind in and outside the article of a page; nothing for pages without one."""
+    """Tokens of each kind in and outside the article of a page, but for those set aside by the
+    markup, which have no score; nothing for pages without an article."""
     found, counts = tokens(page), Counter()
     if not any(t[4] for t in found):
         return counts
-    for token, kind, text, _, inside in found:
+    for token, kind, text, aside, inside in found:
+        if aside:
+            continue
         if token == "tag":
             counts["tag", kind, inside] += 1
         elif token == "text" and kind:
@@ -122,7 +125,8 @@ def count_kinds(page: str) -> Counter:
 
 
 def weights_of(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
-    """Weight of each kind seen often enough: words 0 to WORD_MOST, tags TAG_MOST to TAG_COST."""
+    """Weight of each kind seen often enough: words WORD_LEAST to WORD_MOST, tags TAG_MOST to TAG_COST.
+    Where hardly a word stands outside articles, words get near WORD_MOST."""
     total = Counter()
     for (token, _, inside), n in counts.items():
         total[token, inside] += n
@@ -131,14 +135,17 @@ def weights_of(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str]
         a, b = counts.get((token, kind, True), 0), counts.get((token, kind, False), 0)
         if a + b < MIN_SEEN:
             continue
-        ratio = math.log((a + 1) / (total[token, True] + 2)) - math.log((b + 1) / (total[token, False] + 2))
-        out[token, kind] = min(max(ratio, 0.0), WORD_MOST) if token == "word" else max(min(ratio, 0.0) + TAG_COST, TAG_MOST)
+        inside, outside = (a + 1) / (total[token, True] + 2), (b + 1) / (total[token, False] + 2)
+        if token == "word":
+            outside = (b + MIN_SEEN * inside * math.exp(-WORD_MOST)) / (total[token, False] + MIN_SEEN)
+        ratio = math.log(inside / outside)
+        out[token, kind] = min(max(ratio, WORD_LEAST), WORD_MOST) if token == "word" else max(min(ratio, 0.0) + TAG_COST, TAG_MOST)
     return out
 
 
 def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
-    """Text of the best region: one linear scan for the greatest sum, then the blocks inside it.
-    What the markup itself sets aside (navigation, forms, adverts, comments) scores nothing and is
+    """Text of the best region: one linear scan for the greatest sum, then all blocks inside it,
+    whatever their weight. What the markup itself sets aside (navigation, forms, adverts, comments) scores nothing and is
     left out."""
     found = tokens(page)
     scores = []
@@ -157,11 +164,11 @@ def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
         if total > best or total == best and s > 0:
             best, start, stop = total, begin, i + 1
     blocks, now = [], []
-    for (token, kind, text, aside, _), s in zip(found[start:stop], scores[start:stop]):
+    for token, kind, text, aside, _ in found[start:stop]:
         if token == "break":
             blocks.append("".join(now))
             now = []
-        elif token == "text" and (s > 0 or not kind):
+        elif token == "text" and (not aside or text.isspace()):
             now.append(text)
     blocks.append("".join(now))
     clean = (_SPACE.sub(" ", html.unescape(b)).strip(" ") for b in blocks)

@@ -503,3 +503,19 @@ def test_main_text_odd_pages(spark):
         got.setdefault(r.page_id, []).append(r.text)
     assert got == {1: ["A & B\nFirst para with bold and a link.\nSecond <para>"], 2: [""], 3: [""], 4: ["cut off"], 5: ["deep words here"], None: ["plain words"] * 2}
     assert extract.extract_text(frame.limit(0)).count() == 0
+
+
+def test_main_text_keeps_words_without_weight():
+    counts = {("word", "p", True): 900_000, ("word", "li", True): 50_000, ("word", "h2", True): 10_000, ("word", "p>a", True): 40_000,
+              ("word", "p", False): 10_000, ("word", "li", False): 20_000, ("word", "h2", False): 20_000, ("word", "p>a", False): 20_000}
+    weights = extract.weights_of(counts)
+    assert weights["word", "li"] == weights["word", "h2"] == weights["word", "p>a"] < weights["word", "p"]
+    words = " ".join(["word"] * 30)
+    page = f"<article><p>{words}</p><h2>Part two</h2><ul><li>one item</li><li>two items</li></ul><p>see <a href='x'>this link</a> {words}</p></article>"
+    assert extract.main_text(page, weights) == f"{words}\nPart two\none item\ntwo items\nsee this link {words}"
+
+
+def test_main_text_counts_leave_out_what_is_set_aside():
+    page = "<nav><ul><li>away we go</li></ul></nav><p>out</p><article><ul><li>two words</li></ul><aside><p>not this</p></aside></article><div class='comments'><p>nor this</p></div>"
+    words = {k: n for k, n in extract.count_kinds(page).items() if k[0] == "word"}
+    assert words == {("word", "li", True): 2, ("word", "p", False): 1}
