@@ -33,6 +33,8 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ASIDE_NAMES = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent",
                "disqus", "footer", "header", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup",
                "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
+NEVER_ASIDE = ("html", "body", "main", "article")
+TELLS = ("has", "have", "is", "no", "non", "not", "show", "with", "without", "hide")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
@@ -41,26 +43,49 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _CLASS = re.compile(r"\bclass\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"[ \t-\r]+")
+_NAME = re.compile(r"[^ \t-\r]+")
+
+
+def _marks(name: str) -> bool:
+    """Whether a class, id or role names what is no article. What follows a word of TELLS says that
+    the element has or lacks such a part, not that it is one."""
+    for part in _PARTS.split(name):
+        if part in TELLS:
+            return False
+        if part in ASIDE_NAMES:
+            return True
+    return False
 
 
 def _aside(name: str, attrs: str) -> bool:
+    if name in NEVER_ASIDE:
+        return False
     if name in ASIDE:
         return True
-    return any(p in ASIDE_NAMES for m in _NAMED.finditer(attrs) for p in _PARTS.split("".join(filter(None, m.groups())).lower()))
+    return any(_marks(n) for m in _NAMED.finditer(attrs) for n in _NAME.findall("".join(filter(None, m.groups())).lower()))
 
 
 class _Open:
-    __slots__ = ("name", "kind", "aside", "article")
+    __slots__ = ("name", "kind", "aside", "article", "number", "words")
 
-    def __init__(self, name: str, kind: str, aside: bool, article: bool):
-        self.name, self.kind, self.aside, self.article = name, kind, aside, article
+    def __init__(self, name: str, kind: str, aside: bool, article: bool, number: int):
+        self.name, self.kind, self.aside, self.article, self.number, self.words = name, kind, aside, article, number, 0
 
 
 def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     """(token, kind, text, aside, article): ``tag`` tokens, ``break`` at block boundaries, and
     ``text`` with the kind of block it stands in. aside: within something that is no article by its
-    markup; article: within an article element."""
-    out, stack, at = [], [], 0
+    markup; article: within an article element. Around main and around the article with the most
+    words (in main, if there is one) nothing is aside, whatever its name."""
+    out, around = _tokens(page, frozenset())
+    return _tokens(page, around)[0] if around else out
+
+
+def _tokens(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, bool, bool]], frozenset[int]]:
+    """Tokens with the elements of the numbers ``kept`` not aside, and the numbers of the elements
+    that are, but hold a main or the longest article."""
+    out, stack, at, number = [], [], 0, 0
+    mains, articles, has_main = set(), [], False
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -75,7 +100,9 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
             named = _CLASS.search(attrs)
             kind = f"{name}.{named[1].lower()}" if named else name
             inside = any(o.article for o in stack)
-            aside = any(o.aside for o in stack) or (not m["close"] and name not in ("html", "body", "main") and _aside(name, attrs))
+            number += 1
+            own = not m["close"] and number not in kept and _aside(name, attrs)
+            aside = any(o.aside for o in stack) or own
             out.append(("tag", kind if not m["close"] else f"/{name}", "", aside, inside))
             if name not in INLINE:
                 out.append(("break", "", "", False, inside))
@@ -87,11 +114,17 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
                 if name not in INLINE:
                     while stack and (stack[-1].name in ("p", name) if name in ("p", "li") else stack[-1].name == "p"):
                         stack.pop()
-                aside = name not in ("html", "body", "main") and _aside(name, attrs)
-                article = name in ("article", "main") and not aside
+                article = name in ("article", "main")
                 if article and stack and stack[-1].name in ("nav", "header"):
                     stack.pop()  # left open by mistake
-                stack.append(_Open(name, kind, aside, article))
+                around = {o.number for o in stack if o.aside} if article else set()
+                article = article and not around
+                stack.append(_Open(name, kind, own, article, number))
+                if name == "main":
+                    mains |= around
+                    has_main = True
+                elif name == "article":
+                    articles.append((stack[-1], around, any(o.name == "main" for o in stack)))
         elif m["text"] is not None:
             if _SPACE.sub("", m["text"]) == "":
                 out.append(("text", "", m["text"], True, False))
@@ -101,7 +134,12 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
                 block += ">a"
             aside = any(o.aside for o in stack) or any(o.name in UNSEEN for o in stack)
             out.append(("text", block, m["text"], aside, any(o.article for o in stack)))
-    return out
+            if articles and not any(o.name in UNSEEN for o in stack):
+                n = _words(m["text"])
+                for o in stack:
+                    o.words += n
+    longest = max((x for x in articles if x[2] or not has_main), key=lambda x: x[0].words, default=(None, set()))
+    return out, frozenset(mains | longest[1])
 
 
 def _words(text: str) -> int:

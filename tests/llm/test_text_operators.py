@@ -519,3 +519,16 @@ def test_main_text_counts_leave_out_what_is_set_aside():
     page = "<nav><ul><li>away we go</li></ul></nav><p>out</p><article><ul><li>two words</li></ul><aside><p>not this</p></aside></article><div class='comments'><p>nor this</p></div>"
     words = {k: n for k, n in extract.count_kinds(page).items() if k[0] == "word"}
     assert words == {("word", "li", True): 2, ("word", "p", False): 1}
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ("<article class='post no-comments'>", "</article>"), ("<article class='post share'>", "</article>"), ("<div class='content has-sidebar'><article>", "</article></div>"),
+    ("<div id=page-with-nav><div class='post'>", "</div></div>"), ("<form id='aspnetForm'><main>", "</main></form>"), ("<div class='banner-layout'><article class='ad'>", "</article></div>"),
+])
+def test_main_text_in_wrappers_named_after_what_they_hold(opened, closed):
+    words = " ".join(["word"] * 30)
+    page = f"<body><nav>Home</nav>{opened}<h1>Title of it</h1><p>{words}</p><div class='share-buttons'>share now</div>{closed}<div class='sidebar-no-border'>{words}</div>"
+    page += f"<section class='comments'><article class='comment'><p>First comment</p></article></section><footer>{words}</footer></body>"
+    assert extract.main_text(page, {}) == f"Title of it\n{words}"
+    if "article" in opened or "main" in opened:
+        assert extract.count_kinds(page)["word", "p", True] == 30
