@@ -153,13 +153,13 @@ def _gzip_members(f: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int
 
 
 def entries(uri: str) -> Iterator[tuple[int, int]]:
-    """Absolute offset and length of every record of an archive, by its indexes or else by walking
-    its members."""
+    """Absolute offset and length of every record of an archive, by its indexes; WARC members that
+    no index names are walked."""
     with open_file(uri) as f:
         found = list(members(f))
         data = {posixpath.basename(m.name): m for m in found if re.search(r"\.warc(\.gz)?$", m.name)}
         indexes = [m for m in found if m.name.startswith("indexes/") and m.name.endswith(".cdxj")]
-        starts = {n: data_start(f, m) for n, m in data.items()}
+        starts, named = {n: data_start(f, m) for n, m in data.items()}, set()
         for m in indexes:
             at, left, rest = data_start(f, m), m.size, b""
             while left:
@@ -167,12 +167,15 @@ def entries(uri: str) -> Iterator[tuple[int, int]]:
                 at, left = at + len(piece), left - len(piece)
                 lines = (rest + piece).split(b"\n")
                 rest = lines.pop()
+                if not left:
+                    lines.append(rest)  # the last line may have no line feed
                 for line in lines:
-                    if line:
+                    if line.strip():
                         x = json.loads(line[line.index(b"{"):])
+                        named.add(x["filename"])
                         yield starts[x["filename"]] + int(x["offset"]), int(x["length"])
-        if not indexes:
-            for n, m in data.items():
+        for n, m in data.items():
+            if n not in named:
                 yield from _gzip_members(f, starts[n], m.size)
 
 

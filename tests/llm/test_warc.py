@@ -1,5 +1,6 @@
 """Archives: round trips, ZIP64 and damage."""
 
+import gzip
 import hashlib
 import io
 import zipfile
@@ -91,3 +92,15 @@ def test_without_index_and_damage(tmp_path, spark):
     record = warc.record("1", "u", b"payload", None).replace(b"payload", b"paXload")
     with pytest.raises(ValueError, match="digest"):
         warc.parse(record)
+
+
+def test_index_without_a_last_line_feed_and_members_without_an_index(tmp_path):
+    records = [gzip.compress(b"record %d" % i) for i in range(5)]
+    line = lambda i, at: b'k 2 {"filename": "a.warc.gz", "offset": "%d", "length": "%d"}' % (at, len(records[i]))
+    path = tmp_path / "foreign.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/a.warc.gz", records[0] + records[1])
+        z.writestr("archive/b.warc.gz", b"".join(records[2:]))
+        z.writestr("indexes/index.cdxj", line(0, 0) + b"\n" + line(1, len(records[0])))
+    data = path.read_bytes()
+    assert [gzip.decompress(data[at:at + n]) for at, n in warc.entries(str(path))] == [b"record %d" % i for i in range(5)]
