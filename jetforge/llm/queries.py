@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, check_sql, decontaminate, extract, line_dedup, mixing, quality, secrets, sharding, simhash, url_rules, warc, whitening
+from . import (
+    alignment, chat, check_sql, decontaminate, extract, line_dedup, mixing, quality, secrets, sharding, simhash, url_rules, warc, whitening,
+)
 from .common import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +99,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
