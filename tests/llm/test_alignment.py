@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -40,9 +41,9 @@ def by_hand(encoders, texts):
         groups, links = defaultdict(lambda: ([], [])), []
         for side, (ids, stops) in enumerate(zip((a, b), ends)):
             for i, stop in zip(ids, stops):
-                groups[next(c for c in cuts if c >= stop) if len(cuts) < 500 else cuts[np.searchsorted(cuts, stop)]][side].append(i)
+                groups[cuts[bisect_left(cuts, stop)]][side].append(i)
         for i, x in zip(a, ends[0]):
-            links += [(i, b[k]) for k in (np.searchsorted(ends[1], x),) if ends[1][k] == x]
+            links += [(i, b[k]) for k in (bisect_left(ends[1], x),) if ends[1][k] == x]
         held.update(links)
         listed = ";".join(",".join(map(str, groups[c][0])) + "|" + ",".join(map(str, groups[c][1])) for c in cuts)
         docs.append((len(a), len(b), len(cuts), links, hashlib.sha256(listed.encode()).hexdigest()))
