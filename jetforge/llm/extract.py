@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,10 +24,11 @@ SAMPLE_PAGES = 5_000  # about so many labelled pages are counted for the weights
 MIN_SEEN = 20  # tokens of a kind from which its own weight holds
 WORD_DEFAULT, TAG_DEFAULT, INLINE_DEFAULT = 1.0, -1.0, -0.25  # of kinds not seen
 WORD_LEAST, WORD_MOST, TAG_COST, TAG_MOST = 0.25, 3.0, -0.5, -4.0
+LIST_MOST = -0.1  # a tag of a list or a table: a list of single words must not end a text
 
 # HTML elements by role, and name parts by which sites mark what is no article.
 UNSEEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "select", "textarea", "button")
-ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "figcaption")
+ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "dialog")
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
           "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -34,10 +36,23 @@ ASIDE_NAMES = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
                "disqus", "footer", "header", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup",
                "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
 NEVER_ASIDE = ("html", "body", "main", "article")
+# Words that, behind one of ASIDE_NAMES, say no more than that it is a box of the page.
+FURNITURE = ("area", "articles", "bar", "block", "box", "button", "buttons", "container", "content", "form", "icon", "icons", "inner", "items", "links",
+             "list", "outer", "panel", "posts", "section", "slot", "stories", "thread", "wrap", "wrapper")
+NO_PARAGRAPHS = ("ad", "ads", "advert", "advertisement", "consent", "cookie", "cookies", "newsletter", "notice", "promo", "promoted", "sponsored", "subscribe")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+LISTS = ("li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption")
+# An element ends the open one of its kind up to the next outer element of the scope.
+ENDS = {"td": ("cell", "table"), "th": ("cell", "table"), "tr": ("row", "table"), "tbody": ("row", "table"), "thead": ("row", "table"),
+        "tfoot": ("row", "table"), "li": ("item", "ul ol menu"), "dt": ("term", "dl"), "dd": ("term", "dl"), "option": ("option", "select")}
+OPENS = {"td": "cell", "th": "cell", "tr": "row", "li": "item", "dt": "term", "dd": "term", "option": "option"}
+SCOPES = {"table": ("cell", "row"), "ul": ("item",), "ol": ("item",), "menu": ("item",), "dl": ("term",), "select": ("option",)}
 TELLS = ("has", "have", "is", "no", "non", "not", "show", "with", "without", "hide")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
+_REST = r"|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)"
+_NAME_OF = r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(_NAME_OF + r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)" + _REST, re.S)
+_LOOSE_TOKEN = re.compile(_NAME_OF + r"(?P<attrs>[^>]*+)(?:>|\Z)" + _REST, re.S)  # after a quotation mark that nothing closes
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in UNSEEN if n != "head"}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CLASS = re.compile(r"\bclass\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
@@ -57,19 +72,48 @@ def _marks(name: str) -> bool:
     return False
 
 
-def _aside(name: str, attrs: str) -> bool:
-    if name in NEVER_ASIDE:
+def _box(name: str) -> bool:
+    """Whether a class, id or role as a whole names what is no article: inside an article a part of
+    a name says little (a share price, related work)."""
+    parts = [p for p in _PARTS.split(name) if p]
+    return bool(parts) and parts[0] in ASIDE_NAMES and all(p in ASIDE_NAMES or p in FURNITURE for p in parts)
+
+
+def _aside(name: str, attrs: str, inside: bool, headed: bool) -> bool:
+    """inside: in an article. headed: the element has a heading in it."""
+    if name in NEVER_ASIDE or inside and name in HEADINGS:
         return False
     if name in ASIDE:
-        return True
-    return any(_marks(n) for m in _NAMED.finditer(attrs) for n in _NAME.findall("".join(filter(None, m.groups())).lower()))
+        return not (name == "header" and inside and headed)
+    named = {n for m in _NAMED.finditer(attrs) for n in _NAME.findall("".join(filter(None, m.groups())).lower())}
+    if inside and name == "p":
+        return not named.isdisjoint(NO_PARAGRAPHS)
+    return any(_box(n) if inside else _marks(n) for n in named)
 
 
 class _Open:
-    __slots__ = ("name", "kind", "aside", "article", "number", "words")
-
-    def __init__(self, name: str, kind: str, aside: bool, article: bool, number: int):
-        self.name, self.kind, self.aside, self.article, self.number, self.words = name, kind, aside, article, number, 0
+    """An open element. What depends on the elements around it is carried along, so that no token
+    looks through the stack."""
+
+    __slots__ = ("name", "own", "up", "aside", "article", "unseen", "link", "main", "block", "number", "words", "scopes")
+
+    def __init__(self, name: str, kind: str, outer: _Open | None, own: bool, article: bool, number: int, place: int, words: int):
+        self.name, self.own, self.number, self.words = name, own, number, words
+        self.up = (outer if outer.own else outer.up) if outer else None  # the nearest element around it that is set aside
+        self.aside = own or self.up is not None
+        self.article = article or bool(outer) and outer.article
+        self.unseen = name in UNSEEN or bool(outer) and outer.unseen
+        self.link = name == "a" or bool(outer) and outer.link
+        self.main = name == "main" or bool(outer) and outer.main
+        self.block = kind if name not in INLINE else outer.block if outer else ""
+        # Of each kind that a later element may end: the place of the open one on the stack.
+        self.scopes = outer.scopes if outer else {}
+        if name in SCOPES:
+            self.scopes = {k: v for k, v in self.scopes.items() if k not in SCOPES[name]}
+        elif name in OPENS:
+            self.scopes = self.scopes | {OPENS[name]: place}
+            if name == "tr":
+                self.scopes.pop("cell", None)
 
 
 def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
@@ -81,15 +125,46 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     return _tokens(page, around)[0] if around else out
 
 
+def _headers(page: str):
+    """Whether the header that starts at a place has a heading before it ends."""
+    if "<header" not in page.lower():
+        return lambda at: False
+    heads = [m.start() for m in re.finditer(r"<h[1-6][\s>]", page, re.I)]
+    ends = [m.start() for m in re.finditer(r"</header", page, re.I)]
+
+    def headed(at: int) -> bool:
+        k, e = bisect_left(heads, at), bisect_left(ends, at)
+        return k < len(heads) and (e == len(ends) or heads[k] < ends[e])
+
+    return headed
+
+
 def _tokens(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, bool, bool]], frozenset[int]]:
     """Tokens with the elements of the numbers ``kept`` not aside, and the numbers of the elements
-    that are, but hold a main or the longest article."""
-    out, stack, at, number = [], [], 0, 0
-    mains, articles, has_main = set(), [], False
+    that are, but hold a main or the longest article. The time follows the length of the page."""
+    out, stack, at, number, words, token = [], [], 0, 0, 0, _TOKEN
+    mains, articles, has_main, headed, names = set(), [], False, _headers(page), Counter()
+
+    def chain(e: _Open | None, into: set[int]) -> set[int]:
+        while e is not None and e.number not in into:
+            into.add(e.number)
+            e = e.up
+        return into
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            e = stack.pop()
+            names[e.name] -= 1
+            e.words = words - e.words
+
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        m = token.match(page, at)
+        if token is _TOKEN and m["text"] == "<" and _LOOSE_TOKEN.match(page, at)["name"]:
+            token = _LOOSE_TOKEN
+            continue
         at = m.end()
         name = (m["name"] or "").lower()
+        top = stack[-1] if stack else None
         if name:
             attrs = m["attrs"] or ""
             if name in _RAW_END and not m["close"]:
@@ -99,47 +174,48 @@ def _tokens(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str,
                 continue
             named = _CLASS.search(attrs)
             kind = f"{name}.{named[1].lower()}" if named else name
-            inside = any(o.article for o in stack)
+            inside = bool(top) and top.article
             number += 1
-            own = not m["close"] and number not in kept and _aside(name, attrs)
-            aside = any(o.aside for o in stack) or own
-            out.append(("tag", kind if not m["close"] else f"/{name}", "", aside, inside))
+            own = not m["close"] and number not in kept and _aside(name, attrs, inside, name == "header" and headed(at))
+            out.append(("tag", kind if not m["close"] else f"/{name}", "", own or bool(top) and top.aside, inside))
             if name not in INLINE:
                 out.append(("break", "", "", False, inside))
             if m["close"]:
-                held = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
-                if held is not None:
-                    del stack[held:]
+                if names[name] > 0:
+                    place = len(stack) - 1
+                    while stack[place].name != name:
+                        place -= 1
+                    close(place)
             elif name not in VOID and not attrs.endswith("/"):
                 if name not in INLINE:
-                    while stack and (stack[-1].name in ("p", name) if name in ("p", "li") else stack[-1].name == "p"):
-                        stack.pop()
+                    if stack and stack[-1].name == "p":
+                        close(len(stack) - 1)
+                    if name in ENDS and stack and ENDS[name][0] in stack[-1].scopes:
+                        close(stack[-1].scopes[ENDS[name][0]])
                 article = name in ("article", "main")
                 if article and stack and stack[-1].name in ("nav", "header"):
-                    stack.pop()  # left open by mistake
-                around = {o.number for o in stack if o.aside} if article else set()
-                article = article and not around
-                stack.append(_Open(name, kind, own, article, number))
+                    close(len(stack) - 1)  # left open by mistake
+                top = stack[-1] if stack else None
+                around = (top if top.own else top.up) if top and article else None
+                entry = _Open(name, kind, top, own, article and around is None, number, len(stack), words)
+                stack.append(entry)
+                names[name] += 1
                 if name == "main":
-                    mains |= around
+                    chain(around, mains)
                     has_main = True
                 elif name == "article":
-                    articles.append((stack[-1], around, any(o.name == "main" for o in stack)))
+                    articles.append((entry, around, bool(top) and top.main))
         elif m["text"] is not None:
             if _SPACE.sub("", m["text"]) == "":
                 out.append(("text", "", m["text"], True, False))
                 continue
-            block = next((o.kind for o in reversed(stack) if o.name not in INLINE), "")
-            if any(o.name == "a" for o in stack):
-                block += ">a"
-            aside = any(o.aside for o in stack) or any(o.name in UNSEEN for o in stack)
-            out.append(("text", block, m["text"], aside, any(o.article for o in stack)))
-            if articles and not any(o.name in UNSEEN for o in stack):
-                n = _words(m["text"])
-                for o in stack:
-                    o.words += n
-    longest = max((x for x in articles if x[2] or not has_main), key=lambda x: x[0].words, default=(None, set()))
-    return out, frozenset(mains | longest[1])
+            block = (top.block if top else "") + (">a" if top and top.link else "")
+            out.append(("text", block, m["text"], bool(top) and (top.aside or top.unseen), bool(top) and top.article))
+            if not (top and top.unseen):
+                words += _words(m["text"])
+    close(0)
+    longest = max((x for x in articles if x[2] or not has_main), key=lambda x: x[0].words, default=None)
+    return out, frozenset(mains | (chain(longest[1], set()) if longest else set()))
 
 
 def _words(text: str) -> int:
@@ -177,23 +253,32 @@ def weights_of(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str]
         if token == "word":
             outside = (b + MIN_SEEN * inside * math.exp(-WORD_MOST)) / (total[token, False] + MIN_SEEN)
         ratio = math.log(inside / outside)
-        out[token, kind] = min(max(ratio, WORD_LEAST), WORD_MOST) if token == "word" else max(min(ratio, 0.0) + TAG_COST, TAG_MOST)
+        out[token, kind] = min(max(ratio, WORD_LEAST), WORD_MOST) if token == "word" else max(min(ratio, 0.0) + TAG_COST, _least(kind))
     return out
 
 
+def _least(kind: str) -> float:
+    return LIST_MOST if kind.lstrip("/").split(".")[0] in LISTS else TAG_MOST
+
+
+def _tag_weight(kind: str, weights: dict[tuple[str, str], float]) -> float:
+    default = INLINE_DEFAULT if kind.lstrip("/").split(".")[0] in INLINE else TAG_DEFAULT
+    return weights.get(("tag", kind), max(default, _least(kind)))
+
+
 def main_text(page: str, weights: dict[tuple[str, str], float]) -> str:
     """Text of the best region: one linear scan for the greatest sum, then all blocks inside it,
     whatever their weight. What the markup itself sets aside (navigation, forms, adverts, comments) scores nothing and is
-    left out."""
+    left out. Tags inside an article that the markup names cost nothing, so that nothing in it can end the region."""
     found = tokens(page)
     scores = []
-    for token, kind, text, aside, _ in found:
+    for token, kind, text, aside, inside in found:
         if aside or token == "break":
             scores.append(0.0)
         elif token == "text":
             scores.append(weights.get(("word", kind), WORD_DEFAULT) * _words(text))
         else:
-            scores.append(weights.get(("tag", kind), INLINE_DEFAULT if kind.lstrip("/").split(".")[0] in INLINE else TAG_DEFAULT))
+            scores.append(0.0 if inside else _tag_weight(kind, weights))
     best, start, stop, total, begin = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(scores):
         if total <= 0:
