@@ -4,7 +4,8 @@ Both token streams of a text cover the same bytes. Where a token of each ends at
 text is cut into groups. A stretch of text is a fragment: an open prefix (up to its first cut), the
 closed groups between its cuts, and an open suffix (behind its last one). Fragments that follow one
 another compose, in any grouping, so that a very long text is encoded in byte-range chunks by many
-tasks and put together by a tree of small groups.
+tasks and put together by a tree of small groups. Chunks are cut at a single space between two
+other characters, over which neither vocabulary joins anything.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 16  # a longer text is cut into chunks of about so many characters
 FAN = 8  # fragments composed at a time
 TASK_CHARS = 1 << 22  # characters of long texts that a task encodes, about
-BATCH_CHARS = 1 << 20  # characters handed to a tokenizer at once, about
+BATCH_CHARS = 1 << 19  # characters handed to a tokenizer at once, about
 MAX_PAIRS = 1 << 20  # rows of the pair table (24 bytes each) that are broadcast at most
 
-_CUT = re.compile(r"(?<=\w) (?=\w)")
-_CROSSES = re.compile(r"\w ")
+_CUT = re.compile(r" (?<=[^\s\u180e] )(?=[^\s\u180e])")
+_CROSSES = re.compile(r"\S ")
+# Fixed value: how byte-level vocabularies of this kind split a text before they join bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -56,24 +59,37 @@ class Tokens:
         self.sizes = np.array([len(d) for d in self.data], np.int64)
 
 
+def _byte_level(path: str):
+    """Encoder and token bytes of a byte-level vocabulary file. Its merges must be in the order of
+    the ids they give: then joining the pair of least id is joining by the first merge."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec["pre_tokenizer"]
+    if split["type"] != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        raise ValueError("not a byte-level vocabulary that splits texts by its pattern")
+    vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    if any(x >= y for x, y in zip(merged, merged[1:])):
+        raise ValueError("the merges are not in the order of their ids")
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(alphabet[c] for c in entry): i for entry, i in vocab.items() if entry not in special}
+    data = [b""] * (1 + max(ranks.values()))
+    for d, i in ranks.items():
+        data[i] = d
+    return tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), data
+
+
 class Tokenizers:
-    """Both tokenizers and the bytes of their ids. ``cuttable``: no entry holds a space behind a
-    word character, so that neither joins anything over such a place."""
+    """Both tokenizers and the bytes of their ids. ``cuttable``: no piece holds a space behind
+    another character, so that nothing is joined over a cut (the byte-level split starts anew there)."""
 
     def __init__(self, byte_level: str, pieces: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(byte_level)
-        self.first.encode_special_tokens = True
+        self.first, a = _byte_level(byte_level)
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        with open(byte_level, encoding="utf-8") as f:
-            spec = json.load(f)
-        alphabet, entries = byte_alphabet(), dict(spec["model"]["vocab"])
-        a = [b""] * (1 + max([*entries.values(), *(t["id"] for t in spec["added_tokens"])]))
-        for entry, i in entries.items():
-            a[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         b, plain = [], []
         for i in range(self.second.get_piece_size()):
             piece = self.second.id_to_piece(i)
@@ -83,26 +99,19 @@ class Tokenizers:
                 plain.append(piece.replace("▁", " "))
                 b.append(plain[-1].encode())
         self.a, self.b = Tokens(a), Tokens(b)
-        self.cuttable = not any(_CROSSES.search(t) for t in [*plain, *(d.decode("utf-8", "replace") for d in a)])
-
-    def encode(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of the space and the text, and of the text, for each."""
-        for part in _portions(texts):
-            first = self.first.encode_batch([" " + t for t in part], add_special_tokens=False)
-            second = self.second.encode(part, num_threads=1)
-            yield from zip((e.ids for e in first), second)
+        self.cuttable = not any(_CROSSES.search(t) for t in plain)
 
-
-def _portions(texts: Sequence[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= BATCH_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+    def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the space and the text, and of the text, for each; some texts at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < BATCH_CHARS:
+                size += len(texts[end])
+                end += 1
+            for text, b in zip(texts[at:end], self.second.encode(list(texts[at:end]), num_threads=1)):
+                yield self.first.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64), np.array(b, np.int64)
+            at = end
 
 
 @cache
@@ -144,29 +153,45 @@ def group(a: Sequence[int], b: Sequence[int]) -> str:
     return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
 
 
-def fragment(tokenizers: Tokenizers, body: str, a: list[int], b: list[int]) -> Fragment:
-    """Of the tokens of a stretch: a space and ``body``."""
-    whole = (" " + body).encode()
-    if b"".join([tokenizers.a.data[i] for i in a]) != whole or b"".join([tokenizers.b.data[i] for i in b]) != whole:
-        return Fragment(right=False)
-    return _between(a, b, np.cumsum(tokenizers.a.sizes[a]), np.cumsum(tokenizers.b.sizes[b]))
+@cache
+def _decimals(bits: int) -> list[str]:
+    """Each id below 2^bits as text, followed by a comma, a bar or a semicolon."""
+    return [f"{i}{mark}" for i in range(1 << bits) for mark in ",|;"]
 
 
-def _between(a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray) -> Fragment:
+def between(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Fragment:
     """Fragment of tokens with their end offsets, both rising."""
     at = np.searchsorted(ends_b, ends_a)
-    hit = np.flatnonzero((at < len(ends_b)) & (ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a)) if len(ends_b) else np.empty(0, np.int64)
+    hit = np.flatnonzero(at < len(ends_b))
+    hit = hit[ends_b[at[hit]] == ends_a[hit]]
     if not len(hit):
-        return Fragment(prefix=(list(a), list(b)), n_a=len(a), n_b=len(b))
-    i, j = (hit + 1).tolist(), (at[hit] + 1).tolist()
-    sa, sb = list(map(str, a)), list(map(str, b))
-    closed = [",".join(sa[p:q]) + "|" + ",".join(sb[r:s]) for p, q, r, s in zip(i, i[1:], j, j[1:])]
-    links = (np.array(a, np.int64)[hit] << 32) | np.array(b, np.int64)[at[hit]]
-    return Fragment(True, (a[:i[0]], b[:j[0]]), closed, (a[i[-1]:], b[j[-1]:]), len(a), len(b), len(closed), links)
+        return Fragment(prefix=(a.tolist(), b.tolist()), n_a=len(a), n_b=len(b))
+    stop_a, stop_b = hit + 1, at[hit] + 1
+    (i, p), (j, q) = stop_a[[0, -1]].tolist(), stop_b[[0, -1]].tolist()
+    # The tokens between the first cut and the last, group by group, those of a before those of b.
+    n_a, n_b = np.diff(stop_a), np.diff(stop_b)
+    text = np.empty(p - i + q - j, np.int64)
+    text[np.arange(p - i) + np.repeat(stop_b[:-1] - j, n_a)] = 3 * a[i:p]
+    text[np.arange(q - j) + np.repeat(stop_a[1:] - i, n_b)] = 3 * b[j:q]
+    text[(stop_a[1:] - i) + (stop_b[:-1] - j) - 1] += 1
+    text[(stop_a[1:] - i) + (stop_b[1:] - j) - 1] += 2
+    marked = _decimals(int(max(a.max(), b.max())).bit_length())
+    closed = "".join([marked[k] for k in text.tolist()])[:-1]
+    links = (a[hit] << 32) | b[at[hit]]
+    return Fragment(True, (a[:i].tolist(), b[:j].tolist()), [closed] if closed else [], (a[p:].tolist(), b[q:].tolist()), len(a), len(b), len(hit) - 1, links)
+
+
+def fragment(tokenizers: Tokenizers, body: str, a: np.ndarray, b: np.ndarray) -> Fragment:
+    """Of the tokens of a space and ``body``."""
+    whole = (" " + body).encode()
+    first, second = tokenizers.a, tokenizers.b
+    if b"".join([first.data[i] for i in a.tolist()]) != whole or b"".join([second.data[i] for i in b.tolist()]) != whole:
+        return Fragment(right=False)
+    return between(a, b, np.cumsum(first.sizes[a]), np.cumsum(second.sizes[b]))
 
 
 def chunks(text: str, cuttable: bool = True, size: int = CHUNK_CHARS) -> list[str]:
-    """A text in parts of about ``size`` characters, cut before a single space between two word
+    """A text in parts of about ``size`` characters, cut at a single space between two other
     characters, which goes: each part is encoded as a text of its own, behind a space. What holds
     no such place stays whole."""
     out, start = [], 0
@@ -197,6 +222,11 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
+def _put_together(tokenizers: Tokenizers, texts: Sequence[str]) -> Iterator[Fragment]:
+    for text, (a, b) in zip(texts, tokenizers.encode(texts)):
+        yield fragment(tokenizers, text, a, b)
+
+
 def _encoded(folder: str, size: int):
     """Task side: the result of every text of one chunk; the chunks of longer ones as rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +234,15 @@ def _encoded(folder: str, size: int):
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(batch.num_columns - 1)]
             names = [*batch.schema.names[:-1], "chunk", "body", *_names(_RESULT)]
-            short = [i for i, t in enumerate(texts) if len(t) <= size or len(chunks(t, tokenizers.cuttable, size)) == 1]
-            some = [i for i in short if texts[i]]
-            found = {i: fragment(tokenizers, texts[i], a, b) for i, (a, b) in zip(some, tokenizers.encode([texts[i] for i in some]))}
-            rows = [_result(found.get(i, Fragment())) for i in short]
+            parts = {i: c for i, t in enumerate(texts) if len(t) > size and len(c := chunks(t, tokenizers.cuttable, size)) > 1}
+            short = [i for i in range(len(texts)) if i not in parts]
+            found = _put_together(tokenizers, [texts[i] for i in short if texts[i]])
+            rows = [_result(next(found) if texts[i] else Fragment()) for i in short]
             take = batch.take(pa.array(short, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*take.columns[:-1], pa.array([0] * len(short), pa.int32()), pa.nulls(len(short), pa.string()), *_result_columns(rows)], names=names)
-            for i in sorted(set(range(len(texts))) - set(short)):
-                for k, body in enumerate(chunks(texts[i], tokenizers.cuttable, size)):
+            for i, bodies in parts.items():
+                for k, body in enumerate(bodies):
                     row = batch.slice(i, 1)
                     yield pa.RecordBatch.from_arrays(
                         [*row.columns[:-1], pa.array([k], pa.int32()), pa.array([body]), *_result_columns([(None,) * 7])], names=names)
@@ -224,8 +254,7 @@ def _fragments(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = load(folder)
         for batch in batches:
-            bodies = batch.column(2).to_pylist()
-            found = [fragment(tokenizers, t, a, b) for t, (a, b) in zip(bodies, tokenizers.encode(bodies))]
+            found = list(_put_together(tokenizers, batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"_row": batch.column(0).to_pandas(), "chunk": batch.column(1).to_pandas()} | _written(found)),
                                              schema=_arrow_schema(batch.schema), preserve_index=False)
     return run

@@ -98,17 +98,17 @@ def test_fragments_are_a_monoid_over_any_byte_ranges():
     for _ in range(300):
         n = rng.randint(2, 40)
         (a, ea), (b, eb) = random_stream(rng, n)
-        whole = alignment._between(a, b, np.array(ea), np.array(eb))
+        whole = alignment.between(*map(np.array, (a, b, ea, eb)))
         marks = [0, *sorted(rng.sample(range(1, n), rng.randint(0, min(n - 1, 6)))), n]
         parts = []
         for lo, hi in zip(marks, marks[1:]):
-            pick = lambda ids, ends: ([i for i, e in zip(ids, ends) if lo < e <= hi], np.array([e for e in ends if lo < e <= hi], np.int64))
+            pick = lambda ids, ends: ([i for i, e in zip(ids, ends) if lo < e <= hi], [e for e in ends if lo < e <= hi])
             (pa, pea), (pb, peb) = pick(a, ea), pick(b, eb)
-            parts.append(alignment._between(pa, pb, pea, peb))
+            parts.append(alignment.between(*(np.array(v, np.int64) for v in (pa, pb, pea, peb))))
         while len(parts) > 1:
             k = rng.randrange(len(parts) - 1)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
-        assert parts[0].groups() == whole.groups() and parts[0].links.tolist() == whole.links.tolist()
+        assert ";".join(parts[0].groups()) == ";".join(whole.groups()) and parts[0].links.tolist() == whole.links.tolist()
         assert (parts[0].n_a, parts[0].n_b) == (len(a), len(b)) and [list(x) for x in parts[0].suffix] == [[], []]
 
 
@@ -118,7 +118,7 @@ def test_chunks_encode_as_the_whole(encoders):
     text = "The quick  brown fox's 12 jumps, over naïve\n lazy_dogs and so on again and again. " * 30
     whole = next(tokenizers.encode([text]))
     parts = list(tokenizers.encode(alignment.chunks(text, True, 50)))
-    assert len(parts) > 20 and [sum((p[k] for p in parts), []) for k in (0, 1)] == list(whole)
+    assert len(parts) > 20 and [np.concatenate([p[k] for p in parts]).tolist() for k in (0, 1)] == [w.tolist() for w in whole]
     assert alignment.chunks("x" * 1000, True, 50) == ["x" * 1000]
 
 
@@ -126,3 +126,13 @@ def test_long_word_is_not_quadratic():
     tokenizers = alignment.load(FOLDER)
     (a, b), = tokenizers.encode(["a" * 500_000])
     assert alignment.fragment(tokenizers, "a" * 500_000, a, b).right
+
+
+def test_byte_level_ids_are_those_of_the_file(encoders):
+    """Every character of the first plane, alone, between letters and spaces, and repeated."""
+    first, tokenizers = encoders[0], alignment.load(FOLDER)
+    for start in range(0, 0x10000, 256):
+        chars = [chr(c) for c in range(start, start + 256) if not 0xD800 <= c < 0xE000]
+        texts = [f"a{c}b {c} {c}{c} x{c}1 \n{c} {c}'s" for c in chars]
+        assert [e.ids for e in first.encode_batch(texts, add_special_tokens=False)] == [tokenizers.first.encode_ordinary(t) for t in texts]
+
