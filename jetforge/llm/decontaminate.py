@@ -59,7 +59,8 @@ def _hits(docs: DataFrame, keys: DataFrame, sizes: list[int], id_cols: tuple[str
 
 
 def _corpus_hits(docs: DataFrame, shingles: DataFrame, id_cols: tuple[str, ...], text_col: str) -> DataFrame:
-    """One pass over the texts for each BROADCAST_ROWS shingles."""
+    """One pass over the texts for each BROADCAST_ROWS shingles; for several, ids and texts are
+    written first."""
     sizes = sorted(r[0] for r in shingles.select("size").distinct().collect())
     blocks = max(1, -(-shingles.count() // BROADCAST_ROWS))
     parts = F.split("shingle", " ")
@@ -68,6 +69,8 @@ def _corpus_hits(docs: DataFrame, shingles: DataFrame, id_cols: tuple[str, ...],
     keys = shingles.select(F.col("sid").alias("_sid"), F.col("size").alias("_n"), *words).withColumn(
         "_h", F.xxhash64("_n", *[f"_b{k}" for k in range(SHINGLE)]))
     found = None
+    if blocks > 1:  # a row keeps its number over the passes only if the rows are a table
+        docs = stored(docs.select(*[quoted(c) for c in dict.fromkeys((*id_cols, text_col))]), "numbered")
     for block in range(blocks):
         some = keys if blocks == 1 else keys.where(F.pmod("_h", F.lit(blocks)) == block)
         hits = _hits(docs, some, sizes or [SHINGLE], id_cols, text_col)

@@ -166,11 +166,13 @@ def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", r
     prints = stored(keyed.mapInArrow(_signed, f"_id0 {key_type}, _tx long, _fp long, _n long, _bands array<long>"), "fingerprints")
     texts = prints.groupBy("_tx").agg(F.min("_id0").alias("_id0"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands"))
     texts = stored(texts, "texts")
-    marked = docs.withColumn("_key", plain(quoted(key_col))).withColumn("_digest", digest)
+    # The document goes along as one column: its own columns may have any names.
+    marked = docs.select(plain(quoted(key_col)).alias("_key"), digest.alias("_digest"), F.struct(*[quoted(c) for c in docs.columns]).alias("_doc"))
+    plain_texts = docs.select(plain(quoted(key_col)).alias("_key"), digest.alias("_digest"), quoted(text_col).alias("text"))
 
     def fetch(some: DataFrame) -> DataFrame:
         some = some.withColumn("_key", plain(F.col("_id0.key"))).withColumn("_digest", F.col("_id0.digest"))
-        return some.join(marked.select("_key", "_digest", quoted(text_col).alias("text")), ["_key", "_digest"]).dropDuplicates(["_key", "_digest"])
+        return some.join(plain_texts, ["_key", "_digest"]).dropDuplicates(["_key", "_digest"])
 
     pairs = text_links(texts.select("_tx", "_id0", "_n", "_bands"), fetch)
     number = texts.select("_tx", "_fp")
@@ -178,4 +180,4 @@ def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", r
     kept = _rooted(prints, radius, pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).groupBy("_root").agg(F.min("_least").alias("least"))
     kept = stored(kept.select(plain(F.col("least.key")).alias("_key"), F.col("least.digest").alias("_digest")).distinct(), "kept")
     first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_digest"))
-    return marked.join(kept, ["_key", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select(*[quoted(c) for c in docs.columns])
+    return marked.join(kept, ["_key", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select("_doc.*")
