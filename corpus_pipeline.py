@@ -16,6 +16,13 @@ def whole(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.struct(*docs.columns))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.keep_good(docs)
@@ -38,9 +45,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
+    """Documents with their shard and slot; where they have a column of that name, the new one gets
+    an underscore more."""
     placed = sharding.shard(whole(docs), keep_cols=("doc",))
-    return placed.select("doc.*", "shard", "slot")
+    return placed.select("doc.*", *[F.col(c).alias(free(c, docs.columns)) for c in ("shard", "slot")])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
