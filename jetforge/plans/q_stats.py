@@ -13,6 +13,7 @@ from ..operators import stats as S
 from ..operators import votes
 from ..operators.jets import not_ghost
 from ..schema import FEATURES, KEYS, LABEL_NAMES
+from ..session import stored
 from ..sources import views as V
 from .check_ctes import density_bin, dphi, dr, fixed_bin, h60, with_ctes
 from .features import stored_rows, training_rows
@@ -439,11 +440,11 @@ _PAIR_SCORE = """, own AS (SELECT {g}label, count(*) AS n FROM pts GROUP BY ALL)
     ab AS (SELECT {dg}ds.id, ds.label, max(CASE WHEN ds.label = ds.other THEN o.n END) AS own,
            max(CASE WHEN ds.label = ds.other THEN d / nullif(o.n - 1, 0) END) AS a, min(CASE WHEN ds.label <> ds.other THEN d / o.n END) AS b
            FROM ds JOIN own o ON {oj} GROUP BY ALL),
-    sc AS (SELECT {g}id, label, CASE WHEN own <= 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette FROM ab)"""
+    sc AS (SELECT {sg}id, label, CASE WHEN own <= 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS silhouette FROM ab)"""
 
 
 @query("F11_silhouette", ("WITH pts AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-       + _PAIR_SCORE.format(g="", pg="", dg="", dist="list_distance(p.v, q.v)", on="true", oj="ds.other = o.label")
+       + _PAIR_SCORE.format(g="", sg="", pg="", dg="", dist="list_distance(p.v, q.v)", on="true", oj="ds.other = o.label")
        + " SELECT label, count(*) AS n, avg(silhouette) AS silhouette FROM sc GROUP BY 1"), ["silhouette"])
 def f11(spark, sf):
     s = sil.silhouette_rows(V.embeddings(spark, sf), "vec_id", "vec")
@@ -463,33 +464,52 @@ def f11q(spark, sf):
 
 
 def _f13_rows(spark, sf):
-    """Silhouettes of fakes against reals on min-max scaled features, inside each grid point."""
-    rows = P.class_filter(stored_rows(spark, sf), drop=[2]).select("jet_id", *GRID, "label", *FEATURES)
-    unit = P.minmax_scale(rows, FEATURES, GRID).select("jet_id", *GRID, "label", F.array(*FEATURES).alias("vec"))
-    return rows, sil.silhouette_rows(unit, "jet_id", "vec", groups=GRID)
+    """Fakes and reals, and the same with min-max scaled features inside each grid point."""
+    rows = P.class_filter(stored_rows(spark, sf), drop=[2]).select(*KEYS, *GRID, "label", *FEATURES)
+    unit = P.minmax_scale(rows, FEATURES, GRID).select(*KEYS, *GRID, "label", F.array(*FEATURES).alias("vec"))
+    return rows, stored(unit, "unit-rows")
 
 
-_F13 = (""", raw AS (SELECT jet_id AS id, r_idx, pt_hard_min, label, """ + ", ".join(FEATURES) + """ FROM train WHERE label <> 2),
-    pts AS (SELECT id, r_idx, pt_hard_min, label, """ + ", ".join(
+_F13 = (""", raw AS (SELECT event_id, jet_id AS id, r_idx, pt_hard_min, label, """ + ", ".join(FEATURES) + """ FROM train WHERE label <> 2),
+    pts AS (SELECT event_id, id, r_idx, pt_hard_min, label, """ + ", ".join(
     f"coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0) AS {c}" for c in FEATURES) + " FROM raw WINDOW w AS (PARTITION BY r_idx, pt_hard_min))"
-    + _PAIR_SCORE.format(g="r_idx, pt_hard_min, ", pg="p.r_idx, p.pt_hard_min, ", dg="ds.r_idx, ds.pt_hard_min, ",
+    + _PAIR_SCORE.format(g="r_idx, pt_hard_min, ", sg="r_idx, pt_hard_min, event_id, ", pg="p.r_idx, p.pt_hard_min, p.event_id, ", dg="ds.r_idx, ds.pt_hard_min, ds.event_id, ",
                          dist="sqrt(" + " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in FEATURES) + ")",
                          on="p.r_idx = q.r_idx AND p.pt_hard_min = q.pt_hard_min",
                          oj="ds.other = o.label AND ds.r_idx = o.r_idx AND ds.pt_hard_min = o.pt_hard_min"))
 
 
-@query("F13_silhouette_samples", with_ctes(_F13 + " SELECT r_idx, pt_hard_min, id AS jet_id, label, silhouette FROM sc", "train"), ["silhouette"])
+_F13_ROWS = with_ctes(_F13 + " SELECT r_idx, pt_hard_min, event_id, id AS jet_id, label, silhouette FROM sc", "train")
+
+
+def _f13_scores(unit):
+    return sil.silhouette_rows(unit, KEYS, "vec", groups=GRID)
+
+
+@query("F13_silhouette_samples", _F13_ROWS, ["silhouette"])
 def f13(spark, sf):
-    return _f13_rows(spark, sf)[1]
+    return _f13_scores(_f13_rows(spark, sf)[1])
+
+
+@query("F13_silhouette_cells", _F13_ROWS, ["silhouette"])
+def f13c(spark, sf):
+    """Bounded scores beside the exact ones: a score is shown as the exact one if it lies within its
+    stated error of it, and as it is (and the check fails) otherwise."""
+    unit = _f13_rows(spark, sf)[1]
+    near = sil.silhouette_cells(unit, KEYS, "vec", groups=GRID, rows_per_cell=64).withColumnRenamed("silhouette", "near")
+    both = near.join(_f13_scores(unit), [*GRID, *KEYS, "label"], "full")
+    right = F.abs(F.col("near") - F.col("silhouette")) <= F.col("error") + 1e-9
+    return both.select(*GRID, *KEYS, "label", F.when(right, F.col("silhouette")).otherwise(F.col("near")).alias("silhouette"))
 
 
-@query("F13_silhouette_hist", with_ctes(_F13 + f""", j AS (SELECT sc.r_idx, sc.pt_hard_min, sc.label, raw.p_t_1, sc.silhouette FROM sc JOIN raw ON sc.id = raw.id),
+@query("F13_silhouette_hist", with_ctes(_F13 + f""", j AS (SELECT sc.r_idx, sc.pt_hard_min, sc.label, raw.p_t_1, sc.silhouette FROM sc JOIN raw ON sc.id = raw.id AND sc.event_id = raw.event_id),
     r AS (SELECT r_idx, pt_hard_min, label, min(p_t_1) AS xl, max(p_t_1) AS xh, min(silhouette) AS yl, max(silhouette) AS yh FROM j GROUP BY 1, 2, 3)
     SELECT j.r_idx, j.pt_hard_min, j.label, {density_bin('j.p_t_1', 'r.xl', 'r.xh', 20)} AS bin_x, {density_bin('j.silhouette', 'r.yl', 'r.yh', 20)} AS bin_y, count(*) AS n
     FROM j JOIN r ON j.r_idx = r.r_idx AND j.pt_hard_min = r.pt_hard_min AND j.label = r.label GROUP BY ALL""", "train"))
 def f13h(spark, sf):
-    rows, scores = _f13_rows(spark, sf)
-    j = scores.join(rows.select("jet_id", "p_t_1"), "jet_id")
+    rows, unit = _f13_rows(spark, sf)
+    # The histogram reads its rows twice: the scores are written once.
+    j = stored(_f13_scores(unit).join(rows.select(*KEYS, "p_t_1"), KEYS), "scored-rows")
     return S.auto_histogram_2d(j, "p_t_1", "silhouette", 20, [*GRID, "label"])
 
 
