@@ -1,16 +1,18 @@
 """Quality rules: repetition, and divergence from language references.
 
 A document's character classes and common words are compared with those of its language in the
-whole corpus by the Jensen-Shannon distance.
+whole corpus by the Jensen-Shannon distance. Which words are common is counted too: there are no
+word lists, and a language is whatever the documents name as one.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_of, quoted, renamed, stored
@@ -21,17 +23,12 @@ WINDOW = 8  # words
 CLASS_LIMIT, WORD_LIMIT = 0.28, 0.12  # Jensen-Shannon distance (base 2, 0 to 1) beyond chance
 CLASS_CHARS, WORD_WORDS = 200, 60  # documents below are too short for the comparison
 
-# The symbols of the base rule, and frequent function words of each language.
+COMMON = 24  # most frequent words of a language that are compared
+MIN_DOCS = 20  # documents of a language below which only the base rule holds
+SUMMARY = 4096  # counters a task keeps of a language: a word with more than one in so many is never lost
+
+# Fixed value: the symbols of the base rule.
 SYMBOLS = "#*$%&|<>"
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an".split(),
-    "en": "the of and to in a is that it was for on are as with be by this from at or an have not".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más es".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce".split(),
-}
-LANGS = tuple(COMMON_WORDS)
-_VOCABULARY = {w.encode(): i for i, w in enumerate(sorted({w for ws in COMMON_WORDS.values() for w in ws}))}
-_OWN = {k: np.array(sorted(_VOCABULARY[w.encode()] for w in ws)) for k, ws in COMMON_WORDS.items()}
 _EDGES = b".,;:!?\"'()[]#*$%&|<>-"
 
 
@@ -71,9 +68,13 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def measure(text: bytes) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, word counts (the
-    vocabulary of all languages, then all words)."""
+def plain_word(word: bytes) -> bytes:
+    return word.lower().strip(_EDGES)
+
+
+def measure(text: bytes, common_words: dict[bytes, int]) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, word counts (of
+    the language's common words, then of all others)."""
     words = text.split()
     seen = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     word_chars = sum(map(len, words)) - int(seen[0x80:0xC0].sum())
@@ -82,13 +83,13 @@ def measure(text: bytes) -> tuple:
     number: dict[bytes, int] = {}
     ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words))
     repeats = repeated_words(ids) if len(number) < len(words) else 0
-    common = np.zeros(len(_VOCABULARY) + 1, np.int64)
+    common = np.zeros(len(common_words) + 1, np.int64)
     times = np.bincount(ids, minlength=len(number)).tolist()
     for w, n in zip(number, times):
-        k = _VOCABULARY.get(w.lower().strip(_EDGES))
+        k = common_words.get(plain_word(w))
         if k is not None:
             common[k] += n
-    common[-1] = len(words)
+    common[-1] = len(words) - int(common.sum())
     return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeats, seen @ _CLASSES, common
 
 
@@ -96,11 +97,6 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
 
 
-def _word_histogram(common: np.ndarray, lang: str) -> np.ndarray:
-    own = common[..., _OWN[lang]]
-    return np.concatenate([own, common[..., -1:] - own.sum(-1, keepdims=True)], -1)
-
-
 def distance(counts: np.ndarray, reference: np.ndarray) -> float:
     """Jensen-Shannon distance of two histograms; 0 if either is empty."""
     if not counts.sum() or not reference.sum():
@@ -118,25 +114,73 @@ def chance(n: int, bins: int) -> float:
 
 
 def divergence(classes: np.ndarray, common: np.ndarray, lang: str | None, references: dict) -> tuple[float, float]:
-    """Distances of the classes and of the common words from the language's reference; of an
-    unknown language, from the nearest one. Documents below the minimum length have 0. What chance
-    would give at the document's length is taken off: short texts scatter more."""
-    known = [lang] if lang in references else list(references)
-    chars, words = int(classes.sum()), int(common[-1])
-    by_class = min((distance(classes, references[k][0]) for k in known), default=0.0) if chars >= CLASS_CHARS else 0.0
-    by_word = min((distance(_word_histogram(common, k), references[k][1]) for k in known), default=0.0) if words >= WORD_WORDS else 0.0
-    by_class -= chance(chars, N_CLASSES) if by_class else 0.0
-    by_word -= chance(words, 1 + len(_OWN[LANGS[0]])) if by_word else 0.0
+    """Distances of the classes and of the common words from the language's reference; 0 without
+    one, and for documents below the minimum length. What chance would give at the document's
+    length is taken off: short texts scatter more."""
+    if lang not in references:
+        return 0.0, 0.0
+    of_classes, of_words = references[lang]
+    chars, words = int(classes.sum()), int(common.sum())
+    by_class = distance(classes, of_classes) - chance(chars, N_CLASSES) if chars >= CLASS_CHARS else 0.0
+    by_word = distance(common, of_words) - chance(words, len(common)) if words >= WORD_WORDS else 0.0
     return max(by_class, 0.0), max(by_word, 0.0)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def _reduced(counts: Counter) -> Counter:
+    """The most frequent SUMMARY words, each count less that of the first word left out: a count is
+    never too high, and too low by one in SUMMARY of all words at most."""
+    if len(counts) <= SUMMARY:
+        return counts
+    floor = sorted(counts.values(), reverse=True)[SUMMARY]
+    return Counter({w: n - floor for w, n in counts.items() if n > floor})
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task side: documents and frequent words of each language."""
+    words, docs = defaultdict(Counter), Counter()
     for batch in batches:
-        got = [measure(t.as_py() or b"") for t in batch.column(batch.num_columns - 1)]
-        columns = [pa.array([g[k] for g in got], pa.int64()) for k in range(5)]
-        columns += [pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (5, 6)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names, "_classes", "_common"])
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = (text.as_py() or b"").split()
+            if len(found) < MIN_WORDS:
+                continue
+            docs[lang] += 1
+            words[lang].update(found)
+            if len(words[lang]) > 16 * SUMMARY:
+                words[lang] = _reduced(words[lang])
+    rows = [(k, None, n) for k, n in docs.items()]
+    for k, counts in words.items():
+        plain: Counter = Counter()
+        for w, n in _reduced(counts).items():
+            plain[plain_word(w).decode("utf-8", "replace")] += n
+        rows += [(k, w, n) for w, n in plain.items() if w]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
+                                     names=["lang", "word", "n"])
+
+
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[bytes, int]]:
+    """The COMMON most frequent words of each language with MIN_DOCS documents of MIN_WORDS words,
+    numbered. What reaches the driver is COMMON rows for each such language."""
+    thin = docs.where(quoted(lang_col).isNotNull()).select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("binary").alias("text"))
+    counts = stored(thin.mapInArrow(_frequent, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "frequent-words")
+    large = counts.where(F.col("word").isNull() & (F.col("n") >= MIN_DOCS)).select("lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.where(F.col("word").isNotNull()).join(large, "lang").withColumn("place", place).where(F.col("place") <= COMMON)
+    out: dict[str, dict[bytes, int]] = defaultdict(dict)
+    for r in top.select("lang", "word", "place").collect():
+        out[r["lang"]][r["word"].encode()] = r["place"] - 1
+    return {k: {w: i for i, w in enumerate(sorted(v, key=v.get))} for k, v in out.items()}
+
+
+def _measured(words: dict[str, dict[bytes, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        for batch in batches:
+            langs = batch.column(batch.num_columns - 2).to_pylist()
+            got = [measure(t.as_py() or b"", words.get(k, {})) for t, k in zip(batch.column(batch.num_columns - 1), langs)]
+            columns = [pa.array([g[k] for g in got], pa.int64()) for k in range(5)]
+            columns += [pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (5, 6)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names, "_classes", "_common"])
+    return run
 
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _classes array<long>, _common array<long>"
@@ -147,25 +191,28 @@ def _texts(docs: DataFrame, id_cols: tuple[str, ...], text_col: str, lang_col: s
     return thin, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in thin.schema.fields[:-1])
 
 
-def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _language_sums(sizes: dict[str, int]):
     """Task side: sums of the histograms of documents that pass the base rule, by language."""
-    sums = {k: np.zeros(N_CLASSES + len(_VOCABULARY) + 1, np.int64) for k in LANGS}
-    for batch in batches:
-        n, repeat, lang, classes, common = (batch.column(i).to_pylist() for i in range(5))
-        for i, k in enumerate(lang):
-            if k in sums and not base_failed(n[i], repeat[i]):
-                sums[k] += np.concatenate([classes[i], common[i]])
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "sums"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros(N_CLASSES + n + 1, np.int64) for k, n in sizes.items()}
+        for batch in batches:
+            n, repeat, lang, classes, common = (batch.column(i).to_pylist() for i in range(5))
+            for i, k in enumerate(lang):
+                if k in sums and not base_failed(n[i], repeat[i]):
+                    sums[k] += np.concatenate([classes[i], common[i]])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "sums"])
+    return run
 
 
-def references_of(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and common-word counts of each language over all documents: a few hundred numbers."""
-    rows = measured.select("n_words", "n_repeat_words", "_lang", "_classes", "_common").mapInArrow(_language_sums, "lang string, sums array<long>")
+def references_of(measured: DataFrame, words: dict[str, dict[bytes, int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Class and common-word counts of each language over all documents: a few dozen numbers each."""
+    sizes = {k: len(v) for k, v in words.items()}
+    rows = measured.select("n_words", "n_repeat_words", "_lang", "_classes", "_common").mapInArrow(_language_sums(sizes), "lang string, sums array<long>")
     flat = rows.select("lang", F.posexplode("sums").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    sums = {k: np.zeros(N_CLASSES + len(_VOCABULARY) + 1, np.int64) for k in LANGS}
+    sums = {k: np.zeros(N_CLASSES + n + 1, np.int64) for k, n in sizes.items()}
     for lang, k, n in flat.collect():
         sums[lang][k] = n
-    return {k: (x[:N_CLASSES], _word_histogram(x[N_CLASSES:], k)) for k, x in sums.items() if x.sum()}
+    return {k: (x[:N_CLASSES], x[N_CLASSES:]) for k, x in sums.items() if x.sum()}
 
 
 def _verdict(n_words: int, repeat: int, lang: str | None, classes: np.ndarray, common: np.ndarray, references: dict) -> tuple[bool, float, float, bool]:
@@ -190,16 +237,18 @@ def _judged(references: dict):
 def judge_quality(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id columns, the base measures, base_failed, both distances and kept.
 
-    Two passes: the texts are measured once, their histograms are summed by language over all
-    documents, and the stored measures are then compared with the sums. A null or empty text has
-    no words and fails. A null or unknown language is compared with the nearest reference; without
-    any reference only the base rule holds. Documents below the minimum lengths are judged by the
-    base rule alone. Repeated rows are rows of their own; an empty table gives none.
+    The texts are read for the common words of each language, and once more to be measured; the
+    histograms are summed by language over all documents that pass the base rule, and the stored
+    measures are then compared with the sums. A null or empty text has no words and fails.
+    Documents without a language, or of one with fewer than MIN_DOCS documents, and those below the
+    minimum lengths are judged by the base rule alone. Repeated rows are rows of their own; an empty
+    table gives none.
     """
     thin, fields = _texts(docs, id_cols, text_col, lang_col)
-    measured = stored(thin.mapInArrow(_measured, f"{fields}, {MEASURES}"), "quality-measures")
+    words = common_words(docs, text_col, lang_col)
+    measured = stored(thin.mapInArrow(_measured(words), f"{fields}, {MEASURES}"), "quality-measures")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in measured.schema.fields if f.name not in ("_lang", "_classes", "_common"))
-    judged = measured.mapInArrow(_judged(references_of(measured)), f"{kept}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    judged = measured.mapInArrow(_judged(references_of(measured, words)), f"{kept}, base_failed boolean, class_distance double, word_distance double, kept boolean")
     return judged.select(*renamed(id_cols), *judged.columns[len(id_cols):])
 
 
@@ -207,14 +256,15 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """The documents that ``judge_quality`` keeps, with all their columns. The texts are measured
     twice, which is cheaper than moving them to meet their verdicts."""
     thin, fields = _texts(docs, (), text_col, lang_col)
-    references = references_of(thin.mapInArrow(_measured, f"{fields}, {MEASURES}"))
+    words = common_words(docs, text_col, lang_col)
+    references = references_of(thin.mapInArrow(_measured(words), f"{fields}, {MEASURES}"), words)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = (batch.column(batch.schema.get_field_index(c)) for c in (text_col, lang_col))
             keep = []
             for text, lang in zip(texts.cast(pa.binary()), langs):
-                n, _, _, _, repeat, classes, common = measure(text.as_py() or b"")
+                n, _, _, _, repeat, classes, common = measure(text.as_py() or b"", words.get(lang.as_py(), {}))
                 keep.append(_verdict(n, repeat, lang.as_py(), classes, common, references)[3])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
