@@ -13,7 +13,7 @@ from ..operators import sampling
 from ..operators import stats as S
 from ..operators import trees
 from ..schema import KEYS
-from ..session import stored
+from ..session import shared_path, stored
 from ..sources import views as V
 from .check_ctes import density_bin, dr, h60, with_ctes
 from .features import stored_rows
@@ -161,6 +161,42 @@ def j10(spark, sf):
     return trees.box_lookup(rows, trees.tree_rules(mean_split_nodes(rows))).select(*KEYS, "leaf")
 
 
+GRID_CUTS = 47  # cuts of each feature: 103,823 boxes
+
+
+@query("J10_box_index", with_ctes(f"""
+    , e AS (SELECT min(area) AS a0, (max(area) - min(area)) / {GRID_CUTS} AS da, min(p_t_1) AS p0, (max(p_t_1) - min(p_t_1)) / {GRID_CUTS} AS dp,
+            min(angularity) AS g0, (max(angularity) - min(angularity)) / {GRID_CUTS} AS dg FROM train),
+    c AS (SELECT CAST(i AS INT) AS i, a0 + i * da AS al, a0 + (i + 1) * da AS ah, p0 + i * dp AS pl, p0 + (i + 1) * dp AS ph, g0 + i * dg AS gl, g0 + (i + 1) * dg AS gh
+          FROM e, (SELECT unnest(range({GRID_CUTS})) AS i))
+    SELECT t.event_id, t.jet_id, CAST(a.i * {GRID_CUTS * GRID_CUTS} + p.i * {GRID_CUTS} + g.i AS BIGINT) AS leaf FROM train t
+    LEFT JOIN c a ON (t.area > a.al OR a.i = 0) AND (t.area <= a.ah OR a.i = {GRID_CUTS - 1})
+    LEFT JOIN c p ON (t.p_t_1 > p.pl OR p.i = 0) AND (t.p_t_1 <= p.ph OR p.i = {GRID_CUTS - 1})
+    LEFT JOIN c g ON (t.angularity > g.gl OR g.i = 0) AND (t.angularity <= g.gh OR g.i = {GRID_CUTS - 1})""", "train"))
+def j10i(spark, sf):
+    """Rows looked up among the boxes of a tree of 103,823 leaves: an even grid over three features."""
+    rows = stored_rows(spark, sf)
+    cols = ["area", "p_t_1", "angularity"]
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in cols for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    leaf = spark.range(GRID_CUTS ** 3).select(F.col("id").alias("leaf"))
+    sides = []
+    for k, c in enumerate(cols):
+        i = F.floor(F.col("leaf") / GRID_CUTS ** (2 - k)) % GRID_CUTS
+        step = (ends[f"hi_{c}"] - ends[f"lo_{c}"]) / GRID_CUTS
+        edge = lambda j, c=c, step=step: F.lit(ends[f"lo_{c}"]) + j * F.lit(step)
+        sides.append(F.struct(F.lit(c).alias("feature"), F.when(i > 0, edge(i)).alias("lo"), F.when(i < GRID_CUTS - 1, edge(i + 1)).alias("hi")))
+    rules = leaf.select("leaf", F.inline(F.array(*sides)))
+    return trees.box_lookup(rows, rules).select(*KEYS, "leaf")
+
+
+@query("F15_dot_rules", with_ctes(NODES_SQL + " SELECT b.leaf, t.prediction, b.feature, b.lo, b.hi FROM boxes b JOIN tops t ON b.leaf = t.leaf", "train"), ["lo", "hi"])
+def f15d(spark, sf):
+    """A tree over the rows written as graph text, read back, and its rules."""
+    path = shared_path(spark, "dot")
+    trees.dot_lines(mean_split_nodes(stored_rows(spark, sf))).coalesce(1).write.text(path)
+    return trees.tree_rules(trees.read_dot(spark, path).drop("tree"))
+
+
 def labelled(spark, sf):
     jets = V.basic_jets(C(spark, sf))
     return jets.select(*KEYS, "p_t", "r_idx", "pt_hard_min", pt_label(F.col("tru_sum"), F.col("pt_hard_min")).alias("label"))

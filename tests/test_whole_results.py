@@ -1,5 +1,7 @@
 """Rows that are easily lost: missing values, deep chains, large rule tables, flat columns, hot groups."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,14 +11,96 @@ from jetforge.schema import OLD_CSV_COLUMNS
 from jetforge.sources import jet_csv
 
 
-def test_box_lookup_refuses_what_it_cannot_hold(spark, monkeypatch):
-    monkeypatch.setattr(trees, "MAX_LEAVES", 3)
-    df = spark.createDataFrame([(0.5, 0.5)], "x double, y double")
-    many = spark.createDataFrame([(i, 1, "xy"[j % 2], float(j), None) for i in range(2) for j in range(5)], "leaf int, prediction int, feature string, lo double, hi double")
-    with pytest.raises(ValueError, match="rules"):
-        trees.box_lookup(df, many)
-    with pytest.raises(ValueError, match="leaves"):
-        trees.box_lookup(df, spark.createDataFrame([(i, 1, "x", float(i), None) for i in range(4)], many.schema))
+def random_tree(rng, depth, cuts):
+    """Node rows of a tree over x, y, z."""
+    nodes = []
+
+    def grow(level):
+        me = len(nodes)
+        nodes.append(None)
+        if level == depth or rng.random() < 0.1 and level > 2:
+            nodes[me] = (me, -1, -1, None, None, me % 3)
+            return me
+        feature, cut = rng.choice("xyz"), rng.choice(cuts)
+        left, right = grow(level + 1), grow(level + 1)
+        nodes[me] = (me, left, right, feature, cut, None)
+        return me
+
+    grow(0)
+    return nodes
+
+
+def walk(nodes, row):
+    at = nodes[0]
+    while at[1] >= 0:
+        value = row["xyz".index(at[3])]
+        if value is None:
+            return None
+        at = nodes[at[1]] if value <= at[4] else nodes[at[2]]
+    return at[0]
+
+
+@pytest.mark.parametrize("case, listed", [(10_000, 1 << 20), (1, 1 << 20), (1, 0)])
+def test_box_lookup_of_many_leaves(spark, monkeypatch, case, listed):
+    """As an expression, through the grid with a broadcast list, and with a joined list."""
+    monkeypatch.setattr(trees, "CASE_LEAVES", case)
+    monkeypatch.setattr(trees, "MAX_LISTED", listed)
+    rng = random.Random(3)
+    nodes = random_tree(rng, 8, [i / 8 for i in range(-8, 9)])
+    rules = trees.tree_rules(spark.createDataFrame(nodes, "id int, left int, right int, feature string, threshold double, prediction int"))
+    value = lambda: rng.choice([rng.uniform(-1.5, 1.5), rng.randint(-8, 8) / 8])
+    rows = [(i, value(), value(), value()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double")
+    got = {r.id: r.leaf for r in trees.box_lookup(df, rules).collect()}
+    # A threshold below one further up leaves an empty box; every row has exactly one other.
+    assert got == {i: walk(nodes, v) for i, *v in rows}
+    assert trees.box_lookup(df, rules).columns == ["id", "x", "y", "z", "leaf"]
+
+
+@pytest.mark.parametrize("case", [64, 0])
+def test_box_lookup_of_missing_values(spark, monkeypatch, case):
+    monkeypatch.setattr(trees, "CASE_LEAVES", case)
+    rules = spark.createDataFrame([(1, "x", None, 0.0), (2, "x", 0.0, None), (2, "y", None, 1.0), (3, "x", 0.0, None), (3, "y", 1.0, None)], "leaf int, feature string, lo double, hi double")
+    df = spark.createDataFrame([(1, -1.0, None), (2, None, 0.0), (3, 1.0, float("nan")), (4, 0.0, 5.0), (5, 1.0, 1.0)], "id int, x double, y double")
+    assert {r.id: r.leaf for r in trees.box_lookup(df, rules).collect()} == {1: 1, 2: None, 3: 3, 4: 1, 5: 2}
+    assert {r.leaf for r in trees.box_lookup(df, rules.limit(0)).collect()} == {None}
+
+
+DOT = r"""digraph Tree {
+node [shape=box, style="filled, rounded", color="black", fontname=helvetica] ;
+edge [fontname=helvetica] ;
+0 [label="p_T <= 0.31\ngini = 0.49\nsamples = 8795\nvalue = [391, 8404]\nclass = Real", fillcolor="#d7ebfa"] ;
+1 [label="gini = 0.02\nsamples = 385\nvalue = [381, 4]\nclass = Fake", fillcolor="#e5823b"] ;
+0 -> 1 [labeldistance=2.5, labelangle=45, headlabel="True"] ;
+2 [label="Area <= -1.5e-3\ngini = 0.0\nsamples = 8410\nvalue = [10.0, 8400.0]\nclass = Real"] ;
+0 -> 2 ;
+3 [label="gini = 0.0\nsamples = 10\nvalue = [6, 4]"] ;
+2 -> 3 ;
+4 [label="gini = 0.0\nsamples = 8400\nvalue = [4, 8396]\nclass = Real"] ;
+2 -> 4 ;
+}
+"""
+
+
+def test_graph_text_as_a_node_table(spark, tmp_path):
+    (tmp_path / "one.dot").write_text(DOT)
+    (tmp_path / "two.dot").write_text(DOT.replace("0.31", "0.5"))
+    rows = trees.read_dot(spark, str(tmp_path), {"Fake": 1, "Real": 3}).where(F.col("tree").endswith("one.dot")).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in rows] == [
+        (0, 1, 2, "p_T", 0.31, 3, 0.49, 8795, [391.0, 8404.0], "Real"), (1, -1, -1, None, None, 1, 0.02, 385, [381.0, 4.0], "Fake"),
+        (2, 3, 4, "Area", -0.0015, 3, 0.0, 8410, [10.0, 8400.0], "Real"), (3, -1, -1, None, None, 0, 0.0, 10, [6.0, 4.0], None),
+        (4, -1, -1, None, None, 3, 0.0, 8400, [4.0, 8396.0], "Real")]
+    rules = trees.tree_rules(spark.createDataFrame(rows))
+    assert sorted((r.leaf, r.prediction, r.feature, r.lo, r.hi) for r in rules.where("feature = 'Area'").collect()) == [(3, 0, "Area", None, -0.0015), (4, 3, "Area", -0.0015, None)]
+
+
+def test_graph_text_round_trip(spark, tmp_path):
+    schema = "id int, left int, right int, feature string, threshold double, prediction int"
+    nodes = random_tree(random.Random(8), 5, [0.1, 1 / 3, -2e-7, 1e20])
+    given = spark.createDataFrame(nodes, schema)
+    trees.dot_lines(given).coalesce(1).write.text(str(tmp_path / "dot"))
+    back = trees.read_dot(spark, str(tmp_path / "dot")).select(*given.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, given.collect()))
 
 
 def test_lineage_of_a_chain_missing_parents_and_a_cycle(spark):
