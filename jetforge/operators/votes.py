@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import grouped_quantiles, join_small
+from ..functions.ordering import ROWS_PER_TASK, grouped_quantiles, join_small, running
+from ..session import stored
+from .stats import melt
 
 
 def majority_vote(votes: DataFrame, row: Sequence[str], pred: str = "pred") -> DataFrame:
@@ -83,6 +85,39 @@ def best_stump(counts: DataFrame, n_bins: int, classes: Sequence[int] = (1, 2, 3
     return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r", "lo", "hi", "bin")
 
 
+def exact_stump(df: DataFrame, cols: Sequence[str], classes: Sequence[int] = (1, 2, 3), label: str = "label", groups: Sequence[str] = (),
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The (feature, threshold) with the largest Gini gain per group over every distinct value, with
+    class counts on both sides. The threshold is the middle between the two values it parts.
+
+    Equal values are merged first; class counts up to a value are running sums in value order,
+    which cut a hot group into ordered buckets. Of equal gains (to nine digits) the first feature
+    and the least value win. Rows of other classes, and rows without a value (NULL or NaN) of a
+    feature, are not counted for it; a group whose features have one value each has no cut.
+    """
+    g = list(groups)
+    long = melt(df.where(F.col(label).isin(*classes)), [*g, label], cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    per_value = stored(long.groupBy(*g, "feature", "value").agg(*[F.count_if(F.col(label) == c).cast("double").alias(f"n{c}") for c in classes]), "values")
+    totals = per_value.groupBy(*g, "feature").agg(*[F.sum(f"n{c}").alias(f"t{c}") for c in classes])
+    run = running(per_value, [*g, "feature"], "value", {f"l{c}": F.col(f"n{c}") for c in classes}, rows_per_task=rows_per_task)
+    left = join_small(run.drop(*[f"n{c}" for c in classes]), totals, [*g, "feature"])
+    add = lambda prefix: sum((F.col(f"{prefix}{c}") for c in classes[1:]), F.col(f"{prefix}{classes[0]}"))
+    l_tot, t_tot = add("l"), add("t")
+    r_tot = t_tot - l_tot
+    impurity = lambda parts, total: F.lit(1.0) - sum((p / total) * (p / total) for p in parts)
+    gain = (impurity([F.col(f"t{c}") for c in classes], t_tot) - l_tot / t_tot * impurity([F.col(f"l{c}") for c in classes], l_tot)
+            - r_tot / t_tot * impurity([F.col(f"t{c}") - F.col(f"l{c}") for c in classes], r_tot))
+    scored = left.where(r_tot > 0).withColumn("gain", F.round(gain, 9))
+    counts = [f"{p}{c}" for p in "lt" for c in classes]
+    # The least of (-gain, feature, value): a row per task and group reaches the shuffle.
+    best = scored.groupBy(*g).agg(F.min(F.struct((-F.col("gain")).alias("neg"), "feature", "value", *counts)).alias("b"))
+    best = stored(best.select(*g, "b.*"), "best-cuts").where("feature is not null")
+    above = per_value.withColumnRenamed("value", "other")
+    met = join_small(above.select(*g, "feature", "other"), best, [*g, "feature"]).where("other > value")
+    after = met.groupBy(*g, "feature", "value", "neg", *counts).agg(F.min("other").alias("next"))
+    return after.select(*g, "feature", ((F.col("value") + F.col("next")) / 2).alias("threshold"), (-F.col("neg")).alias("gain"), *counts)
+
+
 def cut_report(best: DataFrame, names: dict[int, str], groups: Sequence[str] = ()) -> DataFrame:
     """Share of every class on both sides of the cut, and the sentences describing it."""
     rows = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(n).alias("label_name"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..schema import FEATURES, KEYS
-from ..session import shared_path
+from ..session import shared_path, stored
 from ..sources import views as V
 from ..streaming import jobs
 from .check_ctes import fixed_bin, h60, with_ctes
@@ -116,27 +116,30 @@ def s1(spark, sf):
     return per_batch.groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
 
 
-@query("S1_model_per_chunk", with_ctes(f"""SELECT CAST({h60('event_id', 'jet_id', seed='batch')} % 4 AS INT) AS chunk, count(*) AS n, true AS known, true AS beats_majority
-       FROM train GROUP BY 1""", "train"))
+CHUNK_ROWS = 5_000
+
+
+@query("S1_model_per_chunk", with_ctes(f"""SELECT CAST({h60('event_id', 'jet_id', seed='batch')} % (SELECT CAST(ceil(count(*) / {CHUNK_ROWS}.0) AS BIGINT) FROM train) AS INT) AS chunk,
+       count(*) AS n, true AS known, true AS beats_majority FROM train GROUP BY 1""", "train"))
 def s1m(spark, sf):
-    """One tree per arriving chunk, fitted and scored inside its micro batch; chunks arrive as files."""
+    """One tree per chunk, fitted and scored when all rows of the chunk have arrived; a chunk comes
+    in as many files as its rows need, and there are as many chunks as the rows ask for."""
     from ..operators import forests as M
-    from ..operators.sampling import batches
+    from ..operators.sampling import chunks
 
     path = shared_path(spark, "model-chunks")
-    rows = batches(stored_rows(spark, sf), KEYS, 4).withColumnRenamed("batch_id", "chunk")
-    # One file per chunk here; a larger chunk may arrive as several, each with a model of its own.
-    rows.repartition(4, "chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(path)
-    stream = jobs.file_stream(spark, path, rows.schema)
+    rows = stored(chunks(stored_rows(spark, sf), KEYS, CHUNK_ROWS).withColumnRenamed("batch_id", "chunk"), "chunk-rows")
+    rows.hint("rebalance").write.option("maxRecordsPerFile", CHUNK_ROWS // 2).parquet(path)
+    manifest = rows.groupBy("chunk").agg(F.count("*").alias("rows"))
+    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=8)
 
-    def fit(batch, epoch):
-        scored = M.predict(M.fit_tree(batch, FEATURES, 5), batch, FEATURES)
+    def fit(chunk):
+        scored = M.predict(M.fit_tree(chunk, FEATURES, 5), chunk, FEATURES)
         per = scored.groupBy("chunk", "label").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("hit"),
                                                    F.min(F.col("pred").isin(1, 2, 3)).alias("known"))
-        return per.groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.max("n").alias("most"), F.min("known").alias("known"))
+        return per.groupBy("chunk").agg(F.sum("n").alias("n"), F.min("known").alias("known"), (F.sum("hit") >= F.max("n")).alias("beats_majority"))
 
-    done = jobs.micro_batches(stream, fit, "chunk-models")
-    return done.groupBy("chunk").agg(F.sum("n").alias("n"), F.min("known").alias("known"), (F.sum("hit") >= F.sum("most")).alias("beats_majority"))
+    return jobs.per_complete_chunk(stream, manifest, fit, "chunk int, n long, known boolean, beats_majority boolean", "chunk-models")
 
 
 @query("S2_stream_hist", f"SELECT event_type, {fixed_bin('value', 0, 100, 50)} AS bin, count(*) AS n FROM events GROUP BY 1, 2")

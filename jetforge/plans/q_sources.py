@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.binning import pt_label
 from ..operators import background as bg
 from ..operators import jets as J
-from ..operators import joins
+from ..operators import forests, joins
 from ..operators import sampling
-from ..schema import CSV_COLUMNS, KEYS, SNAKE
+from ..schema import CSV_COLUMNS, FEATURES, KEYS, SNAKE
 from ..session import shared_path, stored
+from ..sources import committed
 from ..sources import jet_csv as io
 from ..sources import views as V
 from .check_ctes import h60, with_ctes
-from .features import features
+from .features import features, stored_rows
 from .registry import query
 
 C = V.constituents
@@ -111,6 +112,18 @@ def a8(spark, sf):
     return means(io.read_jets(spark, path))
 
 
+@query("A8_committed_append", with_ctes(f"SELECT 2 * n AS n, {', '.join(_ALL)} FROM (SELECT {_MEANS} FROM full24)", "full24"), _ALL, 4)
+def a8c(spark, sf):
+    """Two named appends, one of them after an attempt that wrote files and failed, and both once
+    more: every row is there once for each name."""
+    path = shared_path(spark, "committed")
+    rows = csv_rows(spark, sf)
+    rows.limit(100).write.csv(f"{path}/run=second")  # no marker: the attempt failed
+    for run in ("first", "second", "first", "second"):
+        committed.append_once(rows, path, run, fmt="csv")
+    return means(committed.read_committed(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), fmt="csv"))
+
+
 _SRC = """SELECT source, count(*) AS n, sum(p_t) AS p_t, sum(p_t_corr) AS p_t_corr FROM (
     SELECT 'signal' AS source, p_t, p_t AS p_t_corr FROM s UNION ALL SELECT 'bkgd_kt', p_t, 0 FROM b
     UNION ALL SELECT 'bkgd_antikt', b.p_t, b.p_t - r.rho * b.area FROM b JOIN rb r ON b.event_id = r.event_id
@@ -178,6 +191,29 @@ def a13(spark, sf):
     return spark.read.parquet(path).groupBy("metric", "label").agg(F.sum("value").alias("value"))
 
 
+@query("A13_model_store", with_ctes("SELECT r_idx, pt_hard_min, count(*) AS n, count(*) AS same, 3 AS max_depth FROM train GROUP BY 1, 2", "train"))
+def a13m(spark, sf):
+    """A tree per R, stored with its parameters and scores, loaded again: rows whose prediction is
+    the one of the tree in memory."""
+    path = shared_path(spark, "model-store")
+    rows = stored_rows(spark, sf)
+    parts = []
+    # One model per R: five.
+    for (r,) in sorted(rows.select("r_idx").distinct().collect()):
+        part = rows.where(F.col("r_idx") == r)
+        tree = forests.fit_tree(part, FEATURES, 3)
+        seen = forests.predict(tree, part, FEATURES)
+        hits = seen.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+        committed.save_model(spark, path, f"R{r}", tree, {"max_depth": 3, "r_idx": r}, {"accuracy": hits})
+        parts.append(seen)
+    again = [forests.predict(committed.load_model(spark, path, f"R{r}"), joins.concat_classes(parts).where(F.col("r_idx") == r), FEATURES, "loaded")
+             for r in sorted(int(m.point[1:]) for m in committed.stored_models(spark, path).collect())]
+    depth = F.get_json_object("params", "$.max_depth").cast("int").alias("max_depth")
+    models = committed.stored_models(spark, path).select(F.get_json_object("params", "$.r_idx").cast("int").alias("r_idx"), depth)
+    met = joins.concat_classes(again).join(F.broadcast(models), "r_idx")
+    return met.groupBy("r_idx", "pt_hard_min").agg(F.count("*").alias("n"), F.count_if(F.col("loaded") == F.col("pred")).alias("same"), F.max("max_depth").alias("max_depth"))
+
+
 @query("W4_row_cap", with_ctes("SELECT event_id, jet_id, p_t FROM (SELECT *, row_number() OVER (ORDER BY jet_id) AS rn FROM jets) WHERE rn <= 1000", "jets"), ["p_t"])
 def w4(spark, sf):
     return io.row_cap(V.basic_jets(C(spark, sf)).select(*KEYS, "p_t"), "jet_id", 1_000)

@@ -393,9 +393,41 @@ def f9m(spark, sf):
     return votes.cut_report(best, NAMES)
 
 
+_GINI = lambda p, t: f"(1 - {' - '.join(f'({p.format(k)} / {t}) * ({p.format(k)} / {t})' for k in (1, 2, 3))})"
+
+
+def _exact_sql(groups, tail):
+    """A stump over all values by hand: every distinct value is a candidate."""
+    g = "".join(f"{x}, " for x in groups)
+    lt, tt = "(l1 + l2 + l3)", "(t1 + t2 + t3)"
+    rt = f"({tt} - {lt})"
+    gain = f"{_GINI('t{}', tt)} - {lt} / {tt} * {_GINI('l{}', lt)} - {rt} / {tt} * {_GINI('(t{0} - l{0})', rt)}"
+    best = f"PARTITION BY {', '.join(groups)} " if groups else ""
+    return with_ctes(f"""
+    , pv AS (SELECT {g}feature, value, {', '.join(f'CAST(count(CASE WHEN label = {k} THEN 1 END) AS DOUBLE) AS n{k}' for k in (1, 2, 3))} FROM long GROUP BY ALL),
+    lf AS (SELECT {g}feature, value, lead(value) OVER o AS next, {', '.join(f'sum(n{k}) OVER o AS l{k}, sum(n{k}) OVER a AS t{k}' for k in (1, 2, 3))} FROM pv
+           WINDOW o AS (PARTITION BY {g}feature ORDER BY value), a AS (PARTITION BY {g}feature)),
+    sc AS (SELECT *, round({gain}, 9) AS gain, (value + next) / 2 AS threshold FROM lf WHERE {rt} > 0),
+    bs AS (SELECT * FROM (SELECT *, row_number() OVER ({best}ORDER BY gain DESC, feature, value) AS rk FROM sc) WHERE rk = 1)
+    {tail}""", "long")
+
+
+@query("F9_exact_cut", _exact_sql([], _cut_tail([])), ["threshold", "gain", "pct_below", "pct_above"])
+def f9x(spark, sf):
+    return votes.cut_report(votes.exact_stump(stored_rows(spark, sf), FEATURES), NAMES)
+
+
 GRID = ["r_idx", "pt_hard_min"]
 
 
+@query("F9_exact_cut_grid", _exact_sql(GRID, "SELECT r_idx, pt_hard_min, feature, threshold, gain, " + ", ".join(
+    f"CAST({p}{k} AS BIGINT) AS {p}{k}" for p in "lt" for k in (1, 2, 3)) + " FROM bs"), ["threshold", "gain"])
+def f9g(spark, sf):
+    """The exact best cut of every grid point in one job."""
+    cuts = votes.exact_stump(stored_rows(spark, sf), FEATURES, groups=GRID)
+    return cuts.select(*GRID, "feature", "threshold", "gain", *[F.col(f"{p}{k}").cast("bigint").alias(f"{p}{k}") for p in "lt" for k in (1, 2, 3)])
+
+
 @query("G1_sweep_cuts", _stump_sql(16, GRID, "SELECT r_idx, pt_hard_min, feature, threshold, gain, " + ", ".join(
     f"CAST(l{k} AS BIGINT) AS l{k}, CAST(t{k} AS BIGINT) AS t{k}" for k in (1, 2, 3)) + " FROM bs"), ["threshold", "gain"])
 def g1(spark, sf):

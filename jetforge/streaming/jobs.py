@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.binning import fixed_bin
-from ..session import shared_path
+from ..session import shared_path, stored
+from ..sources.committed import append_once, is_committed, read_committed
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -48,3 +49,31 @@ def micro_batches(stream: DataFrame, per_batch: Callable[[DataFrame, int], DataF
     query = (stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def per_complete_chunk(stream: DataFrame, manifest: DataFrame, per_chunk: Callable[[DataFrame], DataFrame], result: str, name: str, *,
+                       chunk: str = "chunk", staging: str | None = None, out: str | None = None, state: str | None = None) -> DataFrame:
+    """One result per chunk of a stream whose chunks arrive in any number of files, once all rows
+    that ``manifest`` (chunk, rows) announces of it are there. ``result`` is the results' schema.
+
+    Arriving rows are staged under the number of their batch, which a repeated batch replaces.
+    Results are committed under the name of their chunk, so that a replay of the whole stream, or of
+    a batch that failed half way, adds no second one. Chunks that stay incomplete have no result;
+    rows of chunks that nobody announced wait in the staging folder.
+    """
+    spark = stream.sparkSession
+    staging, out, state = (given or shared_path(spark, f"{name}-{kind}") for given, kind in ((staging, "staging"), (out, "results"), (state, "state")))
+    expected = stored(manifest.select(F.col(chunk).alias("_c"), F.col("rows").alias("_rows")), f"{name}-manifest")
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").partitionBy(chunk).parquet(f"{staging}/epoch={epoch}")
+        held = spark.read.schema(batch.schema).option("basePath", staging).parquet(f"{staging}/epoch=*")
+        arrived = held.groupBy(F.col(chunk).alias("_c")).agg(F.count("*").alias("_held"))
+        ready = arrived.join(expected, "_c").where("_held >= _rows").select("_c")
+        # Chunks that became whole with this batch: a few numbers.
+        for (number,) in ready.collect():
+            if not is_committed(spark, out, f"chunk-{number}"):
+                append_once(per_chunk(held.where(F.col(chunk) == number)), out, f"chunk-{number}")
+
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    return read_committed(spark, out, result).drop("run")
