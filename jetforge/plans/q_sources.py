@@ -11,7 +11,7 @@ from ..operators import forests, joins
 from ..operators import sampling
 from ..schema import CSV_COLUMNS, FEATURES, KEYS, SNAKE
 from ..session import shared_path, stored
-from ..sources import committed
+from ..sources import committed, folder
 from ..sources import jet_csv as io
 from ..sources import views as V
 from .check_ctes import h60, with_ctes
@@ -172,6 +172,27 @@ def a10t(spark, sf):
     return io.catalog_scan(catalog(spark, sf), suffix="3", centrality=3).agg(F.count("*").alias("n_files"), F.sum("events").alias("total_events"))
 
 
+@query("A10_folder_scan", """SELECT s_suppkey AS file, CAST(floor(abs(s_acctbal)) AS BIGINT) AS events, count(*) AS n, sum(l_quantity) AS quantity
+       FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey % 8 = 3 AND s_nationkey % 5 IN (1, 3) GROUP BY 1, 2""", ["quantity"])
+def a10f(spark, sf):
+    """A file per supplier with its settings in the first line, among files of another kind; the
+    wanted ones are found by their settings and read."""
+    path = shared_path(spark, "folder")
+    head = catalog(spark, sf).select("file", F.lit(0).alias("place"), F.format_string(
+        "# centrality=%d harmonics=%d events=%d version=1", F.col("centrality"), F.col("harmonics"), F.col("events")).alias("value"))
+    body = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("file"), F.lit(1).alias("place"),
+                                                 F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("string")).alias("value"))
+    lines = head.unionByName(body).repartition("file").sortWithinPartitions("file", "place")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    catalog(spark, sf).write.mode("append").json(f"{path}/other")
+    found = folder.file_headers(spark, path, ["centrality", "harmonics", "events", "version"], ".txt")
+    wanted = stored(io.catalog_scan(found, name="path", centrality=3, version=1).where(F.col("harmonics").isin(1, 3)), "wanted-files")
+    rows = folder.read_files(spark, wanted, "orderkey bigint, quantity double")
+    number = lambda c: F.regexp_extract(c, r"file=(\d+)", 1).cast("bigint").alias("file")
+    per_file = rows.groupBy(number("path")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+    return per_file.join(wanted.select(number("path"), "events"), "file")
+
+
 @query("A11_shuffled_read", f"""SELECT o_orderkey AS event, o_custkey AS file, row_number() OVER (ORDER BY {h60('o_custkey', seed='42:file')}, o_custkey,
        {h60('o_orderkey', seed='42:event')}, o_orderkey) AS position FROM orders""")
 def a11(spark, sf):
