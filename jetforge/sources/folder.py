@@ -70,4 +70,6 @@ def read_files(spark: SparkSession, catalog: DataFrame, schema: str, mark: str =
     if not paths:
         return spark.createDataFrame([], f"{schema}, path string")
     rows = spark.read.schema(schema).option("comment", mark).csv(sorted(paths))
-    return rows.withColumn("path", F.input_file_name())
+    # The reader's name of a file is escaped and has an empty host; listed paths are neither.
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("path", F.regexp_replace(name, "^([a-z0-9]+):///", "$1:/"))
