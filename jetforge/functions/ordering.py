@@ -14,6 +14,7 @@ rows are spread by edges on the unique tie-break key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,10 +28,11 @@ ROWS_PER_TASK = 500_000
 MAX_EDGES = 1024
 # Largest number of hot groups whose edges are broadcast (edges: MAX_EDGES doubles each at most).
 MAX_BROADCAST_GROUPS = 1_000
-HASH_BUCKET_BITS = 12
+# Bits of a row's hash that may name its bucket: beyond them only equal hashes are left.
+MAX_BUCKET_BITS = 40
 # Offset rows (a few numbers each) that are broadcast at most.
 MAX_HASH_ROWS = 1 << 18
-# Hash buckets of the first look for hot groups.
+# Hash buckets of the first look for hot groups; a second look takes more where the table is huge.
 SCREEN_BUCKETS = 1 << 16
 # Groups up to this many meet their rows by broadcast.
 MAX_SMALL_GROUPS = 1 << 14
@@ -48,34 +50,39 @@ class HotGroups:
 
 def hot_groups(df: DataFrame, groups: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
                sizes: DataFrame | None = None) -> HotGroups:
-    """Find groups too large for one task: more than ``rows_per_task`` rows, or than a few times the
-    average load where the table is huge. Only a few numbers reach the driver.
+    """Find groups too large for one task: more than ``rows_per_task`` rows, whatever the size of the
+    table. Only a few numbers reach the driver.
 
     ``sizes`` may give (groups..., n) from a cheaper source; any upper bound on the true sizes will
     do. Otherwise rows are first counted by a hash of the group: the partial counts are small even
-    for billions of groups, and where no hash bucket is over the limit no group can be. Exact counts
-    are taken only inside the buckets that are. At most SCREEN_BUCKETS / 4 groups can be hot.
+    for billions of groups, and where no hash bucket is over the limit no group can be. Where the
+    buckets are over it merely because the table is huge, a second look takes as many as the rows
+    ask for. Exact counts are taken only inside the buckets that are still over the limit. At most
+    one group for each ``rows_per_task`` rows can be hot.
     """
     if not groups:
         n = (sizes.agg(F.sum("n").alias("n")) if sizes is not None else df.agg(F.count("*").alias("n"))).first()["n"] or 0
         return HotGroups(int(n > rows_per_task), int(n), None)
+    table = sizes
     if sizes is None:
-        keyed = df.select(*groups, F.pmod(F.xxhash64(*groups), F.lit(SCREEN_BUCKETS)).alias("_s"))
-        buckets = keyed.groupBy("_s").agg(F.count("*").alias("n"))
-        row = buckets.agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
-        limit = max(rows_per_task, 4 * (row["t"] or 0) // SCREEN_BUCKETS)
-        if (row["m"] or 0) <= limit:
-            return HotGroups(0, row["m"] or 0, None)
-        full = buckets.where(F.col("n") > limit).select("_s")
-        table = keyed.join(F.broadcast(full), "_s", "left_semi").groupBy(*groups).agg(F.count("*").alias("n"))
-    else:
-        total = sizes.agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
-        limit = max(rows_per_task, 4 * (total["t"] or 0) // SCREEN_BUCKETS)
-        if (total["m"] or 0) <= limit:
-            return HotGroups(0, total["m"] or 0, None)
-        table = sizes
-    hot = table.where(F.col("n") > limit)
+        n_buckets = SCREEN_BUCKETS
+        while True:
+            keyed = df.select(*groups, F.pmod(F.xxhash64(*groups), F.lit(n_buckets)).alias("_s"))
+            buckets = keyed.groupBy("_s").agg(F.count("*").alias("n"))
+            row = buckets.agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
+            if (row["m"] or 0) <= rows_per_task:
+                return HotGroups(0, row["m"] or 0, None)
+            enough = 4 * row["t"] // rows_per_task  # a bucket of other groups then holds a quarter of the limit
+            if enough <= n_buckets:
+                break
+            n_buckets = enough
+        full = stored(buckets.where(F.col("n") > rows_per_task).select("_s"), "full-buckets")
+        full = F.broadcast(full) if full.count() <= MAX_HASH_ROWS else full
+        table = keyed.join(full, "_s", "left_semi").groupBy(*groups).agg(F.count("*").alias("n"))
+    hot = table.where(F.col("n") > rows_per_task)
     row = hot.agg(F.count("*").alias("c"), F.max("n").alias("m")).first()
+    if not row["c"]:
+        return HotGroups(0, row["m"] or 0, None)
     return HotGroups(row["c"], row["m"] or 0, hot.select(*groups))
 
 
@@ -85,8 +92,8 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *, rows_p
 
     A co-partitioned join would put a hot group into one task, and the adaptive skew join does not
     apply when a side is an aggregate. Rows of hot groups therefore meet their group row by
-    broadcast, in place (at most SCREEN_BUCKETS / 4 groups, see ``hot_groups``); all others join on
-    the key. ``probe`` is a cheaper table to look for hot groups in; it may carry only those key
+    broadcast, in place, up to MAX_SMALL_GROUPS groups, and beyond that by joins of written tables,
+    which are split where a key is hot; all others join on the key. ``probe`` is a cheaper table to look for hot groups in; it may carry only those key
     columns that identify a group by themselves.
     """
     by = list(keys) if probe is None else [k for k in keys if k in probe.columns]
@@ -94,7 +101,8 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *, rows_p
     if not hot.count:
         return rows.join(per_group, list(keys), "left")
     rows = stored(rows, "attached")  # both branches read it
-    hot_keys = F.broadcast(stored(hot.frame, "hot-keys"))
+    hot_keys = stored(hot.frame, "hot-keys")
+    hot_keys = F.broadcast(hot_keys) if hot.count <= MAX_SMALL_GROUPS else hot_keys
     hot_side = stored(per_group.join(hot_keys, by, "left_semi"), "hot-groups")
     # A probe that knows part of the key only can bring many groups: those are left to the join.
     if hot_side.count() <= MAX_HASH_ROWS:
@@ -121,7 +129,9 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def _small(frame: DataFrame, hot: HotGroups) -> DataFrame:
-    return F.broadcast(frame) if hot.count <= MAX_BROADCAST_GROUPS else frame
+    """A table of the hot groups, to be joined to rows: sent to them up to MAX_BROADCAST_GROUPS,
+    written beyond that, so that the join can split a hot key."""
+    return F.broadcast(frame) if hot.count <= MAX_BROADCAST_GROUPS else stored(frame, "hot-side")
 
 
 def _edge_array(value: str, n_edges: int) -> Column:
@@ -212,16 +222,29 @@ def lagged(df: DataFrame, groups: Sequence[str], value: str, key: str, *, name:
         *df.columns, F.coalesce("_in", "_carry").alias(name))
 
 
+def bucket_bits(hashed: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """Leading bits of ``_h`` whose ranges hold ``rows_per_task`` rows at most, by count: about two
+    ranges for each share of the rows, and one bit more as long as a range is over the limit."""
+    n = hashed.count()
+    bits = max(0, math.ceil(math.log2(max(n / rows_per_task, 1))) + (n > rows_per_task))
+    while n > rows_per_task and bits < MAX_BUCKET_BITS:
+        ranges = hashed.groupBy(F.shiftright(F.col("_h"), HASH_BITS - bits).alias("_r")).agg(F.count("*").alias("n"))
+        if ranges.agg(F.max("n")).first()[0] <= rows_per_task:
+            break
+        bits += 1
+    return bits
+
+
 def hash_ranked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], *, seed: int | str = 42,
-                name: str = "rank", size: str = "group_n", bucket_bits: int = HASH_BUCKET_BITS) -> DataFrame:
+                name: str = "rank", size: str = "group_n", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add a reproducible random 1-based rank inside each group, and the group size.
 
-    Rows are ordered by a hash of their unique key. Hashes are uniform, so their top bits are
-    balanced buckets whatever the data: no sampling pass, and a hot group is spread evenly. The
-    offset table has 2**bucket_bits rows per group and groups must be few (classes, splits).
+    Rows are ordered by a hash of their unique key and cut into ranges of its leading bits, as many
+    as their count asks for (``bucket_bits``): balanced whatever the data, and a hot group is spread
+    evenly. The offset table has a row per group and range; groups must be few (classes, splits).
     """
-    hashed = stored(df.withColumn("_h", hash60(*keys, seed=seed)).withColumn(
-        _B, F.shiftright(F.col("_h"), HASH_BITS - bucket_bits)), "hashed")
+    hashed = stored(df.withColumn("_h", hash60(*keys, seed=seed)), "hashed")
+    hashed = hashed.withColumn(_B, F.shiftright(F.col("_h"), HASH_BITS - bucket_bits(hashed, rows_per_task)))
     totals = hashed.groupBy(*groups, _B).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     side = stored(totals.select(*groups, _B, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),

@@ -110,3 +110,41 @@ def test_null_groups_and_values_are_kept(spark, limit):
     assert set(q) == {None, 1}
     lag = O.lagged(df.where("v is not null"), ["g"], "v", "id", rows_per_task=limit)
     assert lag.count() == 160 and lag.where("previous is null").count() == 2
+
+
+@pytest.mark.parametrize("limit", [5, 40, 10_000])
+def test_hash_ranges_stay_below_the_limit(frame, skewed, limit, monkeypatch):
+    hashed = frame.withColumn("_h", O.hash60("id", seed=42))
+    bits = O.bucket_bits(hashed, limit)
+    largest = hashed.groupBy(F.shiftright("_h", O.HASH_BITS - bits)).count().agg(F.max("count")).first()[0]
+    assert largest <= limit and (bits == 0) == (limit >= len(skewed))
+    got = {r["id"]: (r["rank"], r["group_n"]) for r in O.hash_ranked(frame, ["g"], ["id"], rows_per_task=limit).collect()}
+    assert got == {r["id"]: (r["rank"], r["group_n"]) for r in O.hash_ranked(frame, ["g"], ["id"]).collect()}
+    assert sorted(v[0] for k, v in got.items() if k % 3) == list(range(1, 1001)) or len({v[1] for v in got.values()}) > 1
+
+
+def test_equal_hashes_do_not_loop(spark):
+    assert O.bucket_bits(spark.range(100).withColumn("_h", F.lit(7).cast("bigint")), 10) == O.MAX_BUCKET_BITS
+
+
+@pytest.mark.parametrize("screen", [2, 1 << 16])
+def test_hot_groups_in_a_huge_table(spark, monkeypatch, screen):
+    """Few screen buckets stand for a table so large that every bucket is over the limit."""
+    monkeypatch.setattr(O, "SCREEN_BUCKETS", screen)
+    df = spark.range(4000).select(F.when(F.col("id") < 400, 1).when(F.col("id") < 600, 2).otherwise(F.col("id")).alias("g"), "id")
+    hot = O.hot_groups(df, ["g"], 100)
+    assert (hot.count, hot.largest, sorted(r.g for r in hot.frame.collect())) == (2, 400, [1, 2])
+    assert O.hot_groups(df.where("id >= 600"), ["g"], 100).count == 0
+    ranks = {r["id"]: r["rank"] for r in O.ranked(df.withColumn("v", F.col("id") % 7), ["g"], "v", "id", rows_per_task=100).collect()}
+    order = sorted(range(400), key=lambda i: (i % 7, i))
+    assert [ranks[i] for i in order] == list(range(1, 401))
+
+
+def test_many_hot_groups_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(O, "MAX_BROADCAST_GROUPS", 1)
+    monkeypatch.setattr(O, "MAX_SMALL_GROUPS", 1)
+    df = spark.range(600).select((F.col("id") % 3).alias("g"), "id", (F.col("id") % 11).cast("double").alias("v"))
+    got = O.grouped_quantiles(df, ["g"], "v", {"m": 0.5}, rows_per_task=50)
+    assert {r.g: r.m for r in got.collect()} == {g: float(np.median([i % 11 for i in range(g, 600, 3)])) for g in range(3)}
+    back = O.attach(df, got, ["g"], rows_per_task=50)
+    assert back.count() == 600 and back.where("m is null").count() == 0
