@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ROWS_PER_TASK, hot_groups
+from ..functions.ordering import MAX_SMALL_GROUPS, hot_groups
 from .common import ascii_lower, quoted, stored
 
 MIN_CHARS = 40  # code points from which a key counts
 MIN_DOCS = 5  # documents from which a key is boilerplate
+HOT_LINES = 10_000  # lines of a key from which it is counted by document before its rows hear of it
 SPACES = " \t\n\x0b\x0c\r"
 KEY = ["_h1", "_h2"]
 
@@ -50,25 +51,26 @@ def _streamed(rows: DataFrame, min_docs: int) -> DataFrame:
     return seen.where(F.col("_docs") >= min_docs).where("_nth > 1").select("_doc", "_tx", "_pos")
 
 
-def _counted(rows: DataFrame, hot: DataFrame, min_docs: int) -> DataFrame:
-    """Lines to drop among the few keys that are too frequent for one task: counted by document
-    first, then the verdict goes to the rows where they lie."""
+def _counted(rows: DataFrame, small, min_docs: int) -> DataFrame:
+    """Lines to drop among the keys that are too frequent for one task: counted by document first,
+    then the verdict, a written table, goes to the rows."""
     documents = rows.select(*KEY, "_doc").distinct()
     verdict = documents.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_last"))
-    verdict = verdict.join(F.broadcast(hot), KEY, "left_semi").where(F.col("_docs") >= min_docs).select(*KEY, "_last")
-    # At most as many rows as there are hot keys, which hot_groups bounds.
-    return rows.join(F.broadcast(verdict), KEY).where(~F.col("_doc").eqNullSafe(F.col("_last"))).select("_doc", "_tx", "_pos")
+    verdict = stored(verdict.where(F.col("_docs") >= min_docs).select(*KEY, "_last"), "hot-verdicts")
+    return rows.join(small(verdict), KEY).where(~F.col("_doc").eqNullSafe(F.col("_last"))).select("_doc", "_tx", "_pos")
 
 
-def dropped_lines(keyed: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def dropped_lines(keyed: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, rows_per_task: int = HOT_LINES) -> DataFrame:
     """(``_doc``, ``_tx``, ``_pos``) of the lines that go."""
     rows = stored(line_rows(keyed, min_chars), "line-hashes")
     hot = hot_groups(rows, KEY, rows_per_task)
     if not hot.count:
         return _streamed(rows, min_docs)
+    # Sent to the rows up to MAX_SMALL_GROUPS keys; beyond that a join that splits hot keys.
+    small = F.broadcast if hot.count <= MAX_SMALL_GROUPS else lambda table: table
     keys = stored(hot.frame, "hot-lines")
-    few = _counted(rows.join(F.broadcast(keys), KEY, "left_semi"), keys, min_docs)
-    return _streamed(rows.join(F.broadcast(keys), KEY, "left_anti"), min_docs).unionByName(few)
+    often = _counted(rows.join(small(keys), KEY, "left_semi"), small, min_docs)
+    return _streamed(rows.join(small(keys), KEY, "left_anti"), min_docs).unionByName(often)
 
 
 def _marked(docs: DataFrame, key_col: str, text_col: str, min_chars: int, min_docs: int, rows_per_task: int, carry: list[Column]) -> DataFrame:
@@ -96,7 +98,7 @@ def _n_dropped() -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                 rows_per_task: int = HOT_LINES) -> DataFrame:
     """One row per document: its key, n_lines, n_dropped and ``keep``, the bitmap of the kept lines
     as runs (start, stop exclusive; from 0). Texts are read, but not moved.
 
@@ -119,7 +121,7 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def drop_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               rows_per_task: int = HOT_LINES) -> DataFrame:
     """One row per document: its key, n_lines, n_dropped and ``text``, the lines that stay (empty if
     none). Here the texts move once to meet their bitmaps; cases as in ``keep_bitmaps``."""
     rows = _marked(docs, key_col, text_col, min_chars, min_docs, rows_per_task, [quoted(text_col).alias("_text")])

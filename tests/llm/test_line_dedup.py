@@ -34,8 +34,9 @@ ROWS = ([(i, f"head {i}\n {LONG.upper()}\t\nmiddle\n{LONG}\n") for i in range(1,
         + [(40, "\n".join([LONG, "x"] * 3000)), (41, f" {LONG}\u0085"), (42, f"{'a' * 39}"), (43, None)])
 
 
-@pytest.mark.parametrize("limit", [500_000, 3])
-def test_lines(spark, limit):
+@pytest.mark.parametrize("limit, small", [(500_000, 1 << 14), (3, 1 << 14), (3, 0)])
+def test_lines(spark, limit, small, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MAX_SMALL_GROUPS", small)
     docs = spark.createDataFrame([(*r, "clash", 7) for r in ROWS], SCHEMA)
     got = line_dedup.drop_lines(docs, rows_per_task=limit).collect()
     assert sorted((tuple(r) for r in got), key=repr) == by_hand(ROWS)
