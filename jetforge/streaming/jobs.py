@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +15,9 @@ from ..session import shared_path, stored
 from ..sources.committed import append_once, is_committed, read_committed
 
 
+CHUNKS_AT_ONCE = 8
+
+
 def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
@@ -66,14 +71,23 @@ def per_complete_chunk(stream: DataFrame, manifest: DataFrame, per_chunk: Callab
     expected = stored(manifest.select(F.col(chunk).alias("_c"), F.col("rows").alias("_rows")), f"{name}-manifest")
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").partitionBy(chunk).parquet(f"{staging}/epoch={epoch}")
-        held = spark.read.schema(batch.schema).option("basePath", staging).parquet(f"{staging}/epoch=*")
-        arrived = held.groupBy(F.col(chunk).alias("_c")).agg(F.count("*").alias("_held"))
-        ready = arrived.join(expected, "_c").where("_held >= _rows").select("_c")
-        # Chunks that became whole with this batch: a few numbers.
-        for (number,) in ready.collect():
+        # A file per chunk and batch, and their row counts beside them: no later batch opens them all.
+        batch.repartition(chunk).write.mode("overwrite").partitionBy(chunk).parquet(f"{staging}/epoch={epoch}")
+        mine = spark.read.schema(batch.schema).parquet(f"{staging}/epoch={epoch}").groupBy(F.col(chunk).alias("_c")).agg(F.count("*").alias("_held"))
+        mine.withColumn("_epoch", F.lit(epoch).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{staging}/_rows/epoch={epoch}")
+        counts = spark.read.schema("_c {}, _held long, _epoch long".format(batch.schema[chunk].dataType.simpleString())).parquet(f"{staging}/_rows/epoch=*")
+        arrived = counts.groupBy("_c").agg(F.sum("_held").alias("_held"), F.collect_list("_epoch").alias("_epochs"))
+        # Chunks that became whole, with the batches that brought them: a few numbers for each.
+        ready = arrived.join(expected, "_c").where((F.col("_held") >= F.col("_rows")) & F.array_contains("_epochs", epoch)).select("_c", F.col("_c").cast("string"), "_epochs").collect()
+
+        def settle(row) -> None:
+            number, folder, epochs = row
             if not is_committed(spark, out, f"chunk-{number}"):
+                held = spark.read.schema(batch.schema).option("basePath", staging).parquet(*[f"{staging}/epoch={e}/{chunk}={folder}" for e in epochs])
                 append_once(per_chunk(held.where(F.col(chunk) == number)), out, f"chunk-{number}")
 
+        with ThreadPool(CHUNKS_AT_ONCE) as pool:
+            pool.map(inheritable_thread_target(spark)(settle), ready, chunksize=1)
+
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
     return read_committed(spark, out, result).drop("run")

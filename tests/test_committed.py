@@ -70,6 +70,18 @@ def test_a_chunk_in_five_files_gives_one_result(spark, tmp_path):
     assert run("two") == want and sorted(fitted) == [0, 1]
 
 
+def test_a_chunk_is_staged_in_one_file_a_batch(spark, tmp_path):
+    source, staging = str(tmp_path / "in"), tmp_path / "staging"
+    rows = spark.range(400).select((F.col("id") % 2).cast("int").alias("chunk"), "id")
+    rows.repartition(8, "id").write.option("maxRecordsPerFile", 20).parquet(source)
+    manifest = spark.createDataFrame([(0, 200), (1, 200)], "chunk int, rows long")
+    found = jobs.per_complete_chunk(jobs.file_stream(spark, source, rows.schema, files_per_trigger=10), manifest,
+                                    lambda c: c.groupBy("chunk").agg(F.sum("id").alias("total")), "chunk int, total long", "t", staging=str(staging))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, sum(range(0, 400, 2))), (1, sum(range(1, 400, 2)))]
+    folders = list(staging.glob("epoch=*/chunk=*"))
+    assert len({f.parent for f in folders}) > 1 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+
+
 def by_hand(rows, cols):
     """Best cut over all values: (gain, feature, threshold, counts below)."""
     gini = lambda c: 1 - sum((n / sum(c)) ** 2 for n in c)
