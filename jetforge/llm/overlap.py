@@ -24,7 +24,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8  # a pair at 0.8 shares a band with a chance of 0.9994, one at 0.5 with 0.14
 TILE = 512  # texts in a tile at most,
-TILE_SHINGLES = 2_000_000  # and about so many shingles
+TILE_SHINGLES = 500_000  # and about so many shingles
 COLUMNS = 4096  # shingles counted at once in a tile
 
 _RNG = np.random.default_rng(20)
@@ -83,7 +83,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float =
     sides have are counted, COLUMNS at a time."""
     a, b = (np.concatenate(x) for x in (left, right))
     common = np.intersect1d(a, b)
-    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x), dtype=np.int32), [len(s) for s in x]) for x in (left, right)]
     both = np.zeros((len(left), len(right)), np.float32)
     found = []
     for values, row in zip((a, b), rows):

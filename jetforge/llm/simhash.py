@@ -23,6 +23,7 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 LANES = 4  # the count is taken of each 16-bit lane: the lanes' differences add up to a lower bound
+SIGNED_AT_ONCE = 200  # texts whose signatures a task holds
 TILE = 1024  # fingerprints in a tile at most
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -139,12 +140,18 @@ def _rooted(prints: DataFrame, radius: int, more: DataFrame | None = None) -> Da
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task side: fingerprint, number of distinct shingles and band keys of a text, the last column."""
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column(batch.num_columns - 1)]
-        prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-        sets = [shingle_set(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(prints), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))],
-            names=[*batch.schema.names[:-1], "_fp", "_n", "_bands"])
+        for i in range(0, batch.num_rows, SIGNED_AT_ONCE):
+            part = batch.slice(i, SIGNED_AT_ONCE)
+            prints, sizes, bands = [], [], []
+            for t in part.column(part.num_columns - 1):
+                text = t.as_py() or b""
+                shingles = shingle_set(text)
+                prints.append(fingerprint(text))
+                sizes.append(len(shingles))
+                bands.append(band_keys(shingles))
+            prints = np.array(prints, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(prints), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                                             names=[*part.schema.names[:-1], "_fp", "_n", "_bands"])
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
