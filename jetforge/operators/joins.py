@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinematics import delta_r
@@ -31,24 +31,26 @@ def truth_match(constits: DataFrame, *, rows_per_task: int = ROWS_PER_TASK, even
 
     A jet is matched through its first signal index to the hardest truth jet of the event holding
     that index. The hardest holder is found per (event, index) before the join, so each jet meets
-    one row instead of all truth jets of its event.
+    one row instead of all truth jets of its event. One shuffle of the jets by event serves both;
+    only with events above ``rows_per_task`` jets do the hardest holders go through a table.
     """
-    truth_parts = constits.where(J.not_ghost() & (F.col("user_index") > 0))
-    truth = J.jet_core(truth_parts).select(
-        *KEYS, F.col("p_t").alias("truth_pt"), F.col("eta").alias("truth_eta"), F.col("phi").alias("truth_phi"))
-    holders = truth_parts.select(*KEYS, "user_index").distinct().join(truth, KEYS)
-    # Descending pT, then ascending id.
-    best = holders.groupBy("event_id", "user_index").agg(
-        F.max(F.struct("truth_pt", (-F.col("jet_id")).alias("neg_id"), "truth_eta", "truth_phi")).alias("t"))
-    best = best.select("event_id", F.col("user_index").alias("first_signal"), (-F.col("t.neg_id")).alias("truth_jet"),
-                       "t.truth_pt", "t.truth_eta", "t.truth_phi")
-    jets = J.jet_core(constits)
+    jets = J.truth_core(constits)
+    # Descending pT, then ascending id. Rows without a key match nothing.
+    named = F.col("event_id").isNotNull() & F.col("jet_id").isNotNull() & (F.col("index") > 0)
+    hardest = F.max(F.when(named, F.struct("truth_pt", (-F.col("jet_id")).alias("neg_id"), "truth_eta", "truth_phi")))
+    own = [*KEYS, "first_signal", "eta", "phi", "tru_sum"]
+    found = [(-F.col("t.neg_id")).alias("truth_jet"), "t.truth_pt", "t.truth_eta", "t.truth_phi"]
     # Any (event, index) group is at most its event.
-    hot_events = hot_groups(jets, ["event_id"], rows_per_task, event_sizes)
-    if hot_events.count:
-        out = attach(jets, best, ["event_id", "first_signal"], rows_per_task=rows_per_task)
+    if hot_groups(jets, ["event_id"], rows_per_task, event_sizes).count:
+        jets = stored(jets, "truth-jets")
+        holders = jets.select("*", F.explode("indices").alias("index"))
+        best = holders.groupBy("event_id", F.col("index").alias("first_signal")).agg(hardest.alias("t"))
+        out = attach(jets.select(*own), best, ["event_id", "first_signal"], rows_per_task=rows_per_task).select(*own, *found)
     else:
-        out = jets.join(best, ["event_id", "first_signal"], "left")
+        each = jets.repartition("event_id").select(
+            "*", F.explode(F.array_union("indices", F.array("first_signal"))).alias("index"))
+        seen = each.withColumn("t", hardest.over(Window.partitionBy("event_id", "index")))
+        out = seen.where(F.col("index") == F.col("first_signal")).select(*own, *found)
     dist = delta_r(F.col("eta"), F.col("phi"), F.col("truth_eta"), F.col("truth_phi"))
     return out.select(
         *KEYS, "first_signal", "truth_jet",

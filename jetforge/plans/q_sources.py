@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.binning import pt_label
+from ..functions.ordering import hot_groups
 from ..operators import background as bg
 from ..operators import jets as J
 from ..operators import forests, joins
 from ..operators import sampling
 from ..schema import CSV_COLUMNS, FEATURES, KEYS, SNAKE
-from ..session import shared_path, stored
+from ..session import rows_stay, shared_path, stored
 from ..sources import committed, folder
 from ..sources import jet_csv as io
 from ..sources import views as V
@@ -24,12 +25,22 @@ _DBL = [c for c in _ALL if c != "n_trk"]
 
 
 def csv_rows(spark, sf, *extra):
-    """The full 24-column jet table, written once because the sinks read it more than once."""
-    c = C(spark, sf)
-    match = joins.truth_match(c, event_sizes=V.event_sizes(spark, sf)).select(*KEYS, "dist_match", "x_match")
-    full = features(spark, sf).join(match, KEYS).join(J.subjet_share(c), KEYS)
+    """The full 24-column jet table."""
+    c, sizes = C(spark, sf, by_jet=True), V.event_sizes(spark, sf)
+    match = joins.truth_match(c, event_sizes=sizes).select(*KEYS, "dist_match", "x_match")
+    share = J.subjet_share(c)
+    if not hot_groups(share, ["event_id"], sizes=sizes).count:
+        share = share.repartition("event_id")  # as features and matches lie: no second shuffle of the jets
+    full = features(spark, sf).join(match, KEYS).join(share, KEYS)
     full = full.withColumn("radius", F.round(F.lit(0.2) + F.lit(0.1) * F.col("r_idx"), 1))
-    return stored(full.select(*extra, *_ALL), "jets-24")
+    return full.select(*extra, *_ALL)
+
+
+def stored_csv_rows(spark, sf):
+    """For sinks that read it more than once."""
+    rows = csv_rows(spark, sf)
+    with rows_stay(spark):
+        return stored(rows, "jets-24")
 
 
 def means(df, *groups):
@@ -44,7 +55,9 @@ _MEANS = "count(*) AS n, " + ", ".join(f"avg({c}) AS {c}" for c in _ALL)
 @query("A1_csv_scan", with_ctes("SELECT " + ", ".join(_ALL) + " FROM full24", "full24"), _DBL, 5)
 def a1(spark, sf):
     path = shared_path(spark, "jets-csv")
-    io.append_jets(csv_rows(spark, sf), path)
+    rows = csv_rows(spark, sf)
+    with rows_stay(spark):
+        io.append_jets(rows, path)
     return io.read_jets(spark, path).select(*_ALL)
 
 
@@ -58,7 +71,8 @@ def a2(spark, sf):
     data = rows.select(F.array_join(fields, ", ").alias("value"), (F.pmod(F.xxhash64("p_t", "area"), F.lit(50)) == 0).alias("h"))
     header = F.lit(", ".join(CSV_COLUMNS))
     lines = data.select(F.explode(F.when(F.col("h"), F.array(header, "value")).otherwise(F.array("value"))).alias("value"))
-    lines.write.text(path)
+    with rows_stay(spark):
+        lines.write.text(path)
     return means(io.read_jets(spark, path))
 
 
@@ -79,7 +93,9 @@ def a4(spark, sf):
        WHERE NOT (r_idx = 4 OR pt_hard_min IN (10, 30)) GROUP BY 1, 2""", "full24"), ["radius", *_ALL])
 def a5(spark, sf):
     path = shared_path(spark, "grid")
-    io.write_grid(csv_rows(spark, sf, "radius", "pt_hard_min").withColumnRenamed("radius", "R"), path)
+    rows = csv_rows(spark, sf, "radius", "pt_hard_min").withColumnRenamed("radius", "R")
+    with rows_stay(spark):
+        io.write_grid(rows, path)
     skip = [(r, p) for r in (0.2, 0.3, 0.4, 0.5, 0.6) for p in (10, 20, 30, 40) if r == 0.6 or p in (10, 30)]
     return means(io.read_grid(spark, path, skip=skip), F.col("R").alias("radius"), "pt_hard_min")
 
@@ -87,14 +103,18 @@ def a5(spark, sf):
 @query("A6_merge_shards", with_ctes(f"SELECT radius, pt_hard_min, {_MEANS} FROM full24 GROUP BY 1, 2", "full24"), ["radius", *_ALL], 4)
 def a6(spark, sf):
     path = shared_path(spark, "shards")
-    io.append_jets(csv_rows(spark, sf, "radius", "pt_hard_min").withColumnRenamed("radius", "R"), path, ["R", "pt_hard_min"])
+    rows = csv_rows(spark, sf, "radius", "pt_hard_min").withColumnRenamed("radius", "R")
+    with rows_stay(spark):
+        io.append_jets(rows, path, ["R", "pt_hard_min"])
     return means(io.merge_shards(spark, f"{path}/*/*/*.csv"), F.col("R").alias("radius"), "pt_hard_min")
 
 
 @query("A7_split_shards", with_ctes(f"SELECT 0::BIGINT AS oversize, 0::BIGINT AS headerless, {_MEANS} FROM full24", "full24"), _ALL, 4)
 def a7(spark, sf):
     path = shared_path(spark, "split")
-    io.split_shards(csv_rows(spark, sf), path, 1_000)
+    rows = csv_rows(spark, sf)
+    with rows_stay(spark):
+        io.split_shards(rows, path, 1_000)
     raw = io.read_raw(spark, path).withColumn("f", F.input_file_name())
     header = F.col("p_T") == "p_T"
     per_file = raw.groupBy("f").agg(F.count_if(~header).alias("n"), F.count_if(header).alias("h"))
@@ -106,7 +126,7 @@ def a7(spark, sf):
 @query("A8_csv_append_sink", with_ctes(f"SELECT 2 * n AS n, {', '.join(_ALL)} FROM (SELECT {_MEANS} FROM full24)", "full24"), _ALL, 4)
 def a8(spark, sf):
     path = shared_path(spark, "append")
-    rows = csv_rows(spark, sf)
+    rows = stored_csv_rows(spark, sf)
     for _ in range(2):
         io.append_jets(rows, path)
     return means(io.read_jets(spark, path))
@@ -117,7 +137,7 @@ def a8c(spark, sf):
     """Two named appends, one of them after an attempt that wrote files and failed, and both once
     more: every row is there once for each name."""
     path = shared_path(spark, "committed")
-    rows = csv_rows(spark, sf)
+    rows = stored_csv_rows(spark, sf)
     rows.limit(100).write.csv(f"{path}/run=second")  # no marker: the attempt failed
     for run in ("first", "second", "first", "second"):
         committed.append_once(rows, path, run, fmt="csv")
