@@ -3,8 +3,9 @@
 Each text is a layer. Encoded stretches of a layer (URL escapes, Unicode escapes, base64, and gzip
 or zlib data below any of them or each other) are decoded into further layers until none is left;
 every layer is scanned, and what is found is mapped back to the characters of the text that hold it.
-The time follows the length of the text: escapes nested more than ESCAPE_STEPS deep are unwrapped
-to their end at once, and false starts of compressed data are bounded by WORK.
+Escapes nested more than ESCAPE_STEPS deep are unwrapped to their end at once, so that their time
+follows the length of the text. Every start of compressed data is tried and read as far as it
+inflates: each false start that inflates far costs its own length again.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ MIN_BASE64 = 16  # characters of a stretch that is tried
 BLOCK = 1 << 20  # bytes that are inflated at a time
 SCAN_CHARS = 16 << 20  # characters of a decompressed layer that are scanned at a time
 ESCAPE_STEPS = 4  # levels of escapes that are layers of their own; what is below them is unwrapped at once
-WORK = 16  # bytes inflated for each byte of a stretch, from where starts inside inflated data are passed over
 MIN_TEXT = 0.9  # share of printable characters from which decoded bytes count as text
 
 
@@ -107,13 +107,14 @@ def _printable(text: str) -> bool:
 
 
 class Packed:
-    """Compressed bytes below ``depth`` layers of compression, all from one place."""
+    """The bytes ``part`` of a stretch's data, compressed, below ``depth`` layers of compression, all
+    from one place. They are not copied: many starts of one stretch may reach its end."""
 
-    def __init__(self, data: bytes, place: Span, depth: int = 1):
-        self.data, self.place, self.depth = data, place, depth
+    def __init__(self, data: bytes, part: Span, place: Span, depth: int = 1):
+        self.data, self.part, self.place, self.depth = data, part, place, depth
 
     def blocks(self) -> Iterator[bytes]:
-        out = iter([self.data])
+        out = _slices(self.data, *self.part)
         for _ in range(self.depth):
             out = _inflated(out)
         return out
@@ -176,17 +177,17 @@ def _body(data: bytes, at: int, zeros: Sequence[int]) -> int | None:
 _PLAIN_HEADER = b"\x1f\x8b\x08" + bytes(7)
 
 
-def _extent(data: bytes, at: int, body: int) -> tuple[int, bool, int]:
-    """Bytes that the compressed members at a place take, 0 if they do not inflate, whether they
-    come to an end, and the work it took (bytes). A stream that breaks off takes all that was read."""
+def _extent(data: bytes, at: int, body: int) -> tuple[int, bool]:
+    """Bytes that the compressed members at a place take, 0 if they do not inflate, and whether they
+    come to an end. A stream that breaks off takes all that was read."""
     header = _PLAIN_HEADER if data[at] == 0x1F else data[at:body]
     more = body - at - len(header)  # bytes of the header that are not read again
     z, rest, taken, read, made = zlib.decompressobj(wbits=47), b"", 0, 0, 0
 
-    def found(n: int, whole: bool) -> tuple[int, bool, int]:
-        return (n + more if n else 0), whole, read + made // 16
+    def found(n: int, whole: bool) -> tuple[int, bool]:
+        return (n + more if n else 0), whole
 
-    for chunk in chain([header], _slices(data, body)):
+    for chunk in chain([header], _slices(data, body, len(data))):
         rest, read = rest + chunk, read + len(chunk)
         while True:
             if z is None:
@@ -213,12 +214,11 @@ def _extent(data: bytes, at: int, body: int) -> tuple[int, bool, int]:
 def _streams(data: bytes, starts: Sequence[int]) -> Iterator[tuple[int, int, bool]]:
     """(place, length, whole) of the compressed streams among rising places where one may start.
 
-    A whole stream is not looked into. One that breaks off is, as it may be a false start; but false
-    starts that inflate far could make that work grow with the square. Once a stretch has taken
-    WORK times its length, places inside what was inflated are passed over.
+    A whole stream is not looked into. One that breaks off is, as it may be a false start, however
+    many of these there are: real data may lie inside what they inflate.
     """
     zeros: Sequence[int] = np.flatnonzero(np.frombuffer(data, np.uint8) == 0).tolist() if starts else []
-    done, work, tried = 0, 0, set()
+    done, tried = 0, set()
     for k in starts:
         if k < done:
             continue
@@ -226,19 +226,18 @@ def _streams(data: bytes, starts: Sequence[int]) -> Iterator[tuple[int, int, boo
         if body is None or body in tried:  # another header in front of the same data
             continue
         tried.add(body)
-        n, whole, took = _extent(data, k, body)
-        work += took
+        n, whole = _extent(data, k, body)
         if n:
             yield k, n, whole
-        if whole or work > WORK * len(data) + BLOCK:
+        if whole:
             done = k + n
 
 
-def _slices(data: bytes, at: int) -> Iterator[bytes]:
-    """The rest of the data in growing parts: most starts inflate no further than the first."""
+def _slices(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The data from a place to another in growing parts: most starts inflate no further than the first."""
     size = 256
-    while at < len(data):
-        yield data[at:at + size]
+    while at < end:
+        yield data[at:min(at + size, end)]
         at, size = at + size, min(2 * size, BLOCK)
 
 
@@ -322,7 +321,7 @@ def _from_escaped(layer: Layer) -> Iterator[Packed]:
             begins.append(end)
             at = max(end, m.start() + 1)
             for k, n, source in _either_way(bytes(data), bytes(spaced)):
-                yield Packed(source[k:k + n], layer.origin(begins[k], begins[k + n]))
+                yield Packed(source, (k, k + n), layer.origin(begins[k], begins[k + n]))
 
 
 def _either_way(data: bytes, spaced: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -453,7 +452,7 @@ def _from_base64(layer: Layer) -> Iterator[Layer | Packed]:
             last = lambda k: min(skip + 4 * k // 3 + 1, len(body) - 1)
             starts = {p.start() for p in _PACKED.finditer(data)} | {k for i in fresh if (i - skip) % 4 == 0 and (k := (i - skip) // 4 * 3) >= 0 and _compressed(data[k:k + 3])}
             for k, n, _ in _streams(data, sorted(starts)):
-                yield Packed(data[k:k + n], place(skip + 4 * k // 3, last(k + n - 1), True))
+                yield Packed(data, (k, k + n), place(skip + 4 * k // 3, last(k + n - 1), True))
             runs = [r.span() for r in _ASCII.finditer(data)]
             if not skip and (not runs or runs[0] != (0, len(data))):
                 try:
@@ -529,7 +528,7 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             if scanned(text_part):
                 work.extendleft(new for new in opened(text_part) if isinstance(new, Packed) or new is not None and scanned(new))
         if _compressed(head) and first(b"packed", whole.digest(), repr(layer.place).encode()):
-            work.append(Packed(layer.data, layer.place, layer.depth + 1))
+            work.append(Packed(layer.data, layer.part, layer.place, layer.depth + 1))
     return base, list(spans)
 
 

@@ -112,3 +112,29 @@ def test_base_spans_of_a_whole_table(spark):
         assert [row.n_assign, row.n_access, row.n_hex] == [sum(k == kind for k, _, _ in base) for kind in secrets.KINDS]
         assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert set(filter(None, listed.split(","))) <= set(row.spans.split(","))
+
+
+def chained(n, inner=b""):
+    """n zlib starts in a chain of stored blocks without an end: each one inflates to the end of it."""
+    block = lambda payload: b"\0" + len(payload).to_bytes(2, "little") + (65535 - len(payload)).to_bytes(2, "little") + payload
+    return b"x\x9c" + block(b"x\x9c") * n + block(inner or b"  ") + block(b"rest")
+
+
+@pytest.mark.parametrize("n", [10, 700, 1500])
+@pytest.mark.parametrize("form", ["base64", "url"])
+def test_streams_behind_any_number_of_false_starts(n, form):
+    data = chained(n, zlib.compress(b"secret=abcdefgh12345678"))
+    text = base64.b64encode(data).decode() if form == "base64" else "".join(f"%{c:02x}" for c in data)
+    _, spans = secrets.find(f"see {text}")
+    assert any(kind == "assign" and start > len(text) // 2 and end < 4 + len(text) for kind, start, end in spans)
+
+
+def test_starts_of_one_stretch_share_its_bytes():
+    import tracemalloc
+
+    text = base64.b64encode(chained(3000)).decode()  # 3,000 starts of 10 kB on average: 32 MB if each had its own
+    tracemalloc.start()
+    secrets.find(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
