@@ -31,7 +31,8 @@ def csv_rows(spark, sf, *extra):
     share = J.subjet_share(c)
     if not hot_groups(share, ["event_id"], sizes=sizes).count:
         share = share.repartition("event_id")  # as features and matches lie: no second shuffle of the jets
-    full = features(spark, sf).join(match, KEYS).join(share, KEYS)
+    # Hashed, the narrow sides spare a sort of all 24 columns for each join; hot events are screened.
+    full = features(spark, sf).join(match.hint("shuffle_hash"), KEYS).join(share.hint("shuffle_hash"), KEYS)
     full = full.withColumn("radius", F.round(F.lit(0.2) + F.lit(0.1) * F.col("r_idx"), 1))
     return full.select(*extra, *_ALL)
 
