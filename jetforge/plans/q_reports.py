@@ -117,6 +117,7 @@ def s1(spark, sf):
 
 
 CHUNK_ROWS = 5_000
+FILES_AT_ONCE = 64
 
 
 @query("S1_model_per_chunk", with_ctes(f"""SELECT CAST({h60('event_id', 'jet_id', seed='batch')} % (SELECT CAST(ceil(count(*) / {CHUNK_ROWS}.0) AS BIGINT) FROM train) AS INT) AS chunk,
@@ -129,11 +130,12 @@ def s1m(spark, sf):
 
     path = shared_path(spark, "model-chunks")
     rows = stored(chunks(stored_rows(spark, sf), KEYS, CHUNK_ROWS).withColumnRenamed("batch_id", "chunk"), "chunk-rows")
-    rows.hint("rebalance").write.option("maxRecordsPerFile", CHUNK_ROWS // 2).parquet(path)
+    jobs.write_chunks(rows, path, CHUNK_ROWS // 2)
     manifest = rows.groupBy("chunk").agg(F.count("*").alias("rows"))
-    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=8)
+    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=FILES_AT_ONCE)
 
     def fit(chunk):
+        chunk = chunk.coalesce(1)  # about CHUNK_ROWS rows: one task to a step, and no shuffle for the counts
         scored = M.predict(M.fit_tree(chunk, FEATURES, 5), chunk, FEATURES)
         per = scored.groupBy("chunk", "label").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("hit"),
                                                    F.min(F.col("pred").isin(1, 2, 3)).alias("known"))

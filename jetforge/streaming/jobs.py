@@ -22,6 +22,12 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def write_chunks(rows: DataFrame, path: str, rows_per_file: int, chunk: str = "chunk") -> None:
+    """Files for a stream of chunks, in which the rows of a chunk follow each other: spread over all
+    files, each chunk would be staged in a file for every batch."""
+    rows.hint("rebalance", chunk).sortWithinPartitions(chunk).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
 def stream_histogram(stream: DataFrame, x: Column, lo: float, hi: float, n: int, groups: Sequence[str] = ()) -> DataFrame:
     """Running fixed-range histogram of a stream; its state is one row per (group, bin)."""
     return stream.select(*groups, fixed_bin(x, lo, hi, n).alias("bin")).where(F.col("bin").isNotNull()).groupBy(*groups, "bin").agg(
